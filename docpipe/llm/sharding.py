@@ -3,8 +3,8 @@
 Equal texts form one atomic group. Groups are laid in the order of their digest, which spreads them evenly over
 blocks of that order, so that prefix sums need no sampling and are the same at each run. The smallest shard capacity for
 which a greedy pass needs no more than the asked shards is searched, many capacities at once; each greedy step looks up
-the last group end within reach. A group above the capacity takes a shard alone. The cuts of the greedy pass at that
-capacity are the shards.
+the last group end within reach. A group above the capacity takes a shard alone. The shards are cut at that capacity;
+of the cuts that it allows, those nearest to even shares are taken, so that the last shard is not left short.
 
 Cases: null texts are one group of size 8 a row; the empty text is another; repeated rows are in one group and get
 slots of their own; an empty table gives an empty result; other columns are not read.
@@ -24,14 +24,14 @@ BLOCKS = 4096
 #: Parts into which the rows of one group are dealt for numbering.
 SALTS = 1024
 #: Capacities tried at once.
-TRIES = 48
+TRIES = 256
 
 
 class Ends:
     """Ends of groups on the line of bytes, and rows up to them: a table by block, offsets of blocks in the driver."""
 
     def __init__(self, parts: DataFrame):
-        self.parts = parts.select("block", "end_bytes", "end_rows")
+        self.parts = parts.select("block", "end_bytes", "end_rows").persist()  # what is lost is read again
         self.blocks, self.at, self.rows = [], [], []
         self.total = self.total_rows = 0
         for x in parts.groupBy("block").agg(F.max("end_bytes").alias("b"), F.max("end_rows").alias("r")).orderBy("block").collect():  # BLOCKS rows at most
@@ -80,6 +80,35 @@ class Ends:
         return [c if c and c[-1][0] == self.total else None for c in out]
 
 
+    def even(self, capacity: int, latest: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
+        """Cuts within the same capacity, as near to even as can be.
+
+        A greedy pass from the right gives the earliest place of each cut; each cut then goes to the even share of what
+        is left, kept between that place and the reach of the cut before.
+        """
+        earliest = [(self.total, self.total_rows)]
+        while len(earliest) < len(latest):
+            q = earliest[-1][0]
+            if q <= capacity:
+                earliest.append((0, 0))
+                continue
+            _, _, b, r = self.look_up([max(0, q - capacity - 1)])[0]  # the first end at or above q - capacity
+            earliest.append((b, r) if b < q else self.look_up([q - 1])[0][:2])
+        earliest.reverse()
+        out, at = [], 0
+        for j in range(len(latest) - 1):
+            share = at + max(1, (self.total - at) // (len(latest) - j))
+            b, r, nb, nr = self.look_up([share])[0]
+            pick = (nb, nr) if b <= at or nb - share < share - b else (b, r)
+            if pick[0] - at > capacity:  # a group alone, or the last end within reach
+                pick = (b, r) if b > at else (nb, nr)
+            out.append(max(pick, earliest[j]))
+            at = out[-1][0]
+            if at >= self.total:
+                return out
+        return [*out, (self.total, self.total_rows)]
+
+
 def least_capacity(total: int, largest: list[int], shards: int) -> int:
     """A bound below: what groups above the capacity leave must fit the shards left. largest: the shards + 1 largest groups."""
     low, high = 1, max(total, 1)
@@ -105,7 +134,7 @@ def minimax_cuts(ends: Ends, largest: list[int], shards: int) -> list[tuple[int,
         best, cuts = tries[fit], got[fit]
         below = tries[fit - 1] if fit else below
         if best - below <= 1:
-            return cuts
+            return ends.even(best, cuts, shards)
         step = max(1, (best - below) // TRIES)
         tries = [*range(below + step, best, step), best]
 
