@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from docpipe.llm import mixing, sharding
+from docpipe.llm import language, mixing, repetition, sharding, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
+    "op2_language_id": language.query,
+    "op4_suffix_repetition": repetition.query,
+    "op7_byte_bpe": tokens.query,
     "op9_minimax_sharding": sharding.query,
 }
 
