@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docpipe.llm import language, mixing, quality, repetition, sharding, tokens
+from docpipe.llm import extraction, language, mixing, quality, repetition, sharding, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_language_id": language.query,
     "op4_suffix_repetition": repetition.query,
     "op5_additive_quality": quality.query,
+    "op6_page_wrappers": extraction.query,
     "op7_byte_bpe": tokens.query,
     "op9_minimax_sharding": sharding.query,
 }
