@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docpipe.llm import extraction, language, mixing, quality, repetition, sharding, tokens
+from docpipe.llm import extraction, language, maxent, mixing, quality, repetition, sharding, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_language_id": language.query,
+    "op3_maxent_lm": maxent.query,
     "op4_suffix_repetition": repetition.query,
     "op5_additive_quality": quality.query,
     "op6_page_wrappers": extraction.query,
