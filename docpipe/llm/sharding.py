@@ -12,9 +12,10 @@ slots of their own; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docpipe.llm.common import table, written
@@ -27,31 +28,38 @@ SALTS = 1024
 TRIES = 256
 
 
+def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers as a frame, from a literal."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    held = json.dumps([dict(zip(names, x, strict=True)) for x in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(held), f"array<struct<{', '.join(x.replace(' ', ':') for x in schema.split(', '))}>>")))
+
+
 class Ends:
     """Ends of groups on the line of bytes, and rows up to them: a table by block, offsets of blocks in the driver."""
 
     def __init__(self, parts: DataFrame):
-        self.parts = parts.select("block", "end_bytes", "end_rows").persist()  # what is lost is read again
+        self.groups = parts.where("rows_before + n = end_rows").select("block", "end_bytes", "end_rows").persist()  # what is lost is read again
         self.blocks, self.at, self.rows = [], [], []
         self.total = self.total_rows = 0
-        for x in parts.groupBy("block").agg(F.max("end_bytes").alias("b"), F.max("end_rows").alias("r")).orderBy("block").collect():  # BLOCKS rows at most
+        for x in self.groups.groupBy("block").agg(F.max("end_bytes").alias("b"), F.max("end_rows").alias("r")).orderBy("block").collect():  # BLOCKS rows at most
             self.blocks.append(x["block"])
             self.at.append(self.total)
             self.rows.append(self.total_rows)
             self.total += x["b"]
             self.total_rows += x["r"]
-        self.offsets = parts.sparkSession.createDataFrame(list(zip(self.blocks, self.at, self.rows, strict=True)), "block int, at_bytes long, at_rows long")
+        self.offsets = rows_of(parts.sparkSession, list(zip(self.blocks, self.at, self.rows, strict=True)), "block int, at_bytes long, at_rows long")
 
     def look_up(self, targets: list[int]) -> list[tuple[int, int, int, int]]:
         """For each target below total: the last end at or below it, the rows up to that end, the next end and its rows."""
-        spark, asked = self.parts.sparkSession, []
+        spark, asked = self.groups.sparkSession, []
         for i, t in enumerate(targets):
             k = bisect_right(self.at, t) - 1
             asked.append((i, self.blocks[k], t - self.at[k], self.at[k], self.rows[k]))
-        points = spark.createDataFrame(asked, "i int, block int, v long, at_bytes long, at_rows long")
+        points = rows_of(spark, asked, "i int, block int, v long, at_bytes long, at_rows long")
         low, high = F.col("end_bytes") <= F.col("v"), F.col("end_bytes") > F.col("v")
         found = (
-            self.parts.where(F.col("block").isin(sorted({x[1] for x in asked})))
+            self.groups.where(F.col("block").isin(sorted({x[1] for x in asked})))
             .join(F.broadcast(points), "block")
             .groupBy("i")
             .agg(
@@ -152,7 +160,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     in_block = Window.partitionBy("block").orderBy("gid")
     parts = rows.groupBy("block", "gid", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select(
-        "block", "gid", "salt",
+        "block", "gid", "salt", "n",
         F.sum("bytes").over(in_block).alias("end_bytes"),  # equal keys count together: the end of the whole group
         F.sum("n").over(in_block).alias("end_rows"),
         F.sum("bytes").over(Window.partitionBy("block", "gid")).alias("group_bytes"),
