@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docpipe.llm import extraction, language, maxent, mixing, quality, repetition, sharding, tokens
+from docpipe.llm import extraction, jaccard, language, maxent, mixing, quality, repetition, sharding, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_additive_quality": quality.query,
     "op6_page_wrappers": extraction.query,
     "op7_byte_bpe": tokens.query,
+    "op8_minhash_jaccard": jaccard.query,
     "op9_minimax_sharding": sharding.query,
 }
 
