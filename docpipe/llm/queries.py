@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docpipe.llm import extraction, jaccard, language, maxent, mixing, quality, repetition, sharding, tokens
+from docpipe.llm import extraction, jaccard, language, maxent, mixing, quality, repetition, sharding, tokens, vectors
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_byte_bpe": tokens.query,
     "op8_minhash_jaccard": jaccard.query,
     "op9_minimax_sharding": sharding.query,
+    "op10_subspace_pigeonhole": vectors.query,
 }
 
 SQL = {
