@@ -1,4 +1,6 @@
 """The registered queries of the document pipeline and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from docpipe.plans import inventory
+
+QUERIES = {**inventory.QUERIES}
+SQL = {**inventory.SQL}
