@@ -1,6 +1,6 @@
 """The registered queries of the document pipeline and their SQL."""
 
-from docpipe.plans import inventory
+from docpipe.plans import inventory, state
 
-QUERIES = {**inventory.QUERIES}
-SQL = {**inventory.SQL}
+QUERIES = {**inventory.QUERIES, **state.QUERIES}
+SQL = {**inventory.SQL, **state.SQL}
