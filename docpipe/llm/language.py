@@ -32,6 +32,8 @@ KEEP_WORDS, KEEP_GRAMS, LONGEST_GRAM = 30_000, 6_000, 5
 MOST_LANGUAGES = 1_000
 #: Words whose scores a worker remembers.
 MEMORY = 300_000
+#: Texts whose words are held at once.
+RUN = 256
 #: Words up to which more words make a surer score.
 SURE_WORDS = 25
 
@@ -90,6 +92,10 @@ class Scorer(dict):
         return i
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
+        runs = [self.score_run(texts.iloc[k : k + RUN]) for k in range(0, len(texts), RUN)]
+        return pd.concat(runs, ignore_index=True) if runs else pd.DataFrame({"lang_pred": [], "score": []})
+
+    def score_run(self, texts: pd.Series) -> pd.DataFrame:
         langs = self.model.langs
         found = [words(t) for t in texts]
         size = np.array([len(x) for x in found], dtype=np.int64)
