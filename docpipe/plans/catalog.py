@@ -1,6 +1,6 @@
 """The registered queries of the document pipeline and their SQL."""
 
-from docpipe.plans import inventory, state
+from docpipe.plans import inventory, rules, state
 
-QUERIES = {**inventory.QUERIES, **state.QUERIES}
-SQL = {**inventory.SQL, **state.SQL}
+QUERIES = {**inventory.QUERIES, **state.QUERIES, **rules.QUERIES}
+SQL = {**inventory.SQL, **state.SQL, **rules.SQL}
