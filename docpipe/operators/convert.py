@@ -31,7 +31,7 @@ class Markdown(HTMLParser):
         self.base, self.out, self.text, self.skip, self.href = base, [], [], 0, []
         self.lists: list[list] = []
         self.rows: list[list[str]] | None = None
-        self.prefix, self.pre = "", 0
+        self.prefix, self.pre, self.cell = "", 0, False
 
     def flush(self) -> None:
         t = "".join(self.text)
@@ -41,6 +41,12 @@ class Markdown(HTMLParser):
             self.out.append(self.prefix + t)
         self.prefix = ""
 
+    def close_cell(self) -> None:
+        if self.cell and self.rows:
+            self.rows[-1].append(re.sub(r"\s+", " ", "".join(self.text)).strip().replace("|", "\\|"))
+            self.text = []
+        self.cell = False
+
     def handle_starttag(self, tag: str, attrs) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag in SKIPPED:
@@ -68,9 +74,11 @@ class Markdown(HTMLParser):
             self.flush()
             self.rows = []
         elif tag == "tr" and self.rows is not None:
+            self.close_cell()
             self.rows.append([])
         elif tag in ("td", "th") and self.rows is not None:
-            self.text = []
+            self.close_cell()
+            self.text, self.cell = [], True
         elif tag == "br":
             self.text.append(" " if self.rows is not None or not self.pre else "\n")
         elif tag == "a":
@@ -90,10 +98,10 @@ class Markdown(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag in ("td", "th") and self.rows:
-            self.rows[-1].append(re.sub(r"\s+", " ", "".join(self.text)).strip().replace("|", "\\|"))
-            self.text = []
+        elif tag in ("td", "th", "tr"):
+            self.close_cell()
         elif tag == "table" and self.rows is not None:
+            self.close_cell()
             rows, self.rows = self.rows, None
             self.out += [table_lines(rows)] if any(rows) else []
         elif tag == "pre":
@@ -127,7 +135,7 @@ class Markdown(HTMLParser):
             item = re.match(r" *(-|\d+\.) ", x)
             before = k and re.match(r" *(-|\d+\.) ", self.out[k - 1])
             lines.append(("\n" if k and item and before else "\n\n" if k else "") + x)
-        return re.sub(r"\*\*\s*\*\*|(?<!\*)\*\s*\*(?!\*)", "", "".join(lines))
+        return re.sub(r"\*\*\s*\*\*|(?<!\*)\*\s+\*(?!\*)", "", "".join(lines))
 
 
 def table_lines(rows: list[list[str]]) -> str:
