@@ -92,10 +92,6 @@ class Scorer(dict):
         return i
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
-        runs = [self.score_run(texts.iloc[k : k + RUN]) for k in range(0, len(texts), RUN)]
-        return pd.concat(runs, ignore_index=True) if runs else pd.DataFrame({"lang_pred": [], "score": []})
-
-    def score_run(self, texts: pd.Series) -> pd.DataFrame:
         langs = self.model.langs
         found = [words(t) for t in texts]
         size = np.array([len(x) for x in found], dtype=np.int64)
@@ -161,7 +157,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for x in batches:
-            yield scorer.score(x)
+            for k in range(0, len(x), RUN):
+                yield scorer.score(x.iloc[k : k + RUN])
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"))
     return rows.select("row", F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()("t").alias("p")).select("row", "p.*")

@@ -84,12 +84,13 @@ class Join:
         def space(dim: int) -> Space:
             return spaces.setdefault(dim, Space(dim, cosine)) if dim not in spaces else spaces[dim]
 
-        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for x in batches:
-                got = [packed(e) for e in x["embedding"]]
-                yield pd.DataFrame({"vec_id": x["vec_id"], "key": [b and hashlib.blake2b(unpacked(b, d).tobytes(), digest_size=16).digest() for b, d in got], "vec": [b for b, _ in got], "dim": [d for _, d in got]})
+                got = [packed(e) for e in x]
+                yield pd.DataFrame({"key": [b and hashlib.blake2b(unpacked(b, d).tobytes(), digest_size=16).digest() for b, d in got], "vec": [b for b, _ in got], "dim": [d for _, d in got]})
 
-        signed, _ = written(rows.select("vec_id", "embedding").mapInPandas(sign, "vec_id long, key binary, vec binary, dim int"), "signed")
+        signature = F.pandas_udf(sign, "key binary, vec binary, dim int").asNondeterministic()("embedding")
+        signed, _ = written(rows.select("vec_id", signature.alias("s")).select("vec_id", "s.*"), "signed")
         self.signed = signed.select("vec_id", "key")
         by_key = signed.where("key is not null").groupBy("key")
         self.classes, _ = written(by_key.agg(F.coalesce(F.min("vec_id"), F.xxhash64("key")).alias("cid"), F.min("vec_id").isNotNull().alias("named"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), "classes")
