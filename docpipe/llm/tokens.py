@@ -29,7 +29,9 @@ LONG, STEP, OVERLAP = 65_536, 32_768, 512
 #: Unicode's white space, which regular expression libraries do not agree on.
 SPACE = "\t-\r \x85\xa0{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Entries of a worker's memory of encoded words; full, it starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
+#: Texts or id lists whose results are held at once.
+RUN = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,12 +120,14 @@ class Bpe:
         def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             words = words_of(pattern, shared)
             for x in texts:
-                yield pd.Series([words.encode(t) if t else b"" for t in x], dtype=object)
+                for k in range(0, len(x), RUN):
+                    yield pd.Series([words.encode(t) if t else b"" for t in x.iloc[k : k + RUN]], dtype=object)
 
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocabulary = words_of(pattern, shared).vocabulary
             for x in ids:
-                yield pd.Series([b"".join(map(vocabulary.__getitem__, np.frombuffer(b, dtype="<u4").tolist())) for b in x], dtype=object)
+                for k in range(0, len(x), RUN):
+                    yield pd.Series([b"".join(map(vocabulary.__getitem__, np.frombuffer(b, dtype="<u4").tolist())) for b in x.iloc[k : k + RUN]], dtype=object)
 
         def ends(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(pattern, shared)
