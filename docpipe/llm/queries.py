@@ -19,4 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_source_mixing": mixing.SQL,
+    "op6_page_wrappers": extraction.SQL,
+    "op8_minhash_jaccard": jaccard.SQL,
+    "op10_subspace_pigeonhole": vectors.SQL,
 }

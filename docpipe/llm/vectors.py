@@ -200,3 +200,15 @@ class Join:
 def query(spark, sf_dir: str) -> DataFrame:
     rows = Join(table(spark, sf_dir, "embeddings")).rows()
     return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: Exact, by all pairs.
+SQL = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
+near as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and a.n > 0 and b.n > 0 and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+links as (select a as vec_id, count(*) as n_links from near group by 1),
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, near.b from reach join near on reach.b = near.a),
+comp as (select a as vec_id, min(b) as component_id from reach group by 1)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from comp left join links using (vec_id)
+"""
