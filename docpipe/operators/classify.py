@@ -130,3 +130,9 @@ def category_batches(batches: DataFrame) -> DataFrame:
     bad = F.when(F.col("error").isNotNull(), F.col("i") + 1)
     found = each.groupBy("batch").agg(F.count("*").alias("n"), F.min(bad).alias("error_position"), F.min_by("error", bad).alias("error"))
     return parsed.select("batch", "items").join(found, "batch", "left").select("batch", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("items").isNotNull() & (F.size("items") > 0), F.col("error_position").cast("long")).otherwise(F.lit(0)).alias("error_position"), F.when(F.col("items").isNull() | (F.size("items") == 0), "not_an_array").otherwise(F.col("error")).alias("error"))
+
+
+def request_body(model: str, document: Column, truncated: Column, questions: Column) -> Column:
+    """The JSON of a request: model, state and questions."""
+    state = F.struct(document.alias("document"), truncated.alias("truncated"))
+    return F.to_json(F.struct(F.lit(model).alias("model"), state.alias("state"), questions.alias("questions")))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESULT = "markdown string, warnings array<string>, status string, error string"
@@ -335,3 +335,16 @@ def asset_links(docs: DataFrame, assets: DataFrame, encode: Callable) -> DataFra
     """Assets (doc_id, asset) that their document's Markdown mentions, as written or percent-encoded."""
     met = assets.join(docs.select("doc_id", "markdown"), "doc_id")
     return met.where(F.col("markdown").contains(F.col("asset")) | F.col("markdown").contains(encode(F.col("asset")))).select(*assets.columns)
+
+
+def numbered_assets(references: DataFrame, prefix: str = "mhtml-") -> DataFrame:
+    """Rows (doc_id, resource, name): resources of references (doc_id, position, resource, ext) numbered by first use; repeats share a name."""
+    first = references.groupBy("doc_id", "resource").agg(F.min("position").alias("at"), F.min_by("ext", "position").alias("ext"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    return first.select("doc_id", "resource", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 4, "0"), F.lit("."), F.col("ext")).alias("name"))
+
+
+def merged_warnings(parts: DataFrame) -> DataFrame:
+    """Rows (doc_id, warnings) of parts (doc_id, part_index, warnings): in order, each once."""
+    held = F.array_sort(F.collect_list(F.struct("part_index", "warnings")))
+    return parts.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.transform(held, lambda x: x["warnings"]))).alias("warnings"))

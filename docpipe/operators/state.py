@@ -84,3 +84,21 @@ def profile_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     met = old.select("id", F.col("rules").alias("was"), F.lit(True).alias("in_old")).join(new.select("id", "rules", F.lit(True).alias("in_new")), "id", "full")
     change = F.when(F.col("in_new").isNull(), "removed").when(F.col("in_old").isNull(), "added").when(~F.col("was").eqNullSafe(F.col("rules")), "changed")
     return met.select("id", change.alias("change")).where("change is not null")
+
+
+def retry_actions(tasks: DataFrame, parts: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows (id, part_index, action) for failed tasks and parts: requeue where the source changed since, else reset the failed parts or the task.
+
+    tasks (id, status, source_hash), parts (parent_task_id, part_index, status), current (id, content_hash); sources that are gone give no row.
+    """
+    known = tasks.join(current, "id").withColumn("changed", ~F.col("source_hash").eqNullSafe(F.col("content_hash")))
+    failed = parts.where("status = 'failed'").select(F.col("parent_task_id").alias("id"), "part_index")
+    part = known.join(failed, "id").where("not changed").select("id", "part_index", F.lit("reset_part").alias("action"))
+    own = known.join(failed.select("id").distinct().withColumn("has_failed", F.lit(True)), "id", "left").where("changed and (has_failed or status = 'failed') or status = 'failed' and has_failed is null")
+    return part.unionByName(own.select("id", F.lit(None).cast("long").alias("part_index"), F.when(F.col("changed"), "requeue").otherwise("reset").alias("action")))
+
+
+def first_wins(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The first row of each key."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[rows[c] for c in rows.columns]), F.struct(*order)).alias("row"))
+    return first.select("row.*")

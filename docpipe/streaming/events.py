@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
+from docpipe.functions import paths as P
+from docpipe.operators.classify import compare_and_set
+from docpipe.operators.inventory import nearest_root
+
 FILES = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 #: Repeats that make a file stable, observations after which it is given up.
 REPEATS, MOST = 2, 60
@@ -93,3 +97,18 @@ def latest(spark: SparkSession, base: str) -> int | None:
         return None
     found = [int(x.getPath().getName()[2:]) for x in fs.listStatus(place) if x.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
     return max(found, default=None)
+
+
+def output_changes(files: DataFrame, roots: dict[str, str]) -> DataFrame:
+    """Changes (profile_id, path, ts) of an output tree that call for a new index, from a stream of files (path, modified)."""
+    kept = files.where(~P.excluded_from_changes(F.col("path")))
+    return kept.select(nearest_root(F.col("path"), roots).alias("profile_id"), "path", F.col("modified").alias("ts")).where("profile_id is not null")
+
+
+def current_results(results: DataFrame, current: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]):
+    """A writer of a stream of results (path, read_hash, ...) that drops those for an older version of their document."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        sink(compare_and_set(batch, current()).where("outcome = 'applied'").drop("outcome", "now_hash"), batch_id)
+
+    return results.writeStream.foreachBatch(put)

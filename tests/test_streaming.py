@@ -46,3 +46,17 @@ def test_upsert_is_exactly_once(spark, tmp_path):
 def test_arrivals(spark, tmp_path):
     (tmp_path / "x.md").write_text("hello")
     assert [r.size for r in drain(E.arrivals(spark, str(tmp_path), "*.md"), "arrivals").collect()] == [5]
+
+
+def test_output_changes_and_late_results(spark, tmp_path):
+    rows = [("/out/a/x.md", 1, 1), ("/out/a/b/y.md", 2, 1), ("/out/a/x.assets/z.md", 3, 1), ("/else/q.md", 4, 1)]
+    path, schema = observed(spark, tmp_path, rows)
+    files = spark.readStream.schema(schema).parquet(path).select("path", F.col("ts").alias("modified"))
+    got = {(r.profile_id, r.path) for r in drain(E.output_changes(files, {"/out/a": "p", "/out/a/b": "q"}), "changes").collect()}
+    assert got == {("p", "/out/a/x.md"), ("q", "/out/a/b/y.md")}
+    kept = []
+    results = spark.readStream.schema(schema).parquet(path).select("path", F.col("size").cast("string").alias("read_hash"))
+    current = spark.createDataFrame([("/out/a/x.md", "1"), ("/else/q.md", "2")], "path string, content_hash string")
+    q = E.current_results(results, lambda: current, lambda df, i: kept.extend(r.path for r in df.collect())).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert kept == ["/out/a/x.md"]
