@@ -26,6 +26,8 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="docpipe-")
         sc.setCheckpointDir(where)
     return where

@@ -28,8 +28,8 @@ from docpipe.llm.common import crc_mod, table
 SAMPLE = 6_000
 #: Words and n-grams of each length kept for a language, the most frequent first.
 KEEP_WORDS, KEEP_GRAMS, LONGEST_GRAM = 30_000, 6_000, 5
-#: Languages that one model can hold.
-MOST_LANGUAGES = 1_000
+#: Languages that one model can hold, and units of all languages: with many languages each keeps fewer.
+MOST_LANGUAGES, MOST_UNITS = 1_000, 1_000_000
 #: Words whose scores a worker remembers.
 MEMORY = 300_000
 #: Texts whose words are held at once.
@@ -146,7 +146,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     units = known.select("lang", "count", F.explode(F.flatten(F.array(F.array(F.struct(F.lit(0).alias("n"), F.col("unit"))), *[cut(n) for n in range(1, LONGEST_GRAM + 1)]))).alias("u"))
     units = units.groupBy("lang", "u.n", "u.unit").agg(F.sum("count").alias("count"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
-    kept = units.withColumn("rank", rank).where((F.col("rank") <= KEEP_GRAMS) | (F.col("n") == 0) & (F.col("rank") <= KEEP_WORDS))
+    room = min(1.0, MOST_UNITS / (len(sizes) * (KEEP_WORDS + LONGEST_GRAM * KEEP_GRAMS)))
+    kept = units.withColumn("rank", rank).where((F.col("rank") <= KEEP_GRAMS * room) | (F.col("n") == 0) & (F.col("rank") <= KEEP_WORDS * room))
     return Model(kept.select("lang", "n", "unit", "count").toPandas())
 
 
