@@ -43,9 +43,9 @@ def frontmatter_categories(s, d):
     return view(s, d, "documents").select("doc_id", F.when(yaml.isNotNull(), F.array_join(T.frontmatter_list(yaml, "categories"), ",")).alias("categories"))
 
 
-@query("frontmatter_merge", "select doc_id, sha256(case when doc_id%3<2 then '---'||chr(10)||'title: doc'||doc_id||chr(10)||'categories:'||chr(10)||'  - good'||chr(10)||'  - '||lang||chr(10)||case doc_id%3 when 0 then '---' else '...' end||chr(10)||text else '---'||chr(10)||'categories:'||chr(10)||'  - good'||chr(10)||'  - '||lang||chr(10)||'---'||chr(10)||text end) as markdown_sha256 from documents where lang<>'no'")
+@query("frontmatter_merge", "select doc_id, sha256(case when doc_id%3<2 then '---'||chr(10)||'title: doc'||doc_id||chr(10)||'categories:'||chr(10)||'  - good'||chr(10)||'  - '||lang||chr(10)||case doc_id%3 when 0 then '---' else '...' end||chr(10)||text else '---'||chr(10)||'categories:'||chr(10)||'  - good'||chr(10)||'  - '||lang||chr(10)||'---'||chr(10)||text end) as markdown_sha256 from documents")
 def frontmatter_merge(s, d):
-    docs = view(s, d, "documents").where("lang <> 'no'")
+    docs = view(s, d, "documents")
     text = F.when(c("doc_id") % 3 < 2, F.expr(FRONT.format(q='"'))).otherwise(c("text"))
     out = V.categorized(docs.select("doc_id", text.alias("text"), F.array(F.lit("good"), c("lang")).alias("categories")))
     return out.select("doc_id", F.sha2("markdown", 256).alias("markdown_sha256"))
@@ -62,10 +62,10 @@ def managed_block(s, d):
     return view(s, d, "documents").select("doc_id", F.sha2(T.merge_managed(F.expr(PAGE), F.expr(BLOCK)), 256).alias("page_sha256"))
 
 
-@query("managed_remove", "select doc_id, sha256(text||chr(10)||chr(10)||'tail') as page_sha256 from documents where not contains(text, chr(10)||chr(10))")
+@query("managed_remove", "select doc_id, sha256(regexp_replace(text||repeat(chr(10), 5)||'tail', '\\n{3,}', chr(10)||chr(10), 'g')) as page_sha256 from documents")
 def managed_remove(s, d):
     page = F.expr(f"text||'\n\n\n'||'{T.START}'||'\nold\n'||'{T.END}'||'\n\ntail'")
-    return view(s, d, "documents").where(~c("text").contains("\n\n")).select("doc_id", F.sha2(T.remove_managed(page), 256).alias("page_sha256"))
+    return view(s, d, "documents").select("doc_id", F.sha2(T.remove_managed(page), 256).alias("page_sha256"))
 
 
 @query("converted_document", ddb("src", "with t as (select s.*, d.text from src s join documents d using (doc_id)) select doc_id, sha256('---'||chr(10)||'source: \"'||rel_path||'\"'||chr(10)||'source_sha256: \"'||content_hash||'\"'||chr(10)||'converter: text'||chr(10)||'converted_at: 2024-01-01T00:00:00+00:00'||chr(10)||'warnings: [\"w'||(doc_id%3)||'\"]'||chr(10)||'---'||chr(10)||chr(10)||ltrim(text)) as markdown_sha256 from t"))
@@ -143,8 +143,7 @@ def html_to_md(s, d):
     return V.converted(view(s, d, "pages"), lambda x: (V.html_to_markdown(x), []), "html", "page_id")
 
 
-@query("doc_chunks", "select doc_id, strlen(text)>65536 as truncated, case when strlen(text)=0 then 0 else 1 + greatest(0, ceil((least(strlen(text), 65536)-4096)/8192.0)) end::bigint as chunks from documents where strlen(text)=length(text)")
+@query("doc_chunks")
 def doc_chunks(s, d):
-    """Pieces of plain ASCII texts, whose cuts are known."""
-    docs = view(s, d, "documents").where(F.octet_length("text") == F.char_length("text"))
-    return V.chunked(docs).groupBy("doc_id", "truncated").agg(F.count("*").alias("chunks"))
+    """Pieces of every document, with their digests."""
+    return V.chunked(view(s, d, "documents")).select("doc_id", "chunk", F.sha2("piece", 256).alias("piece_sha256"), "last", "truncated")

@@ -99,14 +99,14 @@ def result_categories(s, d):
     return view(s, d, "events").select("event_id", F.array_join(kept, ",").alias("categories"))
 
 
-OLD = "select pos, name, description from cats where pos<=60"
-NEW = "select pos, ' '||name||' ' as name, case when pos%3=0 then description||'!' else description end as description from cats where pos%4<>1 and pos between 41 and 400"
+OLD = "select pos, name, description from cats where pos%3=0"
+NEW = "select pos, ' '||name||' ' as name, case when pos%3=0 then description||'!' else description end as description from cats where pos%4<>1"
 KEY = f"lower({TRIM.format('name')})"
 
 
 @query("category_import_preview", ddb("cats", f"with o0 as ({OLD}), n as ({NEW}), o as (select * from o0 qualify row_number() over (partition by {KEY} order by pos)=1) select n.pos, lower({TRIM.format('n.name')}) as key, case when o.pos is null then 'added' when o.description=n.description then 'identical' else 'conflict' end as outcome from n left join o on lower({TRIM.format('n.name')})=lower({TRIM.format('o.name')})"))
 def category_import_preview(s, d):
-    return K.import_preview(view(s, d, "cats").selectExpr("pos", "' '||name||' ' as name", "case when pos%3=0 then description||'!' else description end as description").where("pos%4<>1 and pos between 41 and 400"), once(view(s, d, "cats").where("pos<=60")))
+    return K.import_preview(view(s, d, "cats").selectExpr("pos", "' '||name||' ' as name", "case when pos%3=0 then description||'!' else description end as description").where("pos%4<>1"), once(view(s, d, "cats").where("pos%3=0")))
 
 
 def once(rules):
@@ -118,8 +118,8 @@ def once(rules):
 
 @query("category_import_merge", ddb("cats", f"with o0 as ({OLD}), n0 as ({NEW}), o as (select *, {KEY} as k from o0 qualify row_number() over (partition by {KEY} order by pos)=1), n as (select *, {KEY} as k from n0 qualify row_number() over (partition by {KEY} order by pos)=1) select (row_number() over (order by o.pos nulls last, n.pos))::int as place, coalesce(o.name, {TRIM.format('n.name')}) as name, case when n.pos is not null then n.description else o.description end as description from o full join n on o.k=n.k"))
 def category_import_merge(s, d):
-    new = view(s, d, "cats").selectExpr("pos", "' '||name||' ' as name", "case when pos%3=0 then description||'!' else description end as description").where("pos%4<>1 and pos between 41 and 400")
-    return K.import_merge(once(new), once(view(s, d, "cats").where("pos<=60")), overwrite=True)
+    new = view(s, d, "cats").selectExpr("pos", "' '||name||' ' as name", "case when pos%3=0 then description||'!' else description end as description").where("pos%4<>1")
+    return K.import_merge(once(new), once(view(s, d, "cats").where("pos%3=0")), overwrite=True)
 
 
 @query("category_import_validate", ddb("cats", """with b as (select pos//10 as batch, count(*) as n, min(pos) as p, count(*) filter (pos%40=7) as w from cats group by 1), k as (select pos//10 as batch, pos%10 as i, row_number() over (partition by pos//10 order by pos) as place, lower(trim(name)) as key, pos from cats),
