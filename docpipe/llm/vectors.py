@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docpipe.llm.common import components, table, written
 
-BLOCKS, GRID, PART, STRIP = 4, 2, 8192, 512
+BLOCKS, GRID, PART, STRIP = 4, 2, 8192, 128
 CELL = "dim int, block int, cell long"
 GROUP = ["dim", "block", "cell", "kind", "i", "j"]
 #: Cells next to one's own, of each pair one: those that come later in order.
@@ -139,23 +139,29 @@ class Join:
 
         dealt = named.mapInPandas(deal, f"{CELL}, kind int, i int, j int, side int, cid long, part binary")
 
-        def near(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        def near(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             """Pairs of a group within the block's share. kind 0: parts of one cell; 1: a cell's part and its guests'."""
-            kind, i, j = x["kind"].iloc[0], x["i"].iloc[0], x["j"].iloc[0]
-            side, ids = x["side"].to_numpy(), x["cid"].to_numpy()
-            p = np.stack([np.frombuffer(b, dtype=np.float32) for b in x["part"]])
+            kind, i, j = rows["kind"].iloc[0], rows["i"].iloc[0], rows["j"].iloc[0]
+            side, ids = rows["side"].to_numpy(), rows["cid"].to_numpy()
+            p = np.stack([np.frombuffer(b, dtype=np.float32) for b in rows["part"]])
             first, second = (0, 1) if kind else (i, j)
             a, b = np.flatnonzero(side == first), np.flatnonzero(side == second)
-            budget = space(int(x["dim"].iloc[0])).budgets[x["block"].iloc[0]]
-            q = p[b].T
-            norm = (p * p).sum(axis=1)
+            budget = np.float32(space(int(rows["dim"].iloc[0])).budgets[rows["block"].iloc[0]])
+            # Squared distances as one product: |x|^2 - 2 xy + |y|^2.
+            norm, one = (p * p).sum(axis=1, keepdims=True), np.ones((len(p), 1), dtype=np.float32)
+            x, y = np.hstack([-2 * p, norm, one])[a], np.ascontiguousarray(np.hstack([p, one, norm])[b].T)
+            same, found, n = not kind and i == j, [], 0
             for k in range(0, len(a), STRIP):
-                s = a[k : k + STRIP]
-                u, v = np.nonzero(norm[s][:, None] + norm[b][None, :] - 2 * (p[s] @ q) <= budget)
-                u, v = ids[s[u]], ids[b[v]]
-                ok = u < v if not kind and i == j else u != v
-                if ok.any():
-                    yield pd.DataFrame({"a": np.minimum(u, v)[ok], "b": np.maximum(u, v)[ok]})
+                first = k if same else 0  # of a part with itself, the pairs not yet seen
+                at = np.flatnonzero((x[k : k + STRIP] @ y[:, first:]).ravel() <= budget)
+                u, v = np.divmod(at, len(b) - first)
+                u, v = ids[a[u + k]], ids[b[v + first]]
+                ok = u != v
+                found.append((np.minimum(u, v)[ok], np.maximum(u, v)[ok]))
+                n += len(at)
+                if n > 500_000 or k + STRIP >= len(a):
+                    yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+                    found, n = [], 0
 
         def range_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest = None
