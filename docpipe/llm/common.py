@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 2_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +51,16 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lets Arrow carry TEXT_ROWS rows at once at most: texts are long, and tasks and Python workers hold whole batches.
+
+    A setting of the session, read when a plan runs, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within limit, else df for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import crc_mod, table
+from docpipe.llm.common import crc_mod, table, text_batches
 
 #: Labelled texts to learn a language from, about (chosen by a hash of the id).
 SAMPLE = 6_000
@@ -31,7 +31,7 @@ KEEP_WORDS, KEEP_GRAMS, LONGEST_GRAM = 30_000, 6_000, 5
 #: Languages that one model can hold, and units of all languages: with many languages each keeps fewer.
 MOST_LANGUAGES, MOST_UNITS = 1_000, 1_000_000
 #: Words whose scores a worker remembers.
-MEMORY = 300_000
+MEMORY = 100_000
 #: Texts whose words are held at once.
 RUN = 256
 #: Words up to which more words make a surer score.
@@ -58,21 +58,27 @@ class Model:
         total = np.zeros((LONGEST_GRAM + 1, max(1, len(self.langs))))
         for lang, n, c in zip(rows["lang"], rows["n"], rows["count"], strict=True):
             total[n, k[lang]] += c
-        #: By n and unit: log10 of the relative frequency in each language; half an occurrence where there is none.
-        self.units: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-        least = np.log10(0.5 / np.maximum(total, 1))
+        #: By n, the row of a unit; a row is the log10 of the relative frequency in each language, of half an occurrence where there is none.
+        self.units: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
+        for n, unit in zip(rows["n"], rows["unit"], strict=True):
+            self.units[n][unit] = 0
+        at = 0
+        for known in self.units:
+            for unit in known:
+                known[unit] = at
+                at += 1
+        self.rows = np.empty((at, len(self.langs)), dtype=np.float32)
+        for n, known in enumerate(self.units):
+            self.rows[list(known.values())] = np.log10(0.5 / np.maximum(total[n, : len(self.langs)], 1))
         for lang, n, unit, c in zip(rows["lang"], rows["n"], rows["unit"], rows["count"], strict=True):
-            x = self.units[n].get(unit)
-            if x is None:
-                x = self.units[n][unit] = least[n].astype(np.float32)
-            x[k[lang]] = np.log10(c / total[n, k[lang]])
+            self.rows[self.units[n][unit], k[lang]] = np.log10(c / total[n, k[lang]])
 
     def word(self, w: str) -> np.ndarray:
-        if (x := self.units[0].get(w)) is not None:
-            return x
+        if (i := self.units[0].get(w)) is not None:
+            return self.rows[i]
         for n in range(LONGEST_GRAM, 0, -1):
-            if known := [x for g in grams(w, n) if (x := self.units[n].get(g)) is not None]:
-                return np.mean(known, axis=0)
+            if known := [i for g in grams(w, n) if (i := self.units[n].get(g)) is not None]:
+                return self.rows[known].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
@@ -118,6 +124,7 @@ class Scorer(dict):
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labelled (doc_id, text, lang). Only the sample's counts, of bounded size, come to the driver."""
+    text_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     sizes = {x["lang"]: x["count"] for x in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -129,11 +136,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            by: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(x["lang"], x["text"], strict=True):
-                by[lang].update(words(text))
-            for lang, c in by.items():
-                yield pd.DataFrame({"lang": lang, "unit": list(c), "count": list(c.values())})
+            for low in range(0, len(x), 4 * RUN):
+                by: dict[str, Counter] = defaultdict(Counter)
+                for lang, text in zip(x["lang"].iloc[low : low + 4 * RUN], x["text"].iloc[low : low + 4 * RUN], strict=True):
+                    by[lang].update(words(text))
+                for lang, c in by.items():
+                    yield pd.DataFrame({"lang": lang, "unit": list(c), "count": list(c.values())})
 
     known = labelled.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, unit string, count long").groupBy("lang", "unit").agg(F.sum("count").alias("count"))
     # The n-grams of a word count as often as the word.
@@ -153,6 +161,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Rows (row: all of docs' columns, lang_pred, score)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of units kept
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import crc_mod, table
+from docpipe.llm.common import crc_mod, table, text_batches
 
 #: Labelled rows to learn from, about (chosen by a hash of the id): the bound of what the driver gathers.
 SAMPLE = 20_000
@@ -156,6 +156,7 @@ class Additive:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     """A model of docs (doc_id, text) by labels (doc_id, quality), from about `sample` labelled rows."""
+    text_batches(docs.sparkSession)
     labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
     n = labels.count()
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -173,6 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
 
 def scored(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
     """Rows (row: all of docs' columns, score)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import table
+from docpipe.llm.common import table, text_batches
 
 #: Words of a batch of suffixes; a longer text is a batch of its own.
 BATCH_WORDS = 200_000
@@ -143,6 +143,7 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = 8, max_covered:
         for x in batches:
             yield measures(x, 5, min_words)
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"))
     out = rows.select("row", F.pandas_udf(measure, MEASURES).asNondeterministic()("t").alias("m")).select("row", "m.*")
     base: Column = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import table
+from docpipe.llm.common import table, text_batches
 
 #: Characters: a longer text is cut; the step from chunk to chunk; what a chunk shares with the next.
 LONG, STEP, OVERLAP = 65_536, 32_768, 512
@@ -115,6 +115,7 @@ class Bpe:
     """A byte-level BPE of a rank file and a pre-token pattern."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        text_batches(spark)
         shared = spark.sparkContext.broadcast(read_ranks(path))  # the vocabulary, of fixed size
 
         def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
