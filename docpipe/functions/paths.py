@@ -149,3 +149,13 @@ def media_extension(media: Column, origin: Column) -> Column:
     }
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.coalesce(F.try_element_at(table, media), F.nullif(own, F.lit("")), F.lit("bin"))
+
+
+def breadcrumbs(folder: Column, root_title: str = "Knowledge index", page: str = INDEX_NAME) -> Column:
+    """Links from a folder's page up to the root's, the root first: [title](../../index.md) / [a](../index.md) / b."""
+    parts = F.split(folder, "/")
+    up = lambda n: F.concat(F.repeat(F.lit("../"), n), F.lit(page))
+    root = F.concat(F.lit(f"[{root_title}]("), up(F.size(parts)), F.lit(")"))
+    above = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.concat(F.lit("["), escape_link_text(x), F.lit("]("), up(F.size(parts) - i.cast("int") - 1), F.lit(")")))
+    here = escape_markdown(F.element_at(parts, -1))
+    return F.when(folder == "", "").otherwise(F.array_join(F.concat(F.array(root), above, F.array(here)), " / "))

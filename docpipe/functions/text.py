@@ -146,3 +146,9 @@ def rewrite_assets(markdown: Column, old: Column, new: Column) -> Column:
 def is_html_start(x: Column) -> Column:
     """Whether a text is HTML behind a byte-order mark, white space, comments and an XML declaration."""
     return x.rlike(r"(?is)^\x{FEFF}?(?:\s+|<!--.*?-->|<\?xml.*?\?>)*<(?:!doctype\s+html|html)\b")
+
+
+def failure_status(engine: Column, code: Column) -> Column:
+    """waiting for an OCR failure of the network or of missing credentials, which a later try may mend; else failed."""
+    passing = code.isin("network_timeout", "service_unavailable", "service_rate_limited", "mineru_not_configured")
+    return F.when((engine == "mineru") & passing, "waiting_mineru").otherwise("failed")

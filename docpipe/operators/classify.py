@@ -136,3 +136,20 @@ def request_body(model: str, document: Column, truncated: Column, questions: Col
     """The JSON of a request: model, state and questions."""
     state = F.struct(document.alias("document"), truncated.alias("truncated"))
     return F.to_json(F.struct(F.lit(model).alias("model"), state.alias("state"), questions.alias("questions")))
+
+
+def single_question(labels: DataFrame) -> DataFrame:
+    """One row (n, options: JSON, error) of labels (pos from 0, name): the options of a single choice, the fallback last.
+
+    A request has MOST_OPTIONS labels at most; more are an error.
+    """
+    held = labels.select("pos", "name").groupBy().agg(F.array_sort(F.collect_list(F.when(F.col("pos") <= MOST_OPTIONS, F.struct("pos", "name")))).alias("l"), F.count("*").alias("n"))
+    options = F.concat(F.transform("l", lambda x: F.struct(F.concat(F.lit("label_"), x["pos"].cast("string")).alias("id"), x["name"].alias("name"))), F.array(F.struct(F.lit(FALLBACK_ID).alias("id"), F.lit(FALLBACK).alias("name"))))
+    return held.select("n", F.when(F.col("n") <= MOST_OPTIONS, F.to_json(options)).alias("options"), F.when(F.col("n") > MOST_OPTIONS, "too_many_options").alias("error"))
+
+
+def import_result(preview: DataFrame, overwrite: bool) -> DataFrame:
+    """One row (added, skipped, overwritten) of an import's preview (outcome)."""
+    conflicts, same = F.count_if(F.col("outcome") == "conflict"), F.count_if(F.col("outcome") == "identical")
+    over = conflicts if overwrite else F.lit(0).cast("long")
+    return preview.agg(F.count_if(F.col("outcome") == "added").alias("added"), (same + conflicts - over).alias("skipped"), over.alias("overwritten"))

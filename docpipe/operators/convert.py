@@ -348,3 +348,9 @@ def merged_warnings(parts: DataFrame) -> DataFrame:
     """Rows (doc_id, warnings) of parts (doc_id, part_index, warnings): in order, each once."""
     held = F.array_sort(F.collect_list(F.struct("part_index", "warnings")))
     return parts.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.transform(held, lambda x: x["warnings"]))).alias("warnings"))
+
+
+def missing_image_warnings(references: DataFrame) -> DataFrame:
+    """Rows (doc_id, warning) of image references (doc_id, found): one warning for a document with images that are missing."""
+    n = references.groupBy("doc_id").agg(F.count_if(~F.coalesce("found", F.lit(False))).alias("n")).where("n > 0")
+    return n.select("doc_id", F.format_string("%d images are missing", "n").alias("warning"))

@@ -6,11 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docpipe.functions import paths as P
+from docpipe.functions import text as T
 from docpipe.operators import classify as K
 from docpipe.operators import convert as V
 from docpipe.operators import inventory as I
 from docpipe.operators import parts as R
 from docpipe.operators import state as S
+from docpipe.plans import rules
 from docpipe.plans.derived import ddb, view
 
 c = F.col
@@ -81,3 +83,32 @@ def folder_depth(s, d):
     f = view(s, d, "md_docs").select(P.parent(c("rel_path")).alias("folder")).distinct().withColumn("depth", F.size(F.split("folder", "/")))
     # A list of folders, far shorter than that of the documents.
     return f.select("folder", "depth", F.row_number().over(W.orderBy(F.desc("depth"), "folder")).alias("place"))
+
+
+@query("failure_status", "with e as (select ['mineru','copy'][event_id%2+1] as engine, ['network_timeout','mineru_not_configured','file_in_use','service_unavailable','unexpected_error'][event_id%5+1] as code from events) select engine, code, case when engine='mineru' and code in ('network_timeout','service_unavailable','mineru_not_configured') then 'waiting_mineru' else 'failed' end as status, count(*) as n from e group by all")
+def failure_status(s, d):
+    e = view(s, d, "events").selectExpr("element_at(array('mineru','copy'), cast(event_id%2+1 as int)) as engine", "element_at(array('connection timed out','MinerU token missing','file is being used','HTTP 503','odd'), cast(event_id%5+1 as int)) as message")
+    e = e.withColumn("code", T.error_class(c("message")))
+    return e.groupBy("engine", "code", T.failure_status(c("engine"), c("code")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("breadcrumbs", ddb("md_docs", "with f as (select distinct regexp_extract(rel_path, '^(.*)/[^/]*$', 1) as folder from md_docs), p as (select folder, string_split(folder, '/') as ps from f) select folder, '[Knowledge index]('||repeat('../', len(ps)::bigint)||'index.md) / '||case when len(ps)>1 then '['||ps[1]||'](../index.md) / ' else '' end||ps[-1] as line from p"))
+def breadcrumbs(s, d):
+    return view(s, d, "md_docs").select(P.parent(c("rel_path")).alias("folder")).distinct().select("folder", P.breadcrumbs(c("folder")).alias("line"))
+
+
+@query("single_question", ddb("cats", "select count(*) as n, null::varchar as options, 'too_many_options' as error from cats having count(*)>254 union all select count(*), '['||string_agg('{\"id\":\"label_'||pos||'\",\"name\":\"'||name||'\"}', ',' order by pos)||',{\"id\":\"unclassified\",\"name\":\"未分类\"}]', null from cats having count(*)<=254"))
+def single_question(s, d):
+    return K.single_question(view(s, d, "cats"))
+
+
+@query("import_result", ddb("cats", f"with o0 as ({rules.OLD}), n as ({rules.NEW}), o as (select * from o0 qualify row_number() over (partition by {rules.KEY} order by pos)=1), p as (select case when o.pos is null then 'added' when o.description=n.description then 'identical' else 'conflict' end as outcome from n left join o on lower(trim(n.name))=lower(trim(o.name))) select count(*) filter (outcome='added') as added, count(*) filter (outcome='identical') as skipped, count(*) filter (outcome='conflict') as overwritten from p"))
+def import_result(s, d):
+    preview = rules.category_import_preview(s, d)
+    return K.import_result(preview, overwrite=True)
+
+
+@query("missing_images", "select doc_id, n||' images are missing' as warning from (select l_orderkey as doc_id, count(*) filter (l_quantity<10) as n from lineitem group by 1) where n>0")
+def missing_images(s, d):
+    refs = view(s, d, "lineitem").select(c("l_orderkey").alias("doc_id"), (c("l_quantity") >= 10).alias("found"))
+    return V.missing_image_warnings(refs)

@@ -128,3 +128,30 @@ def test_import_positions(spark):
     rows = {r.batch: r for r in K.category_batches(spark.createDataFrame([(1, good), (2, bad), (3, twice), (4, "{}"), (5, '[{"name":"a"}]')], "batch long, json string")).collect()}
     assert [rows[i].error for i in range(1, 6)] == [None, "bad_item", "duplicate_name", "not_an_array", "bad_item"]
     assert rows[2].error_position == 2
+
+
+def test_sinks(spark, tmp_path):
+    X.write_converted(spark.createDataFrame([("p", "a.md", "---\nx\n---\n", "\n\n body"), ("q", "b.md", "---\n---\n", "b")], "profile_id string, rel_path string, frontmatter string, markdown string"), str(tmp_path / "md"))
+    assert {r.markdown for r in spark.read.parquet(str(tmp_path / "md")).collect()} == {"---\nx\n---\n\nbody", "---\n---\n\nb"}
+    X.write_converted(spark.createDataFrame([("q", "b.md", "", "new")], "profile_id string, rel_path string, frontmatter string, markdown string"), str(tmp_path / "md"))
+    assert {(r.profile_id, r.markdown[-4:]) for r in spark.read.parquet(str(tmp_path / "md")).collect()} == {("p", "body"), ("q", "\nnew")}
+    X.write_assets(spark.createDataFrame([(1, "o/a.md", "i/x.png", b"1"), (1, "o/a.md", "../evil", b"2")], "doc_id long, output_path string, relative_path string, bytes binary"), str(tmp_path / "assets"))
+    assert [r.asset_path for r in spark.read.parquet(str(tmp_path / "assets")).collect()] == ["o/a.assets/i/x.png"]
+
+
+def test_state_gains_columns(spark, tmp_path):
+    spark.createDataFrame([(1,)], "id long").write.parquet(str(tmp_path / "s" / "v=1"))
+    schema = spark.createDataFrame([], "id long, error string").schema
+    assert X.read_state(spark, str(tmp_path / "s" / "v=1"), schema).first().asDict() == {"id": 1, "error": None}
+
+
+def test_scores_are_a_plug_in(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "")], "doc_id long, text string")
+    out = V.with_scores(df, lambda x: x.assign(p=x["text"].str.len() / 2)[["doc_id", "p"]], "doc_id long, p double")
+    assert {(r.doc_id, r.p) for r in out.collect()} == {(1, 1.0), (2, 0.0)}
+
+
+@pytest.mark.parametrize("n", [254, 255])
+def test_most_options(spark, n):
+    row = K.single_question(spark.createDataFrame([(i, f"n{i}") for i in range(n)], "pos int, name string")).first()
+    assert (row.error is None) == (n == 254)
