@@ -21,5 +21,6 @@ SQL = {
     "op1_source_mixing": mixing.SQL,
     "op6_page_wrappers": extraction.SQL,
     "op8_minhash_jaccard": jaccard.SQL,
+    "op9_minimax_sharding": sharding.SQL,
     "op10_subspace_pigeonhole": vectors.SQL,
 }

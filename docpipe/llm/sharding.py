@@ -154,7 +154,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         docs["doc_id"].alias("doc_id"),
         F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit(""))).alias("gid"),
         F.conv(F.substring(F.coalesce(F.md5(text), F.lit("000")), 1, 3), 16, 10).cast("int").alias("block"),
-        F.pmod(F.xxhash64(docs["doc_id"]), F.lit(SALTS)).cast("int").alias("salt"),
+        (F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int") % SALTS).alias("salt"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
@@ -170,6 +170,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     ends = Ends(parts)
     largest = [x["group_bytes"] for x in parts.groupBy("block", "gid").agg(F.max("group_bytes").alias("group_bytes")).orderBy(F.desc("group_bytes")).limit(shards + 1).collect()]
     cuts = minimax_cuts(ends, largest, shards)
+    ends.groups.unpersist()
     last = F.array(*[F.lit(b) for b, _ in cuts]) if cuts else F.array(F.lit(0))
     first_row = F.array(*[F.lit(r) for r in [0, *[r for _, r in cuts]]])
     placed = parts.join(F.broadcast(ends.offsets), "block").select(
@@ -187,3 +188,36 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same laws and orders: groups by digest, the least capacity by bisection, even cuts within it.
+SQL = """
+with recursive d as (select doc_id, coalesce(md5(text), '') as gid, (coalesce(strlen(text), 0) + 8)::bigint as size, text,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 3))::int % 1024 as salt from documents),
+g as (select gid, sum(size)::bigint as b, count(*) as n from d group by gid),
+ends as materialized (select gid, (sum(b) over (order by gid))::bigint as e from g),
+t as (select max(e) as total from ends),
+search as (select 1::bigint as lo, total as hi, (1 + total) // 2 as c, 0 as used, 0::bigint as p, total from t union all
+  select lo2, hi2, case when over then (lo2 + hi2) // 2 else c end, case when over then 0 else used + 1 end,
+    case when over then 0 else coalesce((select max(e) from ends where e <= s.p + s.c and e > s.p), (select min(e) from ends where e > s.p)) end, total
+  from (select *, p = total or used = 24 as over, case when p <> total and used = 24 then c + 1 else lo end as lo2, case when p = total then c else hi end as hi2 from search where lo < hi) s),
+cap as (select max(lo) as c from search where lo >= hi),
+latest as (select 0 as j, 0::bigint as p union all
+  select j + 1, coalesce((select max(e) from ends where e <= l.p + (select c from cap) and e > l.p), (select min(e) from ends where e > l.p)) from latest l where p < (select total from t)),
+m as (select max(j) as m from latest),
+early as (select (select m from m) - 1 as j, total as q from t union all
+  select j - 1, case when q <= (select c from cap) then 0 when (select min(e) from ends where e >= y.q - (select c from cap)) < q then (select min(e) from ends where e >= y.q - (select c from cap))
+    else coalesce((select max(e) from ends where e < y.q), 0) end from early y where j > 0),
+even as (select -1 as j, 0::bigint as p union all
+  select j + 1, case when j + 1 = (select m from m) - 1 then (select total from t) else greatest((select q from early where early.j = v.j + 1),
+    case when pick - p > (select c from cap) then case when b > p then b else nb end else pick end) end
+  from (select *, case when b <= p or nb - share < share - b then nb else b end as pick from
+    (select *, coalesce((select max(e) from ends where e <= w.share), 0) as b, (select min(e) from ends where e > w.share) as nb from
+      (select j, p, p + greatest(1, ((select total from t) - p) // ((select m from m) - (j + 1))) as share from even where p < (select total from t)) w)) v),
+bits as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tbl),
+crcs as (select text, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295)::bigint as text_crc32
+  from (select distinct text from documents), bits),
+placed as (select d.*, (select count(*) from even where j >= 0 and even.p < ends.e)::int as shard from d join ends using (gid))
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by gid, salt, doc_id nulls first) - 1 as slot, null::int as grown_shard
+from placed join crcs on placed.text is not distinct from crcs.text
+"""
