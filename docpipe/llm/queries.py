@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_source_mixing": mixing.SQL,
+    "op4_suffix_repetition": repetition.SQL,
     "op6_page_wrappers": extraction.SQL,
     "op8_minhash_jaccard": jaccard.SQL,
     "op9_minimax_sharding": sharding.SQL,

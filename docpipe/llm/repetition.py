@@ -154,3 +154,24 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = 8, max_covered:
 def query(spark, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", *[x.split()[0] for x in MEASURES.split(", ")], "base_failed", "kept")
+
+
+#: By pairs of places of equal words: runs of them on one diagonal are repeats.
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i from d),
+pairs as (select a.doc_id, a.i, b.i - a.i as gap from w a join w b on a.doc_id = b.doc_id and a.word = b.word and a.i < b.i),
+runs as (select doc_id, gap, min(i) as i, count(*) as n from (select *, i - row_number() over (partition by doc_id, gap order by i) as k from pairs) group by doc_id, gap, k),
+spans as (select doc_id, i, n from runs where n >= 5 union all select doc_id, i + gap, n from runs where n >= 5),
+marked as (select doc_id, i, n, 5 as least from spans union all select doc_id, i, n, 8 from spans where n >= 8),
+swept as (select doc_id, least, i, i + n as e, coalesce(max(i + n) over (partition by doc_id, least order by i, i + n rows between unbounded preceding and 1 preceding), 0) as before from marked),
+cover as (select doc_id, least, sum(greatest(0, e - greatest(i, before)))::bigint as n from swept group by doc_id, least),
+longest as (select doc_id, max(n) as longest from runs group by doc_id),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as k from d),
+dup as (select doc_id, count(*) as n from (select doc_id, line, row_number() over (partition by doc_id, line order by k) as nth from lines) where nth > 1 and regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+m as (select d.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(dup.n, 0) as n_dup_lines, coalesce(five.n, 0) as n_repeat_words, coalesce(eight.n, 0) as n_covered, coalesce(longest, 0) as longest
+  from d left join dup using (doc_id) left join longest using (doc_id) left join (select * from cover where least = 5) five on five.doc_id = d.doc_id left join (select * from cover where least = 8) eight on eight.doc_id = d.doc_id),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select *, not base_failed and n_covered <= 0.2 * n_words and longest <= 60 as kept from b
+"""
