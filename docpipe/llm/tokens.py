@@ -124,11 +124,17 @@ class Bpe:
                 for k in range(0, len(x), RUN):
                     yield pd.Series([words.encode(t) if t else b"" for t in x.iloc[k : k + RUN]], dtype=object)
 
+        def decoded(ids: bytes) -> bytes:
+            return b"".join(map(words_of(pattern, shared).vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            vocabulary = words_of(pattern, shared).vocabulary
             for x in ids:
                 for k in range(0, len(x), RUN):
-                    yield pd.Series([b"".join(map(vocabulary.__getitem__, np.frombuffer(b, dtype="<u4").tolist())) for b in x.iloc[k : k + RUN]], dtype=object)
+                    yield pd.Series([decoded(b) for b in x.iloc[k : k + RUN]], dtype=object)
+
+        def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for ids in encode(texts):
+                yield pd.DataFrame({"ids": ids, "decoded": [decoded(b) for b in ids]})
 
         def ends(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(pattern, shared)
@@ -137,6 +143,8 @@ class Bpe:
 
         # Not deterministic: so that Spark never evaluates one of them twice for a row.
         self._encode = F.pandas_udf(encode, "binary").asNondeterministic()
+        self._code = F.pandas_udf(code, "ids binary, decoded binary").asNondeterministic()
+        self._decoded = decoded
         self._decode = F.pandas_udf(decode, "binary").asNondeterministic()
         self._ends = F.pandas_udf(ends, "head array<int>, tail array<int>").asNondeterministic()
 
@@ -146,8 +154,19 @@ class Bpe:
 
     def encode(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Rows (row: all of docs' columns, ids: little-endian unsigned 32-bit integers, packed)."""
+        return self.round_trip(docs, text, decode=False)
+
+    def round_trip(self, docs: DataFrame, text: str = "text", decode: bool = True) -> DataFrame:
+        """Rows (row, ids, decoded: the bytes that the ids decode to), coded and decoded by the same worker."""
+        own = self._decoded
+
+        def coded(frame: DataFrame) -> DataFrame:
+            if decode:
+                return frame.select("row", self._code("t").alias("c")).select("row", "c.*")
+            return frame.select("row", self._encode("t").alias("ids"))
+
         rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"))
-        short = rows.where(F.length("t") <= LONG).select("row", self._encode("t").alias("ids"))
+        short = coded(rows.where(F.length("t") <= LONG))
         # A long text is rare; its chunks are dealt over all tasks, and its ids come together again by its own number.
         long_ = rows.where(F.length("t") > LONG).withColumn("uid", F.monotonically_increasing_id())
         chunks = long_.select("uid", "t", F.explode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(STEP))).alias("at"))
@@ -159,18 +178,17 @@ class Bpe:
         pieces = cuts.select("uid", "at", self._encode(F.expr("substring(piece, start + 1, stop - start)")).alias("ids"), (F.col("start").isNull() | F.col("stop").isNull()).alias("torn"))
 
         def joined(key, x: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"uid": [key[0]], "joined": [None if x["torn"].any() else b"".join(x.sort_values("at")["ids"])]})
+            ids = None if x["torn"].any() else b"".join(x.sort_values("at")["ids"])
+            return pd.DataFrame({"uid": [key[0]], "ids": [ids], "decoded": [own(ids) if decode and ids is not None else None]})
 
-        whole = pieces.groupBy("uid").applyInPandas(joined, "uid long, joined binary")
+        whole = pieces.groupBy("uid").applyInPandas(joined, "uid long, ids binary, decoded binary")
         met = long_.join(whole, "uid")
-        out = short.unionByName(met.where("joined is not null").select("row", F.col("joined").alias("ids")))
-        return out.unionByName(met.where("joined is null").select("row", self._encode("t").alias("ids")))
+        return short.unionByName(met.where("ids is not null").select(*short.columns)).unionByName(coded(met.where("ids is null").select("row", "t")))
 
 
 def digest(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     bpe = Bpe(spark, path, pattern)
-    coded = bpe.encode(docs.select("doc_id", "text")).select("row.doc_id", "ids").withColumn("decoded", bpe.decode(F.col("ids")))
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs.select("doc_id", "text")).select("row.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

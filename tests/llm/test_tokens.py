@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from docpipe.llm import tokens as T
 
@@ -49,3 +50,11 @@ def test_stitched_chunks(spark, documents, monkeypatch, long, step, overlap):
     check(spark, documents.where("length(text) < 3000"))
     rows = [(0, "a" * 500), (1, "\n\n\n word" * 60), (2, "don't   stop\n\n\n\n" * 30), (3, " " * 300 + "x"), (4, "é中" * 200 + " tail of words here")]
     check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_decode_is_the_inverse(spark, documents):
+    bpe = T.Bpe(spark, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rows = bpe.encode(documents).withColumn("back", bpe.decode(F.col("ids"))).select("row.text", "back").collect()
+    assert len(rows) == documents.count() and all(bytes(r.back).decode() == r.text for r in rows)
+
+
