@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import WORD, bounded_broadcast, table, written
+from docpipe.llm.common import WORD, table, written
 
 #: The number of sources up to which their rates are broadcast.
 BROADCAST_SOURCES = 100_000

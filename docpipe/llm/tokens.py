@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import table, text_batches
+from docpipe.llm.common import table, text_batches, written
 
 #: Characters: a longer text is cut; the step from chunk to chunk; what a chunk shares with the next.
 LONG, STEP, OVERLAP = 65_536, 32_768, 512
@@ -168,7 +168,7 @@ class Bpe:
         rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"))
         short = coded(rows.where(F.length("t") <= LONG))
         # A long text is rare; its chunks are dealt over all tasks, and its ids come together again by its own number.
-        long_ = rows.where(F.length("t") > LONG).withColumn("uid", F.monotonically_increasing_id())
+        long_, _ = written(rows.where(F.length("t") > LONG).withColumn("uid", F.monotonically_increasing_id()), "long")
         chunks = long_.select("uid", "t", F.explode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(STEP))).alias("at"))
         chunks = chunks.select("uid", "at", (F.col("at") + STEP >= F.length("t")).alias("last"), F.col("t").substr(F.col("at") + 1, F.lit(STEP + OVERLAP)).alias("piece"))
         chunks = chunks.repartition("uid", "at").withColumn("e", self._ends(F.struct("piece")))
