@@ -139,7 +139,7 @@ class Bpe:
         def ends(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(pattern, shared)
             for x in chunks:
-                yield pd.DataFrame({"head": [words.ends(t, 0, OVERLAP) for t in x["piece"]], "tail": [[e - STEP for e in words.ends(t, STEP, len(t))] for t in x["piece"]]})
+                yield pd.DataFrame({"head": [words.ends(t, 0, OVERLAP) for t in x["piece"]], "tail": [[e - STEP for e in words.ends(t, STEP, len(t) - 3)] for t in x["piece"]]})
 
         # Not deterministic: so that Spark never evaluates one of them twice for a row.
         self._encode = F.pandas_udf(encode, "binary").asNondeterministic()
