@@ -43,9 +43,7 @@ def error_class(message: Column) -> Column:
     low = F.lower(message)
     out = F.when(message.isNull(), F.lit(None).cast("string"))
     for code, words in ERRORS:
-        hit = low.contains(words[0])
-        for w in words[1:]:
-            hit = hit | low.contains(w)
+        hit = low.rlike("|".join(rf"\Q{w}\E" for w in words))
         out = out.when(hit & low.contains("pdf") if code == "pdf_legacy_source_limit" else hit, code)
     return out.otherwise(UNEXPECTED)
 
