@@ -28,8 +28,8 @@ from docpipe.llm.common import table, text_batches, written
 LONG, STEP, OVERLAP = 65_536, 32_768, 512
 #: Unicode's white space, which regular expression libraries do not agree on.
 SPACE = "\t-\r \x85\xa0{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Entries of a worker's memory of encoded words; full, it starts anew.
-MEMORY = 150_000
+#: Entries of each half of a worker's memory of encoded words. Bytes of a pre-token that is merged without a heap.
+MEMORY, SHORT = 250_000, 48
 #: Texts or id lists whose results are held at once.
 RUN = 500
 
@@ -44,6 +44,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return merge_short(piece, ranks)
     part, after, before = [piece[i : i + 1] for i in range(n)], [*range(1, n), -1], [-1, *range(n - 1)]
     heap = [(r, i, part[i] + part[i + 1]) for i in range(n - 1) if (r := ranks.get(part[i] + part[i + 1])) is not None]
     heapq.heapify(heap)
@@ -63,6 +65,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in part if x]
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a short pre-token, without a heap."""
+    rank, none = ranks.get, len(ranks) + (1 << 40)
+    part = [piece[i : i + 1] for i in range(len(piece))]
+    pair = [rank(a + b, none) for a, b in zip(part, part[1:])]
+    while pair and (low := min(pair)) < none:
+        i = pair.index(low)
+        part[i] += part.pop(i + 1)
+        del pair[i]
+        if i < len(pair):
+            pair[i] = rank(part[i] + part[i + 1], none)
+        if i:
+            pair[i - 1] = rank(part[i - 1] + part[i], none)
+    return [ranks[x] for x in part]
+
+
 class Words(dict):
     """Packed ids of a word with the blank before it, or of a run of white space; made when first asked for."""
 
@@ -76,11 +94,16 @@ class Words(dict):
         self.vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.vocabulary[v] = k
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.vocabulary))]
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array([i for m in self.inner.findall(word) for i in merge(m.encode(), self.ranks)], dtype="<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            out = b"".join([self.packed[i] for m in self.inner.findall(word) for i in merge(m.encode(), self.ranks)])
         if len(word) <= 64:
-            if len(self) >= MEMORY:
+            if len(self) >= MEMORY:  # words asked for again come over from the old half
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
