@@ -4,9 +4,10 @@ A page is a stream of tokens: the tags of blocks and the texts between them. The
 stream, in which runs of the same shape are folded into repeated groups, and is aligned with page after page: what only
 one side has becomes optional, what comes again becomes repeated, texts that differ become slots. Wrappers of parts of a
 host's pages are aligned with each other in the same way, so the work is spread over all pages of all hosts. A wrapper
-names the element that holds the article, from its semantic tags or the mass of its slots, and the texts in it that never
-change, which belong to the template. Extraction walks a page along its host's wrapper; a page that does not match it is
-read by its own.
+names the element that holds the article, from its semantic tags or the mass of its texts. Texts of the template weigh
+nothing and are dropped: each is one value that stands, under the same tags, on nearly all different pages of its host,
+counted exactly over all of them by digests; repeats in a page and copies of a page count once. Extraction walks a page
+along its host's wrapper; a page that does not match it is read by its own.
 
 Cases: null and empty pages, and pages without text outside of boilerplate, give the empty text; a null url is a host of
 its own; repeated rows are extracted each; an empty table gives an empty result; other columns pass through
@@ -15,6 +16,7 @@ its own; repeated rows are extracted each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import table, text_batches, written
+from docpipe.llm.common import bounded_broadcast, removed, table, text_batches, written
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav "
@@ -45,12 +47,17 @@ NEVER_OUT = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Hosts' wrappers of up to so many bytes in all are broadcast; more are joined by salted host.
 BROADCAST_BYTES, SALTS = 16_000_000, 64
-#: Items of one element that are aligned; the longest period of a repeated group; pages that make a text the template's.
-MOST_ITEMS, LONGEST_GROUP, SURE_PAGES = 64, 3, 5
+#: Hosts up to which their numbers of pages are broadcast.
+BROADCAST_HOSTS = 1_000_000
+#: Items of one element that are aligned; the longest period of a repeated group.
+MOST_ITEMS, LONGEST_GROUP = 64, 3
+#: Different pages from which a host has a template; the share of a host's different pages that a text of it stands on, and
+#: their share where pages that differ in digits alone are one.
+SURE_PAGES, NEARLY_ALL, NEARLY_ALL_FORMS = 5, 0.9, 0.8
 #: Elements open at once; what is nested deeper lies flat in the deepest, its text kept.
 MOST_DEPTH = 100
-#: Values of a text that are told apart.
-MOST_VALUES = 12
+#: Constant texts of up to so many characters are shown in a wrapper's expression.
+SHOWN = 200
 #: Host wrappers that a task holds before it passes them on.
 HELD_HOSTS = 2_000
 
@@ -133,8 +140,8 @@ def clean(x: str) -> str:
     return " ".join(entities.unescape(x).split())
 
 
-# A wrapper is a list of items [key, occurrence, inside, mass]. Occurrence: "1", "?", "+" or "*". Inside a text: [its few values, or null
-# for a slot of many, and the times seen]; inside an element or a group: items. Mass: characters of article-like text.
+# A wrapper is a list of items [key, occurrence, inside, mass, own]. Occurrence: "1", "?", "+" or "*". Inside a text: its one value, or
+# null for a slot; inside an element or a group: items. Mass: characters of article-like text; own: those that are not the template's.
 
 
 def either(a: str, b: str) -> str:
@@ -144,9 +151,8 @@ def either(a: str, b: str) -> str:
 def join(a: list, b: list) -> list:
     """Two items of one key as one."""
     if a[0] == "#":
-        values = None if a[2][0] is None or b[2][0] is None else sorted({*a[2][0], *b[2][0]})
-        return ["#", either(a[1], b[1]), [None if values and len(values) > MOST_VALUES else values, a[2][1] + b[2][1]], a[3] + b[3]]
-    return [a[0], either(a[1], b[1]), align(a[2], b[2]), a[3] + b[3]]
+        return ["#", either(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
+    return [a[0], either(a[1], b[1]), align(a[2], b[2]), a[3] + b[3], a[4] + b[4]]
 
 
 def fold(items: list) -> list:
@@ -167,7 +173,7 @@ def fold(items: list) -> list:
                     unit[0][1] = either(unit[0][1], "+")
                     out += unit
                 else:
-                    out.append(["(" + " ".join(x[0] for x in unit) + ")", "+", unit, sum(x[3] for x in unit)])
+                    out.append(["(" + " ".join(x[0] for x in unit) + ")", "+", unit, sum(x[3] for x in unit), sum(x[4] for x in unit)])
         items = out
     return items
 
@@ -221,41 +227,45 @@ def runs(node: Node) -> Iterator[tuple[str, Node | None]]:
         yield t, None
 
 
-def shape(node: Node, out: bool = False) -> tuple[list, int]:
-    """The wrapper of one page's node, and its mass."""
-    items, mass = [], 0
+@lru_cache(maxsize=65_536)
+def digest(tags: tuple[str, ...], text: str) -> int:
+    """The number of a text under its tags."""
+    return int.from_bytes(hashlib.blake2b("\0".join((*tags, text)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def shape(node: Node, out: bool = False, template: frozenset = frozenset(), tags: tuple[str, ...] = ()) -> tuple[list, int, int]:
+    """The wrapper of one page's node, its mass, and what of it is not the template's."""
+    items, mass, own = [], 0, 0
     for text, block in runs(node):
         if block is None:
             n = 0 if out else len(text)
-            items.append(["#", "1", [[text] if len(text) <= 200 else None, 1], n])
+            m = 0 if not n or template and digest(tags, text) in template else n
+            items.append(["#", "1", text if len(text) <= SHOWN else None, n, m])
         elif block.tag == "head":
             continue
         else:
-            inside, n = shape(block, out or block.out)
-            items.append([block.key, "1", inside, n])
-        mass += n
-    return fold(items), mass
+            inside, n, m = shape(block, out or block.out, template, (*tags, block.tag))
+            items.append([block.key, "1", inside, n, m])
+        mass, own = mass + n, own + m
+    return fold(items), mass, own
 
 
-def titled(item: list) -> bool:
-    return item[0] != "#" and item[3] > 0 and (item[0].split(".")[0] == "h1" or any(map(titled, item[2])))
+def texts_of(node: Node, tags: tuple[str, ...] = ()) -> Iterator[int]:
+    """The digests of the texts that can be an article's."""
+    for text, block in runs(node):
+        if block is None:
+            yield digest(tags, text)
+        elif block.tag != "head" and (not block.out or "header" in block.key):
+            yield from texts_of(block, (*tags, block.tag))
 
 
-def fixed(inside: list) -> bool:
-    """Whether a text takes few values, each seen on several pages."""
-    return inside[0] is not None and inside[1] >= SURE_PAGES * len(inside[0])
+def titled(item: list) -> bool:
+    return item[0] != "#" and item[3] > 0 and (item[0].split(".")[0] == "h1" or any(map(titled, item[2])))
 
 
 def weighed(items: list) -> list:
-    """The items with the mass of their slots alone: texts that never change weigh nothing."""
-    out = []
-    for key, often, inside, mass in items:
-        if key == "#":
-            out.append([key, often, inside, 0 if fixed(inside) else mass])
-        else:
-            deeper = weighed(inside)
-            out.append([key, often, deeper, sum(x[3] for x in deeper)])
-    return out
+    """The items with their own mass alone: texts of the template weigh nothing."""
+    return [[key, often, inside if key == "#" else weighed(inside), own, own] for key, often, inside, _, own in items]
 
 
 def main_path(items: list) -> list[str]:
@@ -263,7 +273,7 @@ def main_path(items: list) -> list[str]:
     found: list[tuple[int, list[str]]] = []
 
     def seek(items: list, path: list[str]) -> None:
-        for key, _, inside, mass in items:
+        for key, _, inside, mass, _ in items:
             if key == "#":
                 continue
             tag = key.split(".")[0]
@@ -288,57 +298,44 @@ def main_path(items: list) -> list[str]:
         items = item[2]
 
 
-def constants(items: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
-    for key, often, inside, _ in items:
-        if key == "#":
-            if fixed(inside):
-                yield from ((path, x) for x in inside[0])
-        else:
-            yield from constants(inside, path if key[0] == "(" else (*path, key))
-
-
 class Wrapper:
-    """What is known of a host: its items, and marks of a few different pages."""
+    """What is known of a host: its items."""
 
-    def __init__(self, items: list, marks: list[int]):
-        self.items, self.marks = items, marks
+    def __init__(self, items: list):
+        self.items = items
 
     def meet(self, other: Wrapper) -> None:
         self.items = align(self.items, other.items)
-        self.marks = sorted({*self.marks, *other.marks})[: 2 * SURE_PAGES]
 
     def expression(self) -> str:
         """As a regular expression over tags; # is a slot."""
 
         def text(items: list) -> str:
-            return " ".join((f"<{k}> {text(x)} </{k.split('.')[0]}>" if k[0] not in "#(" else f"( {text(x)} )" if k[0] == "(" else x[0][0] if x[0] and len(x[0]) == 1 else "#") if o == "1" else f"({text([[k, '1', x, 0]])}){o}" for k, o, x, _ in items)
+            return " ".join((f"<{k}> {text(x)} </{k.split('.')[0]}>" if k[0] not in "#(" else f"( {text(x)} )" if k[0] == "(" else x or "#") if o == "1" else f"({text([[k, '1', x, 0, 0]])}){o}" for k, o, x, *_ in items)
 
         return text(self.items)
 
     def pack(self) -> str:
-        return json.dumps([self.items, self.marks], ensure_ascii=False)
+        return json.dumps(self.items, ensure_ascii=False)
 
 
-def of_page(page: str | None) -> Wrapper:
-    items, _ = shape(parse(page or ""))
-    return Wrapper(items, [hash_text(page or "")])
+def of_page(page: str | None, template: frozenset = frozenset()) -> Wrapper:
+    return Wrapper(shape(parse(page or ""), False, template)[0])
 
 
 def hash_text(x: str) -> int:
-    import zlib
+    return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
 
-    return zlib.crc32(re.sub(r"\d+", "", x).encode("utf-8", "surrogatepass"))
+def best_path(items: list) -> list[str]:
+    """The article's path by what is not the template's, or by all texts where there is nothing else."""
+    return main_path(weighed(items)) or main_path(items)
 
 
 @lru_cache(maxsize=4096)
-def rules(packed: str | None) -> tuple[list[str], frozenset]:
-    """The article's path, and the template's texts in it."""
-    if not packed:
-        return [], frozenset()
-    items, marks = json.loads(packed)
-    sure = len(marks) >= SURE_PAGES
-    path = (sure and main_path(weighed(items))) or main_path(items)
-    return path, frozenset(x for x in constants(items) if sure and list(x[0][: len(path)]) == path and x[0][-1].split(".")[0] not in HEADINGS) if path else frozenset()
+def rules(packed: str | None) -> list[str]:
+    """The article's path."""
+    return best_path(json.loads(packed)) if packed else []
 
 
 def at_path(node: Node, path: list[str]) -> list[Node]:
@@ -355,39 +352,78 @@ def has_heading(node: Node) -> bool:
     return any(not isinstance(c, str) and (c.tag in ("h1", "h2") or has_heading(c)) for c in node.children)
 
 
-def blocks(node: Node, path: tuple[str, ...], template: frozenset) -> Iterator[str]:
+def blocks(node: Node, tags: tuple[str, ...], template: frozenset) -> Iterator[str]:
     for text, block in runs(node):
         if block is None:
-            if (path, text) not in template:
+            if not template or tags and tags[-1] in HEADINGS or digest(tags, text) not in template:
                 yield text
         elif not block.out or "header" in block.key and has_heading(block):
-            yield from blocks(block, (*path, block.key), template)
+            yield from blocks(block, (*tags, block.tag), template)
 
 
-def extract(page: str | None, packed: str | None) -> str:
+def extract(page: str | None, packed: str | None, template: frozenset = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    path, template = rules(packed)
+    path = rules(packed)
     nodes = at_path(root, path) if path else []
     if not nodes:
-        path, template = main_path(shape(root)[0]), frozenset()
+        path = best_path(shape(root, False, template)[0])
         nodes = at_path(root, path)
-    return "\n\n".join(x for n in nodes for x in blocks(n, tuple(path), template))
+    tags = tuple(k.split(".")[0] for k in path)
+    return "\n\n".join(x for n in nodes for x in blocks(n, tags, template))
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def templates(pages: DataFrame) -> DataFrame:
+    """Rows (host, texts: digests of the template's) of pages (host, html), for hosts that have any."""
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for host, page in zip(x["host_id"], x["html"], strict=True):
+                if page:
+                    form, whole = hash_text(re.sub(r"\d+", "", page)), hash_text(page)
+                    out += [(host, t, False, form, whole) for t in set(texts_of(parse(page)))]
+                    out.append((host, 0, True, form, whole))  # the page itself
+            yield pd.DataFrame(out, columns=["host_id", "text", "page", "form", "whole"])
+
+    ids = pages.select(F.xxhash64("host").alias("host_id"), "html")
+    each = ids.mapInPandas(seen, "host_id long, text long, page boolean, form long, whole long").distinct()
+    forms = each.groupBy("host_id", "text", "page", "form").agg(F.count("*").alias("pages"))
+    counts, path = written(forms.groupBy("host_id", "text", "page").agg(F.sum("pages").alias("pages"), F.count("*").alias("forms")).where(F.col("pages") >= SURE_PAGES), "texts")
+    hosts = counts.where("page").where(F.col("forms") >= SURE_PAGES).select("host_id", F.col("pages").alias("all_pages"), F.col("forms").alias("all_forms"))
+    often = counts.where("not page").join(bounded_broadcast(hosts, hosts.count(), BROADCAST_HOSTS), "host_id")
+    often = often.where((F.col("pages") >= NEARLY_ALL * F.col("all_pages")) & (F.col("forms") >= NEARLY_ALL_FORMS * F.col("all_forms")))
+    # No more than a page's texts for each host.
+    out, _ = written(often.groupBy("host_id").agg(F.sort_array(F.collect_list("text")).alias("texts")), "templates")
+    removed(pages.sparkSession, path)
+    return out
+
+
+def as_set(texts) -> frozenset:
+    return frozenset() if texts is None else frozenset(texts.tolist())
+
+
+def known_by(rows: DataFrame, known: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with what is known by key, of size bytes in all."""
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(known), key, "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    return salted.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], "left").drop("salt")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (host, wrapper: packed) of pages (host, html), from all pages."""
+    """Rows (host, wrapper: packed) of pages (host, html, texts: the template's), from all pages."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Wrapper] = {}
         for x in batches:
-            for host, page in zip(x["host"], x["html"], strict=True):
-                w = of_page(page)
+            for host, page, texts in zip(x["host"], x["html"], x["texts"], strict=True):
+                w = of_page(page, as_set(texts))
                 if host in held:
                     held[host].meet(w)
                 else:
@@ -401,7 +437,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         host, one = None, None
         for x in batches:
             for h, packed in zip(x["host"], x["wrapper"], strict=True):
-                w = Wrapper(*json.loads(packed))
+                w = Wrapper(json.loads(packed))
                 if one is not None and h == host:
                     one.meet(w)
                 else:
@@ -419,20 +455,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Rows (row: all of pages' columns, text)."""
     text_batches(pages.sparkSession)
-    rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host_of(pages[url]).alias("host"), pages[html].alias("html"))
-    known, _ = written(wrappers(rows.select("host", "html")), "wrappers")
+    rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host_of(pages[url]).alias("host"), pages[html].alias("html")).withColumn("host_id", F.xxhash64("host"))
+    template = templates(rows.select("host", "html"))
+    size = template.agg(F.coalesce(F.sum(F.size("texts") * 8 + 8), F.lit(0)).alias("n")).first()["n"]
+    rows = known_by(rows, template, "host_id", size)
+    known, _ = written(wrappers(rows.select("host", "html", "texts")), "wrappers")
     size = known.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0)).alias("n")).first()["n"]
-    if size <= BROADCAST_BYTES:
-        met = rows.join(F.broadcast(known), "host", "left")
-    else:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
-        met = salted.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    met = known_by(rows, known, "host", size)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series([extract(p, w) for p, w in zip(x["html"], x["wrapper"], strict=True)], dtype=object)
+            yield pd.Series([extract(p, w, as_set(t)) for p, w, t in zip(x["html"], x["wrapper"], x["texts"], strict=True)], dtype=object)
 
-    return met.select("row", F.pandas_udf(read, "string").asNondeterministic()(F.struct("html", "wrapper")).alias("text"))
+    return met.select("row", F.pandas_udf(read, "string").asNondeterministic()(F.struct("html", "wrapper", "texts")).alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -70,3 +70,13 @@ def test_title_beside_the_body_stays(spark):
     page = "<body><div class=a><ul><li>Home<li>Contact the desk of this site at any time</ul></div><div class=b><h1>Title {0}</h1><section><p>First {0} words of the text</p><p>Second {0} words of it</p></section></div><div class=c>All of this is ours and nobody else's</div></body>"
     pages = spark.createDataFrame([(i, "http://t.org/", page.format("abcdefghi"[i] * 3)) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in X.extracted(pages).collect()} == {f"Title {x}\n\nFirst {x} words of the text\n\nSecond {x} words of it" for x in (c * 3 for c in "abcdefghi")}
+
+
+def test_texts_of_few_values_stay(spark):
+    # Table cells of two values, many times in a page; eight articles, five copies of each; a line that stands on all pages.
+    words = "alpha beta gamma delta omega sigma kappa theta".split()
+    page = "<body><article><h1>{0}</h1><p>All about {0} alone</p>{1}<p>Printed by us</p></article></body>"
+    cells = "<table><tr><td>Yes<td>No<tr><td>No<td>Yes</table>"
+    rows = [(i, "http://few.org/", page.format(w, cells if i < 4 else "")) for i, w in enumerate(words) for _ in range(5)]
+    got = {r.row.page_id: r.text for r in X.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{w}\n\nAll about {w} alone" + ("\n\nYes\n\nNo\n\nNo\n\nYes" if i < 4 else "") for i, w in enumerate(words)}
