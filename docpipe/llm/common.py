@@ -91,3 +91,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             removed(spark, edge_path)
             return label.withColumnRenamed("l", "component")
     raise RuntimeError("components did not converge")
+
+
+def labelled_components(edges: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """Connected components of edges (a, b) of classes (cid, key, label): rows (cid, component, head).
+
+    component is the smallest label in it, head the key of the class that has it, the smallest where labels are equal.
+    Up to limit components are broadcast.
+    """
+    roots, _ = written(components(edges).withColumnRenamed("id", "cid"), "roots")
+    low = roots.join(classes.select("cid", "key", "label"), "cid").groupBy(F.col("component").alias("root")).agg(F.min(F.struct("label", "key")).alias("low"))
+    low, _ = written(low, "low")
+    met = roots.join(bounded_broadcast(low, low.count(), limit), F.col("component") == F.col("root"))
+    return met.select("cid", F.col("low.label").alias("component"), F.col("low.key").alias("head"))

@@ -8,7 +8,8 @@ candidates is verified on the whole vectors in double precision, so no link is l
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of unlike
 lengths do not link; equal vectors are one class, linked with each other; rows whose id is null are linked within their
-class only; an empty table gives an empty result; other columns are not read.
+class only; an id that occurs with different vectors is a row each time, as ids only label classes and their groups, the
+smallest of them; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import components, table, written
+from docpipe.llm.common import labelled_components, table, written
 
 BLOCKS, GRID, PART, STRIP = 4, 2, 8192, 128
+#: Components up to which their labels are broadcast.
+BROADCAST_ROWS = 500_000
 CELL = "dim int, block int, cell long"
 GROUP = ["dim", "block", "cell", "kind", "i", "j"]
 #: Cells next to one's own, of each pair one: those that come later in order.
@@ -93,7 +96,10 @@ class Join:
         signed, _ = written(rows.select("vec_id", signature.alias("s")).select("vec_id", "s.*"), "signed")
         self.signed = signed.select("vec_id", "key")
         by_key = signed.where("key is not null").groupBy("key")
-        self.classes, _ = written(by_key.agg(F.coalesce(F.min("vec_id"), F.xxhash64("key")).alias("cid"), F.min("vec_id").isNotNull().alias("named"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), "classes")
+        # A class is its key; cid is a number for it, label the smallest id.
+        classes = by_key.agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+        classes = classes.select("key", F.monotonically_increasing_id().alias("cid"), F.coalesce("low", F.xxhash64("key")).alias("label"), F.col("low").isNotNull().alias("named"), "copies", "vec", "dim")
+        self.classes, _ = written(classes, "classes")
         named = self.classes.where("named").select("cid", "vec", "dim")
 
         def cells_of(x: pd.DataFrame) -> Iterator[tuple[int, Space, pd.DataFrame, int, np.ndarray, np.ndarray]]:
@@ -188,24 +194,28 @@ class Join:
 
         self.links, _ = written(pairs.join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long"), "links")
 
-    def rows(self) -> DataFrame:
-        """Rows (vec_id, n_links, component_id)."""
+    def linked(self) -> DataFrame:
+        """Rows (vec_id, n_links, component_id, kept); of a group one vector is kept, and rows equal to it."""
         both = self.links.union(self.links.select("b", "a"))
         copies = self.classes.select(F.col("cid").alias("b"), "copies")
         links = both.join(copies, "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("links"))
-        roots = components(self.links).withColumnRenamed("id", "cid")
-        classes = self.classes.select("key", "cid", "copies").join(links, "cid", "left").join(roots, "cid", "left")
+        roots = labelled_components(self.links, self.classes, BROADCAST_ROWS)
+        classes = self.classes.select("key", "cid", "label", "copies").join(links, "cid", "left").join(roots, "cid", "left")
         out = self.signed.join(classes, "key", "left")
         return out.select(
             "vec_id",
             (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-            F.coalesce("component", "cid", "vec_id").alias("component_id"),
+            F.coalesce("component", "label", "vec_id").alias("component_id"),
+            F.when(F.col("vec_id").isNotNull(), F.col("key").isNull() | ((F.col("vec_id") == F.col("label")) & (F.coalesce("head", "key") == F.col("key")))).alias("kept"),
         )
 
+    def rows(self) -> DataFrame:
+        """Rows (vec_id, n_links, component_id)."""
+        return self.linked().drop("kept")
+
 
 def query(spark, sf_dir: str) -> DataFrame:
-    rows = Join(table(spark, sf_dir, "embeddings")).rows()
-    return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return Join(table(spark, sf_dir, "embeddings")).linked()
 
 
 #: Exact, by all pairs.

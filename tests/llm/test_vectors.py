@@ -49,3 +49,9 @@ def test_odd_rows(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
     assert V.Join(df.where("vec_id = 0")).rows().count() == 0
     assert V.Join(df.union(df.selectExpr("null", "embedding", "label", "key"))).rows().count() == 2 * len(rows)
+
+
+def test_an_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0]), (2, [0.0, 0.0, 1.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 0.1, 1.0]), (1, [0.0, 1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).rows().collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 1, 2), (2, 2, 1), (3, 1, 2)]
