@@ -52,28 +52,80 @@ def folder_listing(docs: DataFrame) -> DataFrame:
     return folders.unionByName(files).withColumn("place", F.row_number().over(order))
 
 
-def rendered(docs: DataFrame, title: str = "Knowledge index", profile: str = "", max_entries: int = 1000) -> DataFrame:
-    """Rows (folder, page): the page's text. A folder with more direct entries than max_entries gets its summary alone."""
+#: Texts of pages by language.
+WORDS = {
+    "en": {
+        "title": "Knowledge index", "home": "Knowledge library", "counts": " · %d documents · %d classified · %d pending\n", "updated": "> Last document update: ",
+        "folders": "Browse by folder", "categories": "Browse by category", "recent": "Recently updated", "pending": "Pending classification", "fallback": "Unclassified", "count": " (%d)",
+        "no_entries": "No Markdown documents in this folder yet.\n", "no_categories": "No category data yet.\n", "no_recent": "No Markdown documents yet.\n",
+    },
+    "zh": {
+        "title": "知识库索引", "home": "知识库", "counts": " · 共 %d 篇文档 · 已分类 %d 篇 · 待分类 %d 篇\n", "updated": "> 最近文档更新：",
+        "folders": "按文件夹浏览", "categories": "按标签浏览", "recent": "最近更新", "pending": "待分类", "fallback": "未分类", "count": "（%d）",
+        "no_entries": "当前目录暂无 Markdown 文档。\n", "no_categories": "暂无标签数据。\n", "no_recent": "暂无 Markdown 文档。\n",
+    },
+}
+
+
+def rendered(docs: DataFrame, title: str | None = None, profile: str = "", max_entries: int = 1000, rules: list[str] | None = None, language: str = "en") -> DataFrame:
+    """Rows (folder, part, parts, page): the text of a folder's pages, numbered from 1; each holds max_entries lines of lists and headings at most.
+
+    The first begins with title, counts and breadcrumbs; the others, index-2.md and so on, with the title and their number.
+    """
+    t = WORDS[language]
     roll = folder_rollup(docs)
-    name = F.when(F.col("folder") == "", title).otherwise(P.file_name(F.col("folder")))
+    name = F.when(F.col("folder") == "", title or t["title"]).otherwise(P.file_name(F.col("folder")))
     head = F.concat(
-        F.lit("# "), P.escape_markdown(name), F.lit("\n\n> "), P.escape_markdown(F.lit(profile)),
-        F.format_string(" · %d documents · %d classified · %d pending\n", "documents", "classified", "pending"),
-        F.coalesce(F.concat(F.lit("> Last document update: "), F.date_format(F.timestamp_millis("last_modified_ms"), "yyyy-MM-dd HH:mm"), F.lit("\n")), F.lit("")),
+        F.lit("# "), P.escape_markdown(name), F.lit("\n\n> "), P.escape_markdown(F.lit(profile)), F.format_string(t["counts"], "documents", "classified", "pending"),
+        F.coalesce(F.concat(F.lit(t["updated"]), F.date_format(F.timestamp_millis("last_modified_ms"), "yyyy-MM-dd HH:mm"), F.lit("\n")), F.lit("")),
+        F.when(F.col("folder") == "", "").otherwise(F.concat(F.lit("\n> "), P.breadcrumbs(F.col("folder"), t["home"]), F.lit("\n"))),
     )
-    entries = folder_listing(docs)
+
+    def link(target: str):
+        path = F.col(target)
+        return F.concat(F.lit("- ["), P.escape_link_text(P.file_stem(P.file_name(path))), F.lit("]("), P.link_encode(P.relative_link(F.col("folder"), path)), F.lit(")\n"))
+
+    def lines(df: DataFrame, section: int, rank, category, kind, low, entry, line) -> DataFrame:
+        """Lines and the order in which they stand on a folder's pages."""
+        return df.select("folder", F.lit(section).alias("section"), rank.cast("int").alias("rank"), category.alias("category"), kind.cast("int").alias("kind"), low.alias("low"), entry.alias("entry"), line.alias("line"))
+
+    none, zero = F.lit(""), F.lit(0)
+    out = None
+    for section, key, empty in ((1, "folders", "no_entries"), (2, "categories", "no_categories"), (3, "recent", "no_recent")):
+        top = lines(roll, section, F.lit(-1), none, zero, none, none, F.concat(F.lit(f"\n## {t[key]}\n\n"), F.when(F.col("documents") == 0, t[empty]).otherwise("")))
+        out = top if out is None else out.unionByName(top)
     label = P.escape_link_text(P.file_name(F.col("entry")))
-    dir_line = F.concat(F.lit("- [**"), label, F.lit("/**]("), P.link_encode(F.concat(P.relative_link(F.col("folder"), F.col("entry")), F.lit("/index.md"))), F.lit(")\n"))
-    doc_line = F.concat(F.lit("- ["), label, F.lit("]("), P.link_encode(P.relative_link(F.col("folder"), F.col("entry"))), F.lit(")\n"))
-    lines = entries.where(F.col("place") <= max_entries).withColumn("line", F.when(F.col("kind") == "directory", dir_line).otherwise(doc_line))
-    body = lines.groupBy("folder").agg(F.max("place").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("body"))
-    page = F.concat(head, F.lit("\n## Browse by folder\n\n"), F.coalesce("body", F.lit("No Markdown documents in this folder yet.\n")))
-    return roll.join(body, "folder", "left").select("folder", page.alias("page"))
+    down = F.concat(F.lit("- [**"), label, F.lit("/**]("), P.link_encode(F.concat(P.relative_link(F.col("folder"), F.col("entry")), F.lit("/" + P.INDEX_NAME))), F.lit(")\n"))
+    out = out.unionByName(lines(folder_listing(docs).drop("place"), 1, zero, none, (F.col("kind") == "file"), F.lower("entry"), F.col("entry"), F.when(F.col("kind") == "directory", down).otherwise(link("entry"))))
+
+    known = rules or []
+    rank = F.when(F.col("category").isNull(), len(known) + 1)
+    for i, c in enumerate(known):
+        rank = rank.when(F.col("category") == c, i)
+    rank, category = rank.otherwise(len(known)), F.coalesce("category", none)
+    shown = F.when(F.col("category").isNull(), t["pending"]).when(F.col("category") == FALLBACK, t["fallback"]).otherwise(F.col("category"))
+    sizes = category_view(docs, rules)
+    out = out.unionByName(lines(sizes, 2, rank, category, zero, none, none, F.concat(F.lit("### "), P.escape_markdown(shown), F.format_string(t["count"], "documents"), F.lit("\n\n"))))
+    out = out.unionByName(lines(sizes, 2, rank, category, F.lit(2), none, none, F.lit("\n")))
+    each = in_folders(docs).withColumn("category", F.explode_outer(F.array_distinct("categories")))
+    out = out.unionByName(lines(each, 2, rank, category, F.lit(1), F.lower("rel_path"), F.col("rel_path"), link("rel_path")))
+    out = out.unionByName(lines(recent_documents(docs), 3, F.col("rank"), none, zero, none, none, link("rel_path")))
+
+    order = Window.partitionBy("folder").orderBy("section", "rank", "category", "kind", "low", "entry")
+    placed = out.withColumn("place", F.row_number().over(order))
+    parts = placed.groupBy("folder", (F.floor((F.col("place") - 1) / max_entries) + 1).cast("int").alias("part")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("body")
+    )
+    met = parts.join(roll, "folder").withColumn("parts", F.max("part").over(Window.partitionBy("folder")))
+    again = F.concat(F.lit("# "), P.escape_markdown(name), F.format_string(" · %d/%d\n\n", "part", "parts"))
+    more = F.when(F.col("part") < F.col("parts"), F.format_string("\n[%d/%d](index-%d.md)\n", F.col("part") + 1, F.col("parts"), F.col("part") + 1)).otherwise("")
+    return met.select("folder", "part", "parts", F.concat(F.when(F.col("part") == 1, head).otherwise(again), "body", more).alias("page"))
 
 
 def changed_pages(new: DataFrame, current: DataFrame) -> DataFrame:
-    """New pages (folder, page) that differ from the current ones: only these are written."""
-    return new.join(current.select("folder", F.col("page").alias("was")), "folder", "left").where(~F.col("page").eqNullSafe(F.col("was"))).select("folder", "page")
+    """New pages (folder, part if there are parts, page) that differ from the current ones: only these are written."""
+    on = [k for k in ("folder", "part") if k in new.columns]
+    return new.join(current.select(*on, F.col("page").alias("was")), on, "left").where(~F.col("page").eqNullSafe(F.col("was"))).select(*on, "page")
 
 
 def stale_pages(current: DataFrame, docs: DataFrame) -> DataFrame:

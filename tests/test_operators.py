@@ -155,3 +155,19 @@ def test_scores_are_a_plug_in(spark):
 def test_most_options(spark, n):
     row = K.single_question(spark.createDataFrame([(i, f"n{i}") for i in range(n)], "pos int, name string")).first()
     assert (row.error is None) == (n == 254)
+
+
+def test_pages_list_every_entry(spark):
+    from docpipe.operators import index as D
+
+    rows = [(f"a/b/doc-{i:02}.md", ["x"] if i % 2 else [], i * 60_000) for i in range(23)]
+    docs = spark.createDataFrame(rows, "rel_path string, categories array<string>, modified_ms long")
+    got = {(r.folder, r.part): r for r in D.rendered(docs, profile="P", max_entries=10).collect()}
+    mine = [got["a/b", k + 1] for k in range(got["a/b", 1].parts)]
+    assert len(mine) > 1 and all(r.page.count("\n- [") + r.page.startswith("- [") <= 10 for r in mine)
+    text = "".join(r.page for r in mine)
+    assert all(text.count(f"- [doc-{i:02}](doc-{i:02}.md)\n") == 2 + (i >= 13) for i in range(23))
+    assert mine[0].page.startswith("# b\n\n> P · 23 documents · 11 classified · 12 pending\n") and "\n> [Knowledge library](../../index.md) / [a](../index.md) / b\n" in mine[0].page
+    assert "### x (11)\n\n" in text and "### Pending classification (12)\n\n" in text and "## Recently updated" in text
+    whole = {r.folder: r.page for r in D.rendered(docs, language="zh").collect()}
+    assert "## 按标签浏览\n\n### x（11）\n\n- [doc-01](doc-01.md)\n" in whole["a/b"] and "- [**b/**](b/index.md)\n" in whole["a"]
