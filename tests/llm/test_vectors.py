@@ -55,3 +55,29 @@ def test_an_id_with_different_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0]), (2, [0.0, 0.0, 1.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 0.1, 1.0]), (1, [0.0, 1.0, 0.0])]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).rows().collect())
     assert got == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 1, 2), (2, 2, 1), (3, 1, 2)]
+
+
+def test_pairs_left_open_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(V, "OPEN", 0.05)  # most links near 0.9 go the way of those that single precision leaves open
+    rows = list(enumerate(points(150, 16, 5)))
+    got = V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).rows().collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("axes", [0, 512])
+def test_spread_axes_and_random_ones(spark, monkeypatch, axes):
+    monkeypatch.setattr(V, "AXES_DIM", axes)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 20)) * np.linspace(4, 0.1, 20)
+    x = np.concatenate([x, x[:60] + r.normal(size=(60, 20)) * 0.3])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).rows().collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+def test_long_vectors(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(4, 30_00))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, x + 0.1 * r.normal(size=x.shape)]))]
+    got = V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).rows().collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
