@@ -65,3 +65,29 @@ def test_odd_rows(odd, none):
 def test_query(spark):
     q = S.query(spark, "/root/testdata/sf0.001")
     assert q.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_jobs_do_not_grow_with_shards(spark, documents):
+    sc = spark.sparkContext
+    sc.setJobGroup("sharding", "sharding")
+    S.shard(documents, 24)
+    jobs = sc.statusTracker().getJobIdsForGroup("sharding")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 10
+
+
+def test_blocks_are_opened_step_by_step(documents, monkeypatch):
+    monkeypatch.setattr(S, "DIGITS", 1)
+    monkeypatch.setattr(S, "FETCHED", 20)
+    check(documents, 24)
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(1, "same text")] * 2500 + [(None, "same text")] * 300 + [(None, None)] * 40 + [(2, "other"), (2, "another"), (3, "z" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.shard(docs, 5).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
