@@ -1,17 +1,20 @@
 """Main text of web pages by wrappers: regular expressions without unions, inferred for each host.
 
-A page is a stream of tokens: the tags of blocks and the texts between them. The wrapper of a host begins as one page's
-stream, in which runs of the same shape are folded into repeated groups, and is aligned with page after page: what only
-one side has becomes optional, what comes again becomes repeated, texts that differ become slots. Wrappers of parts of a
-host's pages are aligned with each other in the same way, so the work is spread over all pages of all hosts. A wrapper
-names the element that holds the article, from its semantic tags or the mass of its texts. Texts of the template weigh
-nothing and are dropped: each is one value that stands, under the same tags, on nearly all different pages of its host,
-counted exactly over all of them by digests; repeats in a page and copies of a page count once. Extraction walks a page
-along its host's wrapper; a page that does not match it is read by its own.
+A page is a stream of tokens: the tags of blocks and the texts between them. Texts of the host's template are tokens of
+their own: each is one value that stands, under the same tags, on nearly all different pages of its host, counted exactly
+over all of them by digests; repeats in a page and copies of a page count once. All other texts are slots. The wrapper of a
+host begins as one page's stream, in which runs of the same shape are folded into repeated groups, and is aligned with page
+after page: what only one side has becomes optional, what comes again becomes repeated, elements that differ in their classes
+alone become one of that tag. Wrappers of parts of a host's pages are aligned with each other in the same way, so the work
+is spread over all pages of all hosts. A wrapper names the element that holds the article, from its semantic tags or the
+mass of its slots on all pages. Extraction aligns a page with its host's wrapper, level by level along its repeated and
+optional items, and takes the slots of the elements that meet the wrapper's article; a page where none does is read by
+its own wrapper. Tags and classes that tell of boilerplate take out what slots cannot tell, as in hosts of few pages.
 
 Cases: null and empty pages, and pages without text outside of boilerplate, give the empty text; a null url is a host of
-its own; repeated rows are extracted each; an empty table gives an empty result; other columns pass through
-`extracted`, whatever their names; open tags, comments and character references may be cut off anywhere.
+its own; repeated rows are extracted each, and teach once; very long pages are read whole, deep ones in a flat way from
+MOST_DEPTH on; of elements that hold equal masses the first is the article's; an empty table gives an empty result; other
+columns pass through `extracted`, whatever their names; open tags, comments and character references may be cut off anywhere.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -44,17 +49,19 @@ NOT_STEMS = ("advert", "sponsor", "promo", "sidebar", "navigat", "breadcrumb", "
 ABOUT_OTHERS = frozenset("has with without no is show hide".split())
 #: Elements that hold everything, which no class takes out; of an article only comments' classes do.
 NEVER_OUT = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+#: Elements that are told from each other by what is in them.
+ANYTHING = frozenset("div section center".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Hosts' wrappers of up to so many bytes in all are broadcast; more are joined by salted host.
 BROADCAST_BYTES, SALTS = 16_000_000, 64
 #: Hosts up to which their numbers of pages are broadcast.
 BROADCAST_HOSTS = 1_000_000
-#: Items of one element that are aligned; the longest period of a repeated group.
-MOST_ITEMS, LONGEST_GROUP = 64, 3
+#: Products of two numbers of items up to which they are aligned at the best score, beyond at their common singles; the longest period of a repeated group.
+BEST_ALIGNED, LONGEST_GROUP = 40_000, 3
 #: Different pages from which a host has a template; the share of a host's different pages that a text of it stands on, and
 #: their share where pages that differ in digits alone are one.
 SURE_PAGES, NEARLY_ALL, NEARLY_ALL_FORMS = 5, 0.9, 0.8
-#: Elements open at once; what is nested deeper lies flat in the deepest, its text kept.
+#: Elements open at once; what is nested deeper lies flat in the deepest: its text is kept but for that of excluded elements.
 MOST_DEPTH = 100
 #: Constant texts of up to so many characters are shown in a wrapper's expression.
 SHOWN = 200
@@ -62,6 +69,7 @@ SHOWN = 200
 HELD_HOSTS = 2_000
 
 tokens_of = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^<]*\Z", re.S).finditer
+digits = re.compile(r"\d+")
 attributes = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))").findall
 
 
@@ -76,7 +84,7 @@ class Node:
             hidden = a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
             self.out = self.out or role in NOT_ROLES or hidden or tag not in NEVER_OUT and any(marked(x, tag) for x in [*names.split(), a.get("id", "")])
             if names or role:
-                self.key = ".".join([tag, *sorted(names.lower().split()), *(["@" + role] if role else [])])
+                self.key = ".".join([tag, *sorted(set(digits.sub("#", names.lower()).split())), *(["@" + role] if role else [])])
 
 
 @lru_cache(maxsize=65_536)
@@ -96,7 +104,15 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 def parse(page: str) -> Node:
     """The tree of a page's tags; end tags that are left out are put in, others without a start are passed over."""
     root = Node("#root")
-    stack, at, skip = [root], 0, ""
+    stack, open_, at, skip = [root], Counter(), 0, ""
+
+    def close(k: int) -> None:
+        gone = [x.tag for x in stack[k:]]
+        open_.subtract(gone)
+        del stack[k:]
+        if k >= MOST_DEPTH and not BLOCKS.isdisjoint(gone):
+            stack[-1].children.append(Node("hr"))  # flat elements part texts too
+
     for m in tokens_of(page):
         if skip:
             if not (m[1] and m[2].lower() == skip):
@@ -109,28 +125,39 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS and tag not in BLOCKS:
-                    break
+            if open_[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if stack[k].tag in BLOCKS and tag not in BLOCKS:
+                        break
             continue
         if tag in BLOCKS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ()):
-                    del stack[k:]
+                    close(k)
                     if stack[-1].tag not in CLOSES.get(tag, ()):
                         break
                 elif stack[k].tag in BLOCKS:
                     break
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        node, above = Node(tag, m[3]), stack[-1]
         if tag in RAW and not m[3].rstrip().endswith("/"):
+            above.children.append(node)
             skip, at = tag, m.end()
             node.out = True
-        elif len(stack) < MOST_DEPTH and tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
+        elif tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            above.children.append(node)
+        elif len(stack) < MOST_DEPTH:
+            above.children.append(node)
             stack.append(node)
+            open_[tag] += 1
+        elif node.out or tag in BLOCKS:
+            if not node.out:
+                above.children.append(Node("hr"))
+                node.children = above.children
+            stack.append(node)  # of an excluded element the children are left behind
+            open_[tag] += 1
     if not skip and at < len(page):
         stack[-1].children.append(page[at:])
     return root
@@ -140,28 +167,52 @@ def clean(x: str) -> str:
     return " ".join(entities.unescape(x).split())
 
 
-# A wrapper is a list of items [key, occurrence, inside, mass, own]. Occurrence: "1", "?", "+" or "*". Inside a text: its one value, or
-# null for a slot; inside an element or a group: items. Mass: characters of article-like text; own: those that are not the template's.
+# A wrapper is a list of items [key, occurrence, inside, mass]. Key: an element's tag and classes, "#" for a slot, "=" and a digest for a text of
+# the template, "(...)" for a group. Occurrence: "1", "?", "+" or "*". Inside a text: its one value so far, or null; inside an element or a group:
+# items. Mass: characters of article-like slots.
 
 
 def either(a: str, b: str) -> str:
     return "1?+*"[(a in "?*" or b in "?*") + 2 * (a in "+*" or b in "+*")]
 
 
+def is_text(key: str) -> bool:
+    return key[0] in "#="
+
+
+def tag_of(key: str) -> str:
+    return key.split(".")[0]
+
+
 def join(a: list, b: list) -> list:
-    """Two items of one key as one."""
-    if a[0] == "#":
-        return ["#", either(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
-    return [a[0], either(a[1], b[1]), align(a[2], b[2]), a[3] + b[3], a[4] + b[4]]
+    """Two items of one key, or of elements of one tag, as one."""
+    key = a[0] if a[0] == b[0] else tag_of(a[0])
+    if is_text(key):
+        return [key, either(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3]]
+    return [key, either(a[1], b[1]), align(a[2], b[2]), a[3] + b[3]]
+
+
+def sign(item: list) -> str:
+    """An item's key and, of an element that may hold anything, whether it has slots and what stands in it."""
+    if tag_of(item[0]) not in ANYTHING:
+        return item[0]
+    inner: set[str] = set()
+    for x in item[2]:
+        inner |= {x[0][0]} if is_text(x[0]) else {tag_of(y) for y in x[0][1:-1].split()} if x[0][0] == "(" else {tag_of(x[0])}
+    return signed(item[0], item[3] > 0, inner)
+
+
+def signed(key: str, has_slots: bool, inner: set[str]) -> str:
+    return f"{key}\0{int(has_slots)}{' '.join(sorted(inner))}"
 
 
 def fold(items: list) -> list:
     """Items with neighbours of the same shape as repeated groups."""
     for q in range(1, LONGEST_GROUP + 1):
-        i, out = 0, []
+        i, out, signs = 0, [], [sign(x) for x in items]
         while i < len(items):
             unit, j = items[i : i + q], i + q
-            while len(unit) == q and [x[0] for x in items[j : j + q]] == [x[0] for x in unit]:
+            while len(unit) == q and signs[j : j + q] == signs[i : i + q]:
                 unit = [join(x, y) for x, y in zip(unit, items[j : j + q], strict=True)]
                 j += q
             if j == i + q or len(unit) < q:
@@ -173,34 +224,97 @@ def fold(items: list) -> list:
                     unit[0][1] = either(unit[0][1], "+")
                     out += unit
                 else:
-                    out.append(["(" + " ".join(x[0] for x in unit) + ")", "+", unit, sum(x[3] for x in unit), sum(x[4] for x in unit)])
+                    out.append(["(" + " ".join(x[0] for x in unit) + ")", "+", unit, sum(x[3] for x in unit)])
         items = out
     return items
 
 
+def likeness(a: str, b: str) -> int:
+    """What it is worth to align two items of these signs: elements of one key are worth less than those of one sign, those of one tag still less."""
+    if a == b:
+        return 4
+    if a[0] in "#=(" or b[0] in "#=(":
+        return 0
+    a, b = a.split("\0")[0], b.split("\0")[0]
+    return 3 if a == b else int(tag_of(a) == tag_of(b))
+
+
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of two lists of signs that align, in order."""
+    low, high = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    inner, n, m = [], len(a) - low - high, len(b) - low - high
+    x, y = a[low : low + n], b[low : low + m]
+    if n * m > BEST_ALIGNED:
+        inner = by_singles(x, y)
+    elif n and m:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        like = [[likeness(p, q) for q in y] for p in x]
+        for i in range(n - 1, -1, -1):
+            row, under, w = best[i], best[i + 1], like[i]
+            for j in range(m - 1, -1, -1):
+                row[j] = max(under[j], row[j + 1], under[j + 1] + w[j] if w[j] else 0)
+        i = j = 0
+        while i < n and j < m:
+            if like[i][j] and best[i][j] == best[i + 1][j + 1] + like[i][j]:
+                inner.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+    return [*((k, k) for k in range(low)), *((i + low, j + low) for i, j in inner), *((len(a) - high + k, len(b) - high + k) for k in range(high))]
+
+
+def by_singles(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Long lists are aligned at the signs that each holds once, and between them; without such signs each meets its next equal."""
+    ca, cb = Counter(a), Counter(b)
+    where = {k: j for j, k in enumerate(b)}
+    singles = [(i, where[k]) for i, k in enumerate(a) if ca[k] == 1 == cb[k]]
+    # The longest rising run of them.
+    tails, ends, back = [], [], []
+    for n, (_, j) in enumerate(singles):
+        k = bisect_left(tails, j)
+        tails[k:] = [j, *tails[k + 1 :]] if k < len(tails) else [j]
+        ends[k:] = [n, *ends[k + 1 :]] if k < len(ends) else [n]
+        back.append(ends[k - 1] if k else -1)
+    chain, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        chain.append(singles[n])
+        n = back[n]
+    chain.reverse()
+    out, i, j = [], 0, 0
+    if not chain:
+        places = defaultdict(list)
+        for k, key in enumerate(b):
+            places[key].append(k)
+        for k, key in enumerate(a):
+            if (n := bisect_left(places[key], j)) < len(places[key]):
+                out.append((k, places[key][n]))
+                j = out[-1][1] + 1
+        return out
+    for p, q in [*chain, (len(a), len(b))]:
+        out += [(u + i, v + j) for u, v in aligned(a[i:p], b[j:q])]
+        if p < len(a):
+            out.append((p, q))
+        i, j = p + 1, q + 1
+    return out
+
+
 def align(a: list, b: list) -> list:
-    """The wrapper of both: the longest common subsequence of their items, the others optional."""
-    ka, kb = [x[0] for x in a], [x[0] for x in b]
-    if ka == kb:
+    """The wrapper of both: aligned items are joined, the others optional."""
+    if [x[0] for x in a] == [x[0] for x in b]:
         return [join(x, y) for x, y in zip(a, b, strict=True)]
-    a, b = a[:MOST_ITEMS], b[:MOST_ITEMS]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
     out = []
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(join(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], either(a[i][1], "?"), *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], either(b[j][1], "?"), *b[j][2:]])
-            j += 1
+    for p, q in [*aligned([sign(x) for x in a], [sign(x) for x in b]), (len(a), len(b))]:
+        out += [[x[0], either(x[1], "?"), *x[2:]] for x in [*a[i:p], *b[j:q]]]
+        if p < len(a):
+            out.append(join(a[p], b[q]))
+        i, j = p + 1, q + 1
     return fold(out)
 
 
@@ -233,21 +347,41 @@ def digest(tags: tuple[str, ...], text: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join((*tags, text)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def shape(node: Node, out: bool = False, template: frozenset = frozenset(), tags: tuple[str, ...] = ()) -> tuple[list, int, int]:
-    """The wrapper of one page's node, its mass, and what of it is not the template's."""
-    items, mass, own = [], 0, 0
+def level_of(node: Node, template: frozenset, tags: tuple[str, ...]) -> Iterator[tuple[str, str | Node]]:
+    """The keys of a node's texts and blocks, and what they are."""
     for text, block in runs(node):
-        if block is None:
-            n = 0 if out else len(text)
-            m = 0 if not n or template and digest(tags, text) in template else n
-            items.append(["#", "1", text if len(text) <= SHOWN else None, n, m])
-        elif block.tag == "head":
+        if block is not None:
+            yield block.key, block
+        else:
+            yield ("=%x" % (digest(tags, text) & (1 << 64) - 1) if template and digest(tags, text) in template else "#"), text
+
+
+def shape(node: Node, out: bool = False, template: frozenset = frozenset(), tags: tuple[str, ...] = ()) -> tuple[list, int]:
+    """The wrapper of one page's node, and its mass."""
+    items, mass = [], 0
+    for key, x in level_of(node, template, tags):
+        if isinstance(x, str):
+            n = 0 if out or key != "#" else len(x)
+            items.append([key, "1", x if len(x) <= SHOWN else None, n])
+        elif x.tag == "head":
             continue
         else:
-            inside, n, m = shape(block, out or block.out, template, (*tags, block.tag))
-            items.append([block.key, "1", inside, n, m])
-        mass, own = mass + n, own + m
-    return fold(items), mass, own
+            inside, n = shape(x, out or x.out, template, (*tags, x.tag))
+            items.append([key, "1", inside, n])
+        mass += n
+    return fold(items), mass
+
+
+def has_slots(node: Node, template: frozenset, tags: tuple[str, ...]) -> bool:
+    return not node.out and any(key == "#" if isinstance(x, str) else has_slots(x, template, (*tags, x.tag)) for key, x in level_of(node, template, tags))
+
+
+def sign_of(node: Node, template: frozenset, tags: tuple[str, ...]) -> str:
+    """The sign of a page's element."""
+    if node.tag not in ANYTHING:
+        return node.key
+    inner = {k[0] if isinstance(x, str) else x.tag for k, x in level_of(node, template, tags)}
+    return signed(node.key, has_slots(node, template, tags), inner)
 
 
 def texts_of(node: Node, tags: tuple[str, ...] = ()) -> Iterator[int]:
@@ -260,25 +394,20 @@ def texts_of(node: Node, tags: tuple[str, ...] = ()) -> Iterator[int]:
 
 
 def titled(item: list) -> bool:
-    return item[0] != "#" and item[3] > 0 and (item[0].split(".")[0] == "h1" or any(map(titled, item[2])))
-
+    return not is_text(item[0]) and item[3] > 0 and (tag_of(item[0]) == "h1" or any(map(titled, item[2])))
 
-def weighed(items: list) -> list:
-    """The items with their own mass alone: texts of the template weigh nothing."""
-    return [[key, often, inside if key == "#" else weighed(inside), own, own] for key, often, inside, _, own in items]
 
+def main_path(items: list) -> list[list]:
+    """The items from the top to the element that holds the article."""
+    found: list[tuple[int, list[list]]] = []
 
-def main_path(items: list) -> list[str]:
-    """The keys from the top to the element that holds the article."""
-    found: list[tuple[int, list[str]]] = []
-
-    def seek(items: list, path: list[str]) -> None:
-        for key, _, inside, mass, _ in items:
-            if key == "#":
+    def seek(items: list, path: list[list]) -> None:
+        for item in items:
+            key, _, inside, mass = item
+            if is_text(key):
                 continue
-            tag = key.split(".")[0]
-            here = path if key[0] == "(" else [*path, key]
-            if mass and (tag in ("article", "main") or "@main" in key):
+            here = path if key[0] == "(" else [*path, item]
+            if mass and (tag_of(key) in ("article", "main") or "@main" in key):
                 found.append((mass, here))
             seek(inside, here)
 
@@ -286,18 +415,71 @@ def main_path(items: list) -> list[str]:
     if found:
         most = max(m for m, _ in found)
         return max((x for x in found if x[0] >= 0.5 * most), key=lambda x: (len(x[1]), x[0]))[1]
-    path: list[str] = []
+    path: list[list] = []
     while True:  # down to where no single element holds most of the text
         total = sum(x[3] for x in items)
-        item = max((x for x in items if x[0] != "#"), key=lambda x: x[3], default=None)
-        if not item or item[3] < 0.75 * total or item[1] in "+*" or item[0].split(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote", *HEADINGS):
+        item = max((x for x in items if not is_text(x[0])), key=lambda x: x[3], default=None)
+        if not item or item[3] < 0.75 * total or item[1] in "+*" or tag_of(item[0]) in ("p", "ul", "ol", "table", "pre", "blockquote", *HEADINGS):
             return path
         if any(titled(x) for x in items if x is not item):  # the title belongs to the article
             return path
-        path += [] if item[0][0] == "(" else [item[0]]
+        path += [] if item[0][0] == "(" else [item]
         items = item[2]
 
 
+class Level:
+    """One level of a wrapper, to align pages with: its keys in order, the stretches that may come again, and the way to the article."""
+
+    def __init__(self, items: list, path: list[list]):
+        self.keys, self.signs, self.inside, self.on_path, self.loops = [], [], [], [], []
+        self._add(items, path)
+        self.where = {k: n for n, k in enumerate(self.keys)}
+        self.ends = len(path) == 0  # the article itself, or beside the way
+
+    def _add(self, items: list, path: list[list]) -> None:
+        for item in items:
+            first, main = len(self.keys), bool(path) and item is path[0]
+            if item[0][0] == "(":
+                self._add(item[2], path)
+            else:
+                self.keys.append(item[0])
+                self.signs.append(sign(item))
+                self.on_path.append(main)
+                self.inside.append(Level(item[2], path[1:]) if main else None)
+            if item[1] in "+*":
+                self.loops.append((first, len(self.keys)))
+
+    def places(self, keys: list[str], signs: Callable[[], list[str]] | None = None) -> list[int]:
+        """The place that each of a page's keys aligns with, or -1. signs: gives the signs, where keys do not tell."""
+        n, m = len(keys), len(self.keys)
+        if len(self.where) == m and all(k in self.where for k in keys):
+            return [self.where[k] for k in keys]
+        out = [-1] * n
+        if n * m > BEST_ALIGNED:
+            for i, j in by_singles(keys, self.keys):
+                out[i] = j
+            return [j if j >= 0 else self.where.get(k, -1) for j, k in zip(out, keys, strict=True)]
+        # best[i][j]: the worth of keys i.. at places j..; after a place one may go on or begin a stretch around it anew.
+        again = [[s for s, e in self.loops if s <= j < e] for j in range(m)]
+        like = [[likeness(k, w) for w in self.signs] for k in (signs() if signs else keys)]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        after = lambda i, j: max([best[i][j + 1], *[best[i][s] for s in again[j]]])
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], like[i][j] + after(i + 1, j) if like[i][j] else 0)
+        i = j = 0
+        while i < n and j < m:
+            if like[i][j] and best[i][j] == like[i][j] + after(i + 1, j):
+                out[i] = j
+                i += 1
+                j = max([j + 1, *again[j]], key=lambda s: best[i][s])
+            elif best[i][j] == best[i][j + 1]:
+                j += 1
+            else:
+                i += 1
+        return out
+
+
 class Wrapper:
     """What is known of a host: its items."""
 
@@ -307,11 +489,18 @@ class Wrapper:
     def meet(self, other: Wrapper) -> None:
         self.items = align(self.items, other.items)
 
+    def level(self) -> Level:
+        return Level(self.items, main_path(self.items))
+
     def expression(self) -> str:
         """As a regular expression over tags; # is a slot."""
 
         def text(items: list) -> str:
-            return " ".join((f"<{k}> {text(x)} </{k.split('.')[0]}>" if k[0] not in "#(" else f"( {text(x)} )" if k[0] == "(" else x or "#") if o == "1" else f"({text([[k, '1', x, 0, 0]])}){o}" for k, o, x, *_ in items)
+            out = []
+            for key, often, inside, mass in items:
+                one = inside or "#" if is_text(key) else f"( {text(inside)} )" if key[0] == "(" else f"<{key}> {text(inside)} </{tag_of(key)}>"
+                out.append(one if often == "1" else f"({one}){often}")
+            return " ".join(out)
 
         return text(self.items)
 
@@ -327,51 +516,42 @@ def hash_text(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def best_path(items: list) -> list[str]:
-    """The article's path by what is not the template's, or by all texts where there is nothing else."""
-    return main_path(weighed(items)) or main_path(items)
+@lru_cache(maxsize=1024)
+def level_from(packed: str) -> Level:
+    return Wrapper(json.loads(packed)).level()
 
 
-@lru_cache(maxsize=4096)
-def rules(packed: str | None) -> list[str]:
-    """The article's path."""
-    return best_path(json.loads(packed)) if packed else []
-
-
-def at_path(node: Node, path: list[str]) -> list[Node]:
-    if not path:
-        return [node]
-    out = []
-    for _, block in runs(node):
-        if block is not None and block.key == path[0]:
-            out += at_path(block, path[1:])
-    return out
+def articles(node: Node, level: Level, template: frozenset, tags: tuple[str, ...] = ()) -> list[tuple[Node, tuple[str, ...]]]:
+    """The elements of a page, with the tags around them, that align with the wrapper's article."""
+    if level.ends:
+        return [(node, tags)]
+    entries = list(level_of(node, template, tags))
+    places = level.places([k for k, _ in entries], lambda: [k if isinstance(x, str) else sign_of(x, template, (*tags, x.tag)) for k, x in entries])
+    return [y for (_, x), p in zip(entries, places, strict=True) if p >= 0 and level.on_path[p] and not isinstance(x, str) for y in articles(x, level.inside[p], template, (*tags, x.tag))]
 
 
 def has_heading(node: Node) -> bool:
     return any(not isinstance(c, str) and (c.tag in ("h1", "h2") or has_heading(c)) for c in node.children)
 
 
-def blocks(node: Node, tags: tuple[str, ...], template: frozenset) -> Iterator[str]:
-    for text, block in runs(node):
-        if block is None:
-            if not template or tags and tags[-1] in HEADINGS or digest(tags, text) not in template:
-                yield text
-        elif not block.out or "header" in block.key and has_heading(block):
-            yield from blocks(block, (*tags, block.tag), template)
+def slots(node: Node, tags: tuple[str, ...], template: frozenset) -> Iterator[str]:
+    """The texts of an article's slots, and of its headings."""
+    for key, x in level_of(node, template, tags):
+        if isinstance(x, str):
+            if key == "#" or tags and tags[-1] in HEADINGS:
+                yield x
+        elif not x.out or "header" in x.key and has_heading(x):
+            yield from slots(x, (*tags, x.tag), template)
 
 
 def extract(page: str | None, packed: str | None, template: frozenset = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    path = rules(packed)
-    nodes = at_path(root, path) if path else []
-    if not nodes:
-        path = best_path(shape(root, False, template)[0])
-        nodes = at_path(root, path)
-    tags = tuple(k.split(".")[0] for k in path)
-    return "\n\n".join(x for n in nodes for x in blocks(n, tags, template))
+    found = articles(root, level_from(packed), template) if packed else []
+    if not found:
+        found = articles(root, Wrapper(shape(root, False, template)[0]).level(), template)
+    return "\n\n".join(x for node, tags in found for x in slots(node, tags, template))
 
 
 def host_of(url):

@@ -80,3 +80,48 @@ def test_texts_of_few_values_stay(spark):
     rows = [(i, "http://few.org/", page.format(w, cells if i < 4 else "")) for i, w in enumerate(words) for _ in range(5)]
     got = {r.row.page_id: r.text for r in X.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{w}\n\nAll about {w} alone" + ("\n\nYes\n\nNo\n\nNo\n\nYes" if i < 4 else "") for i, w in enumerate(words)}
+
+
+BARE = "<body><div><div>{menu}</div><div>{teaser}</div><div>{body}</div><div>{legal}</div></div></body>"
+
+
+def test_hosts_whose_tags_and_classes_tell_nothing(spark):
+    words = "alpha beta gamma delta omega sigma kappa theta zeta iota".split()
+    menu, legal = "".join(f"<div>Go to part {k} of our site</div>" for k in range(30)), "<div>" + "All rights are ours, and this notice stands on every page of this site. " * 12 + "</div>"
+    bodies = [[f"Story {w} begins here and goes on for a while", *[f"Part {k} of {w} tells what {w} did then and why it mattered" for k in range(i % 3 + 1)]] for i, w in enumerate(words)]
+    page = [BARE.format(menu=menu, teaser=f"<p>See {w}</p>" if i % 2 else "", body="".join(f"<div>{x}</div>" for x in b), legal=legal) for i, (w, b) in enumerate(zip(words, bodies, strict=True))]
+    df = spark.createDataFrame([(i, "http://bare.org/", p) for i, p in enumerate(page)], "page_id long, url string, html string")
+    got = {r.row.page_id: r.text for r in X.extracted(df).collect()}
+    assert got == {i: "\n\n".join(b) for i, b in enumerate(bodies)}
+    assert not any(X.extract(p, None) == got[i] for i, p in enumerate(page))
+
+
+def test_many_blocks_before_the_article(spark):
+    pages = [(i, "http://many.org/", "<body>" + "".join(f"<div class='k{chr(97 + (i * 7 + k) % 26)}{k}'>Block {k} {i} of this page</div>" for k in range(70)) + f"<article><p>Article {'abcdefghijkl'[i]} text</p></article></body>") for i in range(12)]
+    got = {r.row.page_id: r.text for r in X.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Article {'abcdefghijkl'[i]} text" for i in range(12)}
+
+
+def test_excluded_elements_below_the_deepest():
+    assert X.extract("<div>" * 120 + "<nav>Menu</nav><p>deep</p><form>f</form><p>er", None) == "deep\n\ner"
+    assert X.extract("<div>" * 120 + "a<div class=sidebar>b<p>c</div>d", None) == "a\n\nd"
+
+
+def test_long_lists_align_at_singles():
+    a = [f"p.x{k % 50}" if k % 7 else f"div.only{k}" for k in range(600)]
+    b = ["h1", *a[:300], "hr", *a[300:], "footer"]
+    assert X.aligned(a, b) == [(k, k + 1 + (k >= 300)) for k in range(600)]
+    got = X.aligned(["a", "b"] * 300, ["b", "a"] * 300)
+    assert len(got) >= 300 and all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:]))
+
+
+def test_repeated_and_optional_places():
+    items = [["h1", "1", [], 0], ["(dt dd)", "+", [["dt", "1", [], 0], ["dd", "?", [], 0]], 0], ["p", "*", [], 0], ["footer", "?", [], 0]]
+    level = X.Level(items, [])
+    assert level.places(["h1", "dt", "dd", "dt", "dt", "dd", "p", "p"]) == [0, 1, 2, 1, 1, 2, 3, 3]
+    assert X.Level([["p", "1", [], 0], ["div", "1", [], 0], ["p", "1", [], 0]], []).places(["div.k", "section", "p"]) == [1, -1, 2]
+
+
+def test_very_long_page():
+    body = "".join(f"<p>Paragraph {k} of the text</p>" for k in range(40_000))
+    assert X.extract(f"<nav>n</nav><main>{body}</main>", None).count("\n\n") == 39_999
