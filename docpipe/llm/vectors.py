@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docpipe.llm.common import labelled_components, table, written
 
-BLOCKS, PART, STRIP = 4, 16_384, 128
+BLOCKS, PART, STRIP = 4, 32_768, 128
 #: Axes of a block that are cut into cells, at most: the first, and others that spread as wide as the range.
 GRID = 3
 #: Vectors up to this length, of the most frequent lengths, are rotated to their principal axes; others at random.
