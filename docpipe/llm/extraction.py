@@ -208,8 +208,14 @@ def signed(key: str, has_slots: bool, inner: set[str]) -> str:
 
 def fold(items: list) -> list:
     """Items with neighbours of the same shape as repeated groups."""
+    signs: list[str] = []
     for q in range(1, LONGEST_GROUP + 1):
-        i, out, signs = 0, [], [sign(x) for x in items]
+        if len(items) < 2 * q:
+            break
+        signs = [sign(x) for x in items] if len(signs) != len(items) else signs
+        if all(x != y for x, y in zip(signs, signs[q:])):
+            continue
+        i, out = 0, []
         while i < len(items):
             unit, j = items[i : i + q], i + q
             while len(unit) == q and signs[j : j + q] == signs[i : i + q]:
