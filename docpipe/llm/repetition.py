@@ -6,8 +6,11 @@ longest common prefixes from the kept ranks; the longer of a suffix's two is the
 spans of all intervals of common prefixes of at least `min_words` words, the maximal repeats, unite to the spans that begin
 there. The rule limits the fraction of words that they cover and the longest repeat.
 
-Cases: null and texts without words have no words and fail the base rule (under ten words); repeated rows are judged
-each; an empty table gives an empty result; other columns pass through `judged`, whatever their names.
+A text that is longer than a batch is judged whole by its last ranks alone, walking it once from each suffix to the next
+(a common prefix is at most one shorter then), so that memory stays in proportion to it.
+
+Cases: null and texts without words have no words and fail the base rule (under ten words); of repeats that tie all count;
+repeated rows are judged each; an empty table gives an empty result; other columns pass through `judged`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest long"
 
 
-def suffix_ranks(first: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, to where no two are equal.
+def suffix_ranks(first: np.ndarray, last_only: bool = False) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, to where no two are equal; or the last of them alone.
 
     first: a symbol for each place, equal only within one text. A rank is the number of suffixes that are smaller. A
     suffix that ends within the compared symbols has no equal, since a text's last symbol is followed by another text.
@@ -54,9 +57,9 @@ def suffix_ranks(first: np.ndarray) -> list[np.ndarray]:
         top = np.r_[True, old[1:] != old[:-1]]
         at = np.arange(len(tied))
         first_of = np.maximum.accumulate(np.where(head, at, 0))
-        rank = rank.copy()
+        rank = rank if last_only else rank.copy()
         rank[tied] = old + first_of - np.maximum.accumulate(np.where(top, at, 0))
-        levels.append(rank)
+        levels = [rank] if last_only else [*levels, rank]
         start = np.flatnonzero(head)
         size = np.diff(np.r_[start, len(tied)])
         tied = tied[np.repeat(size > 1, size)]
@@ -64,12 +67,34 @@ def suffix_ranks(first: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
+def walked_prefixes(first: np.ndarray, rank: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each place k of the order but the first, the common prefix of the suffixes at k - 1 and k."""
+    n, out = len(first), np.zeros(len(first) + 1, dtype=np.int64)
+    symbol, at, order, lcp, h = memoryview(first), memoryview(rank), memoryview(sa), memoryview(out), 0
+    for i in range(n):
+        k = at[i]
+        if k:
+            j = order[k - 1]
+            end = n - max(i, j)
+            while h < end and symbol[i + h] == symbol[j + h]:
+                h += 1
+            lcp[k] = h
+            h -= h > 0
+        else:
+            h = 0
+    return out
+
+
 def longest_repeats(first: np.ndarray) -> np.ndarray:
     """For each place, the length of the longest run of symbols from there that occurs elsewhere too."""
     n = len(first)
-    levels = suffix_ranks(first)
+    levels = suffix_ranks(first, n > BATCH_WORDS)
     sa = np.empty(n, dtype=np.int64)
     sa[levels[-1]] = np.arange(n)
+    if n > BATCH_WORDS:
+        lcp, out = walked_prefixes(first, levels[-1], sa), np.empty(n, dtype=np.int64)
+        out[sa] = np.maximum(lcp[:-1], lcp[1:])
+        return out
     lcp = np.zeros(n + 1, dtype=np.int64)  # of the suffixes at k - 1 and k of the order
     near = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]])
     a, b, common = sa[near], sa[near + 1], np.zeros(len(near), dtype=np.int64)

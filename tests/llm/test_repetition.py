@@ -44,3 +44,17 @@ def test_long_single_repeat_is_rejected(spark):
     assert kept == {0: (False, True), 1: (True, False), 2: (False, True)}
     big = [f"w{i}" for i in range(4000)]
     assert not R.judged(spark.createDataFrame([(0, " ".join(big + big[:70]))], "doc_id long, text string")).first().kept
+
+
+def test_long_texts_walk_to_the_same(monkeypatch):
+    random.seed(4)
+    texts = [[random.choice([b"a", b"b", b"c"]) for _ in range(random.randint(1, 300))] for _ in range(20)] + [[b"x"] * 500]
+    want = [R.repeats([t], 5, 8).tolist() for t in texts]
+    monkeypatch.setattr(R, "BATCH_WORDS", 0)
+    assert [R.repeats([t], 5, 8).tolist() for t in texts] == want
+
+
+def test_very_long_text(spark):
+    text = "x " * 400_000 + " ".join(f"w{k}" for k in range(400_000))
+    row = R.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_repeat_words, row.n_covered, row.longest, row.kept) == (800_000, 400_000, 400_000, 399_999, False)
