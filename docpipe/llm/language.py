@@ -5,9 +5,10 @@ labelled texts whose size for each language is bounded by a parameter. A text's
 its words: a known word counts by its log frequency; an unseen word counts by its longest n-grams of which any is known,
 as the mean over the known ones. The best language wins; the score is its share after softmax over the languages.
 
-Cases: null and texts without a letter get `und` and score 0; rows without a label teach nothing; with no labelled row
-at all every text gets `und`; ties go to the first language in code-point order; repeated rows are judged each; an empty
-table gives an empty result; other columns pass through, whatever their names.
+Cases: null and texts without a letter, of whatever length, get `und` and score 0; rows without a label teach nothing;
+beyond MOST_LANGUAGES labels those of the fewest texts are not learned; with no labelled row at all every text gets `und`;
+very long texts count whole, as all texts do; ties go to the first language in code-point order; repeated rows are judged
+each; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from docpipe.llm.common import crc_mod, table, text_batches
 SAMPLE = 6_000
 #: Words and n-grams of each length kept for a language, the most frequent first.
 KEEP_WORDS, KEEP_GRAMS, LONGEST_GRAM = 30_000, 6_000, 5
-#: Languages that one model can hold, and units of all languages: with many languages each keeps fewer.
+#: Languages that one model learns, those of the most labelled texts, and units of all languages, shared by labelled texts.
 MOST_LANGUAGES, MOST_UNITS = 1_000, 1_000_000
+#: Occurrences of other units that every language is thought to have besides, so that one of little text is not sure of it.
+FEW = 1_000
 #: Words whose scores a worker remembers.
 MEMORY = 100_000
 #: Texts whose words are held at once.
@@ -38,6 +41,12 @@ RUN = 256
 SURE_WORDS = 25
 
 find_words = re.compile(r"[^\W\d_]+").findall
+find_words_in = re.compile(r"[^\W\d_]+").finditer
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; the first character of words mostly tells."""
+    return any(x.isalpha() for m in find_words_in(text) for x in m[0])
 
 
 def words(text: str | None) -> list[str]:
@@ -69,9 +78,9 @@ class Model:
                 at += 1
         self.rows = np.empty((at, len(self.langs)), dtype=np.float32)
         for n, known in enumerate(self.units):
-            self.rows[list(known.values())] = np.log10(0.5 / np.maximum(total[n, : len(self.langs)], 1))
+            self.rows[list(known.values())] = np.log10(0.5 / (total[n].max() + FEW))  # the same in all languages: little text is no evidence
         for lang, n, unit, c in zip(rows["lang"], rows["n"], rows["unit"], rows["count"], strict=True):
-            self.rows[self.units[n][unit], k[lang]] = np.log10(c / total[n, k[lang]])
+            self.rows[self.units[n][unit], k[lang]] = np.log10(c / (total[n, k[lang]] + FEW))
 
     def word(self, w: str) -> np.ndarray:
         if (i := self.units[0].get(w)) is not None:
@@ -116,22 +125,35 @@ class Scorer(dict):
             best = x.argmax(axis=1)
             lang[some] = np.array(langs, dtype=object)[best]
             score[some] = x.max(axis=1) / x.sum(axis=1)
-            for i in some[size[some] < 4]:  # digits of other scripts look like words
-                if not any(map(str.isalpha, texts.iloc[i])):
+            for i in some:  # digits of other scripts look like words
+                if not has_letter(texts.iloc[i]):
                     lang[i], score[i] = "und", 0.0
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
 
+def rooms(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of its units that each language keeps: all of them where they fit, else the languages share by their sampled texts.
+
+    What the largest cannot use goes to the next, so that junk labels of a few texts take little from the others.
+    """
+    whole, texts = KEEP_WORDS + LONGEST_GRAM * KEEP_GRAMS, {k: min(v, sample) for k, v in sizes.items()}
+    left, out, weight = MOST_UNITS / whole, {}, float(sum(texts.values()))
+    for k, v in sorted(texts.items(), key=lambda x: (-x[1], x[0])):
+        out[k] = min(1.0, left * v / weight)
+        left, weight = left - out[k], weight - v
+    return out
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labelled (doc_id, text, lang). Only the sample's counts, of bounded size, come to the driver."""
     text_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
-    sizes = {x["lang"]: x["count"] for x in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {x["lang"]: x["count"] for x in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Model(pd.DataFrame({"lang": [], "n": [], "unit": [], "count": []}))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample / v))]), F.col("lang"))
+    labelled = labelled.where(F.col("lang").isin(list(sizes)))
+    by_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("lang"))
+    share = by_lang({k: min(1.0, sample / v) for k, v in sizes.items()})
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +176,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     units = known.select("lang", "count", F.explode(F.flatten(F.array(F.array(F.struct(F.lit(0).alias("n"), F.col("unit"))), *[cut(n) for n in range(1, LONGEST_GRAM + 1)]))).alias("u"))
     units = units.groupBy("lang", "u.n", "u.unit").agg(F.sum("count").alias("count"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
-    room = min(1.0, MOST_UNITS / (len(sizes) * (KEEP_WORDS + LONGEST_GRAM * KEEP_GRAMS)))
+    room = by_lang(rooms(sizes, sample))
     kept = units.withColumn("rank", rank).where((F.col("rank") <= KEEP_GRAMS * room) | (F.col("n") == 0) & (F.col("rank") <= KEEP_WORDS * room))
     return Model(kept.select("lang", "n", "unit", "count").toPandas())
 
