@@ -5,8 +5,9 @@ with a small rate; their sum is a lookup table for each feature. Pairs of featur
 most are boosted in the same way. A text's score is the logistic of the sum of its bins' entries.
 
 Cases: null counts as the empty text, whose features are all 0; labels that are null or belong to no document teach
-nothing; with no labelled row, or labels of one kind, the score is the constant prior; repeated rows are scored each; an
-empty table gives an empty result; other columns pass through `scored`, whatever their names.
+nothing; with no labelled row, or labels of one kind, the score is the constant prior; very long texts are measured whole;
+values that tie with an edge belong to the bin above it, trees that tie cut at the first place; repeated rows are scored
+each; an empty table gives an empty result; other columns pass through `scored`, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from docpipe.llm import quality as Q
 from tests.llm.conftest import crc
@@ -27,3 +30,21 @@ def test_odd_rows(spark, odd, none):
         out = Q.scored(odd, model).collect()
         assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
     assert Q.scored(none, model).count() == 0
+
+
+def test_scores_equal_plain_version(spark, documents):
+    """One feature after the other: its bin by comparing with each edge, then the tables' entries."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    model = Q.learn(documents, labels)
+    assert model.pairs
+    got = {r.row.doc_id: r.score for r in Q.scored(documents, model).collect()}
+    for r in documents.collect():
+        bins = [sum(e <= v for e in edges) for v, edges in zip(Q.features_of(r.text), model.edges, strict=True)]
+        total = model.base + sum(float(t[b]) for t, b in zip(model.tables, bins, strict=True)) + sum(float(t[bins[i], bins[j]]) for i, j, t in model.pairs)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
+def test_very_long_text(spark, documents):
+    model = Q.learn(documents, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    text = " ".join(f"word{k % 7919}" for k in range(400_000)) + "\n"
+    assert 0 <= Q.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().score <= 1
