@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,13 +41,51 @@ UNEXPECTED = "unexpected_error"
 
 
 def error_class(message: Column) -> Column:
-    """The code of an error message; null for no message."""
-    low = F.lower(message)
-    out = F.when(message.isNull(), F.lit(None).cast("string"))
-    for code, words in ERRORS:
-        hit = low.rlike("|".join(rf"\Q{w}\E" for w in words))
-        out = out.when(hit & low.contains("pdf") if code == "pdf_legacy_source_limit" else hit, code)
-    return out.otherwise(UNEXPECTED)
+    """The code of an error message; null for no message. The message is lower-cased once."""
+
+    def code_of(low: Column) -> Column:
+        out = F.when(low.isNull(), F.lit(None).cast("string"))
+        for code, words in ERRORS:
+            hit = reduce(or_, [low.contains(w) for w in words])
+            out = out.when(hit & low.contains("pdf") if code == "pdf_legacy_source_limit" else hit, code)
+        return out.otherwise(UNEXPECTED)
+
+    return F.get(F.transform(F.array(F.lower(message)), code_of), F.lit(0))
+
+
+#: What an error is called, and what to do about it.
+HELP = {
+    "engine_version_mismatch": ("Unknown engine", "Convert the document again with this version."),
+    "mineru_not_configured": ("OCR service not set up", "Store the service's token, then retry."),
+    "service_rate_limited": ("Too many requests", "Wait, then retry with fewer requests at once."),
+    "network_timeout": ("Network timeout", "Check the connection, then retry."),
+    "service_unavailable": ("Service unavailable", "Retry when the service is up again."),
+    "decision_model_error": ("Decision model failed", "Check the model's address and key, then classify again."),
+    "agent_tool_calling": ("Model cannot call tools", "Choose a model that can, or use the decision model."),
+    "agent_not_configured": ("Model not set up", "Enter the model's name and key."),
+    "agent_invalid_response": ("Unusable answer", "Classify again; if it stays, simplify the rules."),
+    "pdf_source_too_large": ("PDF above the limit", "Split the file below 1 GiB."),
+    "pdf_legacy_source_limit": ("PDF above an old limit", "Retry: the limit is higher now."),
+    "pdf_page_too_large": ("PDF page too large", "Shrink the page's images."),
+    "mineru_part_merge_failed": ("Parts do not merge", "Convert all parts again."),
+    "pdf_split_failed": ("PDF does not split", "Save the file anew, then retry."),
+    "pdf_invalid": ("Broken PDF", "Repair the file or get it again."),
+    "mineru_part_failed": ("A part failed", "Retry the failed parts."),
+    "document_encrypted": ("Encrypted document", "Remove the password, then retry."),
+    "permission_denied": ("No permission", "Allow reading the source and writing the output."),
+    "file_in_use": ("File in use", "Close the program that holds it, then retry."),
+    "file_not_found": ("File not found", "Check that the source is still there."),
+    "unsupported_format": ("Unsupported format", "Save the document in a supported format."),
+    "empty_output": ("Nothing converted", "Check whether the document has any text."),
+    "invalid_yaml": ("Invalid front matter", "Mend the YAML at the top of the document."),
+    UNEXPECTED: ("Unexpected error", "Retry; if it stays, look into the log."),
+}
+
+
+def error_help(code: Column) -> Column:
+    """A struct (title, suggestion) for an error's code; null for none."""
+    table = F.create_map(*[x for k, (title, suggestion) in HELP.items() for x in (F.lit(k), F.struct(F.lit(title).alias("title"), F.lit(suggestion).alias("suggestion")))])
+    return F.try_element_at(table, code)
 
 
 def trimmed(x: Column) -> Column:
@@ -78,6 +118,12 @@ def frontmatter(x: Column) -> Column:
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1))
 
 
+def without_frontmatter(x: Column) -> Column:
+    """A text without closed front matter at its start, and without the blank lines after it; any other text as it is."""
+    whole = r"(?s)^---\r?\n(?:.*?)(?:(?<=\n)|(?<=^---\n)|(?<=^---\r\n))(?:---|\.\.\.)\r?(?:\n|$)[\r\n]*"
+    return F.when(F.startswith(x, F.lit("---")), F.regexp_replace(x, whole, "")).otherwise(x)
+
+
 def frontmatter_list(yaml: Column, key: str) -> Column:
     """The items of a plain block list under a key: trimmed, without quotes and blanks, each once."""
     block = F.regexp_extract(yaml, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*- .*(?:\r?\n|$))*)", 1)

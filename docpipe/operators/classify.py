@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docpipe.functions import text as T
+from docpipe.operators.order import numbered
 
 FALLBACK, FALLBACK_ID, BATCH, MOST_OPTIONS, PREFIX_BYTES = "未分类", "unclassified", 16, 254, 32 * 1024
 
@@ -35,7 +36,7 @@ def question_batches(labels: DataFrame) -> DataFrame:
 
 def read_single(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (doc_id, category, error) of answers (doc_id, choice) by labels (label_key, name)."""
-    met = answers.join(F.broadcast(labels), F.col("choice") == F.col("label_key"), "left")
+    met = answers.join(labels, F.col("choice") == F.col("label_key"), "left")
     known = F.col("label_key").isNotNull() | (F.col("choice") == FALLBACK_ID)
     return met.select("doc_id", F.when(F.col("choice") == FALLBACK_ID, FALLBACK).otherwise(F.col("name")).alias("category"), F.when(~F.coalesce(known, F.lit(False)), "unknown_choice").alias("error"))
 
@@ -45,7 +46,7 @@ def read_multi(answers: DataFrame, labels: DataFrame) -> DataFrame:
 
     No choice is the fallback. A probability that is null, not finite or outside 0 to 1, or an unknown key, voids a document.
     """
-    met = answers.join(F.broadcast(labels.select("label_key", "name", "pos")), "label_key", "left")
+    met = answers.join(labels.select("label_key", "name", "pos"), "label_key", "left")
     fine = F.col("pos").isNotNull() & F.col("p").isNotNull() & ~F.isnan("p") & F.col("p").between(0.0, 1.0)
     chosen = F.transform(F.array_sort(F.collect_list(F.when(F.col("p") > 0.5, F.struct("pos", "name")))), lambda x: x["name"])
     out = met.groupBy("doc_id").agg(F.bool_and(fine).alias("ok"), chosen.alias("names"))
@@ -108,8 +109,8 @@ def import_merge(new: DataFrame, old: DataFrame, overwrite: bool) -> DataFrame:
     n = new.select(F.col("pos").alias("new_pos"), T.trimmed(F.col("name")).alias("new_name"), T.trimmed(F.col("description")).alias("new_description"), T.normalized_name(F.col("name")).alias("key"))
     met = o.join(n, "key", "full")
     description = F.when(F.col("pos").isNull() | F.lit(overwrite) & F.col("new_pos").isNotNull(), F.col("new_description")).otherwise(F.col("description"))
-    order = Window.orderBy(F.col("pos").asc_nulls_last(), "new_pos")  # rules are a short list, of one profile
-    return met.select(F.row_number().over(order).alias("place"), F.coalesce("name", "new_name").alias("name"), description.alias("description"))
+    placed = numbered(met.withColumn("new_text", description), [], [F.col("pos").isNull(), F.col("pos"), F.col("new_pos")])
+    return placed.select("place", F.coalesce("name", "new_name").alias("name"), F.col("new_text").alias("description"))
 
 
 def category_batches(batches: DataFrame) -> DataFrame:
@@ -138,14 +139,14 @@ def request_body(model: str, document: Column, truncated: Column, questions: Col
     return F.to_json(F.struct(F.lit(model).alias("model"), state.alias("state"), questions.alias("questions")))
 
 
-def single_question(labels: DataFrame) -> DataFrame:
-    """One row (n, options: JSON, error) of labels (pos from 0, name): the options of a single choice, the fallback last.
+def single_question(labels: DataFrame, *groups: str) -> DataFrame:
+    """A row (groups, n, options: JSON, error) for each group of labels (pos from 0, name): the options of a single choice, the fallback last.
 
     A request has MOST_OPTIONS labels at most; more are an error.
     """
-    held = labels.select("pos", "name").groupBy().agg(F.array_sort(F.collect_list(F.when(F.col("pos") <= MOST_OPTIONS, F.struct("pos", "name")))).alias("l"), F.count("*").alias("n"))
+    held = labels.groupBy(*groups).agg(F.array_sort(F.collect_list(F.when(F.col("pos") <= MOST_OPTIONS, F.struct("pos", "name")))).alias("l"), F.count("*").alias("n"))
     options = F.concat(F.transform("l", lambda x: F.struct(F.concat(F.lit("label_"), x["pos"].cast("string")).alias("id"), x["name"].alias("name"))), F.array(F.struct(F.lit(FALLBACK_ID).alias("id"), F.lit(FALLBACK).alias("name"))))
-    return held.select("n", F.when(F.col("n") <= MOST_OPTIONS, F.to_json(options)).alias("options"), F.when(F.col("n") > MOST_OPTIONS, "too_many_options").alias("error"))
+    return held.select(*groups, "n", F.when(F.col("n") <= MOST_OPTIONS, F.to_json(options)).alias("options"), F.when(F.col("n") > MOST_OPTIONS, "too_many_options").alias("error"))
 
 
 def import_result(preview: DataFrame, overwrite: bool) -> DataFrame:

@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docpipe.functions import text as T
+
 RESULT = "markdown string, warnings array<string>, status string, error string"
 SKIPPED = ("script", "style", "title", "noscript", "template")
 BLOCK = ("p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "body", "blockquote", "figure", "form", "dl", "dd", "dt")
@@ -295,6 +297,54 @@ def merge_categories(text: str, categories: list[str], key: str = "categories")
     return f"{bom}---{nl}{own}{block}{text[m.start(2):]}"
 
 
+def category_list(yaml: Column, key: str = "categories") -> Column:
+    """The texts of the list under a key of front matter, in any YAML form: trimmed, without blanks and items that are no text, each once.
+
+    Front matter that is no YAML, no mapping, or has no list there gives no item; null stays null. Yes, no, on and off are texts, as in YAML 1.2.
+    """
+
+    def read(x: pd.Series) -> pd.Series:
+        import yaml as y
+
+        class Loader(y.SafeLoader):
+            pass
+
+        drop = {"tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp"}
+        Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t not in drop] for k, v in y.SafeLoader.yaml_implicit_resolvers.items()}
+        Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+
+        def items(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            try:
+                held = y.load(text, Loader)
+            except Exception:  # a document, not the job
+                return []
+            values = held.get(key) if isinstance(held, dict) else None
+            return list(dict.fromkeys(v.strip() for v in values if isinstance(v, str) and v.strip())) if isinstance(values, list) else []
+
+        return x.map(items)
+
+    return F.pandas_udf(read, "array<string>")(yaml)
+
+
+def decision_input(text: Column, n: int, key: str = "categories") -> Column:
+    """What a decision reads: the text without old categories, its first n bytes; null where that is blank or its front matter is no mapping."""
+
+    def strip(x: pd.Series) -> pd.Series:
+        def body(t: str | None) -> str | None:
+            try:
+                return t if t is None or not t.lstrip("\ufeff").startswith("---") else strip_categories(t, key)
+            except Exception:  # a document, not the job
+                return None
+
+        return x.map(body)
+
+    has_head = F.ltrim(F.substring(text, 1, 4)).rlike("^\ufeff?---")
+    own = F.when(has_head, F.pandas_udf(strip, "string")(F.when(has_head, text))).otherwise(text)
+    return F.when(own.rlike(r"[^\s\p{Z}]"), T.utf8_prefix(own, n))
+
+
 def strip_categories(text: str, key: str = "categories") -> str:
     """A document without the categories in its front matter."""
     import yaml

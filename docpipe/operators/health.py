@@ -28,6 +28,19 @@ def health(roots: DataFrame, overlaps: DataFrame, tasks: DataFrame, ocr_ready: b
     )
 
 
+def profile_health(profiles: DataFrame, overlaps: DataFrame, model_ready: bool) -> DataFrame:
+    """Rows (profile_id, check, level) of profiles (profile_id, enabled, available, tagging, labels): input, overlap and model of each.
+
+    overlaps: (outer, inner) of profiles. The model is needed where classification is on; without labels nothing can be chosen.
+    """
+    both = overlaps.select(F.explode(F.array("outer", "inner")).alias("profile_id")).distinct().withColumn("overlaps", F.lit(True))
+    met = profiles.join(both, "profile_id", "left")
+    input_ = F.when(~F.col("enabled"), "ok").when(F.col("available"), "ok").otherwise("error")
+    model = F.when(~F.col("tagging"), "ok").when(F.col("labels") == 0, "error").when(F.lit(model_ready), "ok").otherwise("warning")
+    checks = {"input": input_, "overlap": F.when(F.col("overlaps"), "error").otherwise("ok"), "model": model}
+    return met.select("profile_id", F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("level")) for k, v in checks.items()])).alias("x")).select("profile_id", "x.*")
+
+
 def rules_impact(found: DataFrame, jobs: DataFrame, schema: str) -> DataFrame:
     """One row (discovered, new, affected) of Markdown files (path) and jobs (path, schema_hash, status) under new rules."""
     met = found.join(jobs, "path", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docpipe.functions import paths as P
+from docpipe.operators.order import numbered
 
 FALLBACK = "未分类"
 
@@ -43,13 +44,17 @@ def recent_documents(docs: DataFrame, n: int = 10) -> DataFrame:
     return in_folders(docs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("folder", "rank", "rel_path")
 
 
-def folder_listing(docs: DataFrame) -> DataFrame:
-    """Rows (folder, entry, kind, place): sub-folders first, then documents by lower-cased path."""
+def folder_entries(docs: DataFrame) -> DataFrame:
+    """Rows (folder, entry, kind): a folder's sub-folders and documents."""
     up = docs.select(F.explode(P.ancestors(F.col("rel_path"))).alias("child")).where("child <> ''").distinct()
     folders = up.select(P.parent(F.col("child")).alias("folder"), F.col("child").alias("entry"), F.lit("directory").alias("kind"))
     files = docs.select(P.parent(F.col("rel_path")).alias("folder"), F.col("rel_path").alias("entry"), F.lit("file").alias("kind"))
-    order = Window.partitionBy("folder").orderBy("kind", F.lower("entry"), "entry")
-    return folders.unionByName(files).withColumn("place", F.row_number().over(order))
+    return folders.unionByName(files)
+
+
+def folder_listing(docs: DataFrame) -> DataFrame:
+    """Rows (folder, entry, kind, place): sub-folders first, then documents by lower-cased path."""
+    return numbered(folder_entries(docs), ["folder"], [F.col("kind"), F.lower("entry"), F.col("entry")])
 
 
 #: Texts of pages by language.
@@ -96,7 +101,7 @@ def rendered(docs: DataFrame, title: str | None = None, profile: str = "", max_e
         out = top if out is None else out.unionByName(top)
     label = P.escape_link_text(P.file_name(F.col("entry")))
     down = F.concat(F.lit("- [**"), label, F.lit("/**]("), P.link_encode(F.concat(P.relative_link(F.col("folder"), F.col("entry")), F.lit("/" + P.INDEX_NAME))), F.lit(")\n"))
-    out = out.unionByName(lines(folder_listing(docs).drop("place"), 1, zero, none, (F.col("kind") == "file"), F.lower("entry"), F.col("entry"), F.when(F.col("kind") == "directory", down).otherwise(link("entry"))))
+    out = out.unionByName(lines(folder_entries(docs), 1, zero, none, (F.col("kind") == "file"), F.lower("entry"), F.col("entry"), F.when(F.col("kind") == "directory", down).otherwise(link("entry"))))
 
     known = rules or []
     rank = F.when(F.col("category").isNull(), len(known) + 1)
@@ -111,8 +116,7 @@ def rendered(docs: DataFrame, title: str | None = None, profile: str = "", max_e
     out = out.unionByName(lines(each, 2, rank, category, F.lit(1), F.lower("rel_path"), F.col("rel_path"), link("rel_path")))
     out = out.unionByName(lines(recent_documents(docs), 3, F.col("rank"), none, zero, none, none, link("rel_path")))
 
-    order = Window.partitionBy("folder").orderBy("section", "rank", "category", "kind", "low", "entry")
-    placed = out.withColumn("place", F.row_number().over(order))
+    placed = numbered(out, ["folder"], [F.col(x) for x in ("section", "rank", "category", "kind", "low", "entry")])
     parts = placed.groupBy("folder", (F.floor((F.col("place") - 1) / max_entries) + 1).cast("int").alias("part")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("body")
     )

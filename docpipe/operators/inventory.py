@@ -58,9 +58,25 @@ def queue_decision(force: Column, size: Column, ms: Column, output: Column, task
     )
 
 
-def prepare_decision(same_hash: Column, status: Column, has_output: Column) -> Column:
-    """refresh: only the metadata changed; queue: the content did, or nothing usable is there."""
-    return F.when(same_hash & ((status == "completed") & has_output | status.isin(*ACTIVE, "waiting_mineru")), "refresh").otherwise("queue")
+def prepare_decision(same_hash: Column, status: Column, has_output: Column, same_output: Column | None = None) -> Column:
+    """refresh: only the metadata changed; queue: the content or the output's place did, or nothing usable is there."""
+    same = same_hash if same_output is None else same_hash & F.coalesce(same_output, F.lit(False))
+    return F.when(same & ((status == "completed") & has_output | status.isin(*IN_FLIGHT)), "refresh").otherwise("queue")
+
+
+def with_ocr_verdicts(files: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """files (rel_path, content_hash) with `ocr_required`: whether a verdict (rel_path, ocr_required_hash) stands for this content.
+
+    A verdict on another content of the path, or a null one, is void.
+    """
+    found = verdicts.select("rel_path", F.col("ocr_required_hash").alias("content_hash"), F.lit(True).alias("ocr_required")).where("content_hash is not null").distinct()
+    return files.join(found, ["rel_path", "content_hash"], "left").na.fill(False, ["ocr_required"])
+
+
+def remaining_parts(parts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Parts (parent_task_id, ...) that stay when tasks (id, source_hash, content_hash, force) are prepared again: those of an unforced task whose content is the same."""
+    void = tasks.where(F.col("force") | ~F.col("source_hash").eqNullSafe(F.col("content_hash"))).select(F.col("id").alias("parent_task_id"))
+    return parts.join(void, "parent_task_id", "left_anti")
 
 
 def classification_eligible(enabled: Column, status: Column, same_source: Column, expected: Column, recorded: Column, exists: Column) -> Column:

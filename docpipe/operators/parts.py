@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docpipe.functions import text as T
+
 #: Pages of a part, bytes of a file that needs no cutting.
 PART_PAGES, DIRECT_BYTES = 200, 200 * 1000 * 1000
 
@@ -37,11 +39,11 @@ def progress(done: Column, total: Column) -> Column:
 
 
 def merged(parts: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Rows (doc_id, n_parts, markdown) of parts (doc_id, part_index, text), in order, each after its page comment.
+    """Rows (doc_id, n_parts, markdown) of parts (doc_id, part_index, text), in order, each without its front matter after its page comment.
 
     A document whose parts are together larger than max_bytes has null text; its size is summed before its parts meet.
     """
-    body = F.concat(F.lit("<!-- part "), F.col("part_index").cast("string"), F.lit(" -->\n\n"), F.coalesce("text", F.lit("")))
+    body = F.concat(F.lit("<!-- part "), F.col("part_index").cast("string"), F.lit(" -->\n\n"), T.without_frontmatter(F.coalesce("text", F.lit(""))))
     sizes = parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.octet_length("text")).alias("bytes"))
     small = parts.join(sizes.where(F.col("bytes") <= max_bytes).select("doc_id"), "doc_id", "left_semi")
     text = small.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_index", body.alias("body")))), lambda x: x["body"]), "\n\n").alias("markdown"))

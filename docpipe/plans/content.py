@@ -23,6 +23,27 @@ def query(name, sql=None):
     return put
 
 
+HEAD = "'---'||chr(10)||'title: t'||chr(10)||'categories:'||chr(10)||'  - old'||chr(10)||'---'||chr(10)"
+
+
+@query("decision_input", "with k as (select doc_id, case when doc_id%3=0 then '---'||chr(10)||'title: t'||chr(10)||'---'||chr(10)||text when doc_id%7=1 then null else text end as body from documents), m as (select doc_id, body, case when strlen(body)<=4096 then length(body) else list_max(list_filter(range(1024, 4097), lambda k: strlen(substr(body, 1, k))<=4096)) end as n from k) select doc_id, sha256(substr(body, 1, n)) as input_sha256 from m")
+def decision_input(s, d):
+    """Every 3rd document has front matter with old categories; some are blank."""
+    t = view(s, d, "documents").select("doc_id", F.when(c("doc_id") % 3 == 0, F.concat(F.expr(HEAD), "text")).when(c("doc_id") % 7 == 1, F.lit(" \n\t")).otherwise(c("text")).alias("t"))
+    return t.select("doc_id", F.sha2(V.decision_input(c("t"), 4096), 256).alias("input_sha256"))
+
+
+FLOW = """case doc_id%7 when 0 then 'categories: ['||lang||', "'||source||'", 3, true, '||lang||', null]  # kinds' when 1 then 'categories:'||chr(10)||'- '||lang||chr(10)||'- 4.5'||chr(10)||'- "'||source||'"  # so'||chr(10)||'- "  "' when 2 then 'categories: [broken' when 3 then 'categories: '||lang
+ when 4 then 'categories: ['||chr(39)||'it'||chr(39)||chr(39)||'s '||lang||chr(39)||', "a, b"]' when 5 then '- '||lang else 'categories:'||chr(10)||'  - "'||lang||'"'||chr(10)||'  - {a: 1}'||chr(10)||'  - yes' end"""
+
+
+@query("frontmatter_forms", "select doc_id, case doc_id%7 when 0 then lang||'|'||source when 1 then lang||'|'||source when 4 then 'it''s '||lang||'|a, b' when 6 then lang||'|yes' else '' end as categories from documents")
+def frontmatter_forms(s, d):
+    """Categories in any form of YAML: in brackets and in blocks, quoted or not, with items that are no text, broken, and none."""
+    yaml = T.frontmatter(F.expr(f"'---'||chr(10)||{FLOW}||chr(10)||'---'||chr(10)||text"))
+    return view(s, d, "documents").select("doc_id", F.array_join(V.category_list(yaml), "|").alias("categories"))
+
+
 @query("decision_prefix", "with k as (select doc_id, text, case when strlen(text)<=32768 then length(text) else list_max(list_filter(range(8192, 32769), lambda k: strlen(substr(text, 1, k))<=32768)) end as n from documents) select doc_id, sha256(substr(text, 1, n)) as prefix_sha256, strlen(text)>32768 as truncated from k")
 def decision_prefix(s, d):
     """What a decision reads: 32 KiB at most, cut between characters."""
@@ -52,10 +73,10 @@ def frontmatter_merge(s, d):
 
 
 BLOCK = "'n: '||doc_id||chr(10)"
-PAGE = f"case doc_id%5 when 0 then text when 1 then 'intro'||chr(10)||'{T.START}'||chr(10)||'old'||chr(10)||'{T.END}'||chr(10)||'tail' when 2 then '' when 3 then text||'{T.START} torn' else text||chr(10)||chr(10) end"
+PAGE = f"case doc_id%5 when 0 then text when 1 then 'intro'||chr(10)||'<!-- docpipe:index:start -->'||chr(10)||'old'||chr(10)||'<!-- docpipe:index:end -->'||chr(10)||'tail' when 2 then '' when 3 then text||'<!-- docpipe:index:start --> torn' else text||chr(10)||chr(10) end"
 
 
-@query("managed_block", f"""with p as (select doc_id, text, {BLOCK} as block, '{T.START}'||chr(10)||{BLOCK}||'{T.END}' as new from documents) select doc_id, sha256(case doc_id%5 when 0 then text||case when ends_with(text, chr(10)||chr(10)) then '' when ends_with(text, chr(10)) then chr(10) else chr(10)||chr(10) end||new||chr(10)
+@query("managed_block", f"""with p as (select doc_id, text, {BLOCK} as block, '<!-- docpipe:index:start -->'||chr(10)||{BLOCK}||'<!-- docpipe:index:end -->' as new from documents) select doc_id, sha256(case doc_id%5 when 0 then text||case when ends_with(text, chr(10)||chr(10)) then '' when ends_with(text, chr(10)) then chr(10) else chr(10)||chr(10) end||new||chr(10)
  when 1 then 'intro'||chr(10)||new||chr(10)||'tail' when 2 then new||chr(10) when 3 then null else text||chr(10)||chr(10)||new||chr(10) end) as page_sha256 from p""")
 def managed_block(s, d):
     """Pages without a block, with one, empty, with torn markers and ending in a blank line."""
@@ -64,7 +85,7 @@ def managed_block(s, d):
 
 @query("managed_remove", "select doc_id, sha256(regexp_replace(text||repeat(chr(10), 5)||'tail', '\\n{3,}', chr(10)||chr(10), 'g')) as page_sha256 from documents")
 def managed_remove(s, d):
-    page = F.expr(f"text||'\n\n\n'||'{T.START}'||'\nold\n'||'{T.END}'||'\n\ntail'")
+    page = F.expr(f"text||'\n\n\n'||'<!-- docpipe:index:start -->'||'\nold\n'||'<!-- docpipe:index:end -->'||'\n\ntail'")
     return view(s, d, "documents").select("doc_id", F.sha2(T.remove_managed(page), 256).alias("page_sha256"))
 
 
@@ -110,8 +131,16 @@ def redact_paths(s, d):
 
 
 _WORDS = [w for _, ws in T.ERRORS for w in ws] + ["pdf 超过 512 mib", "all is well"]
-_CASES = " ".join(f"when {' or '.join(f"contains(m, '{w}')" for w in ws)} then '{k}'" if k != "pdf_legacy_source_limit" else f"when contains(m, 'pdf') and ({' or '.join(f"contains(m, '{w}')" for w in ws)}) then '{k}'" for k, ws in T.ERRORS)
 _LIST = ", ".join(f"'{w}'" for w in _WORDS)
+# The rules in order, written out: regular expressions over the lower-cased message.
+_CASES = """when regexp_matches(m, '未知转换引擎') then 'engine_version_mismatch' when regexp_matches(m, '未配置 mineru|mineru token|凭据库') then 'mineru_not_configured' when regexp_matches(m, '429|too many requests|rate limit|限流') then 'service_rate_limited'
+ when regexp_matches(m, 'timeout|timed out|超时') then 'network_timeout' when regexp_matches(m, '500|502|503|504|server error|服务错误') then 'service_unavailable' when regexp_matches(m, '决策模型|system one') then 'decision_model_error'
+ when regexp_matches(m, 'tool calling|tool_call|未调用分类工具|不支持工具') then 'agent_tool_calling' when regexp_matches(m, 'agent api key|未配置 agent|模型名称不能为空') then 'agent_not_configured' when regexp_matches(m, '最大调用|超过轮次|调用轮次|参数不合法|schema') then 'agent_invalid_response'
+ when regexp_matches(m, '超过 1 gib|1 gib 本地预处理安全上限') then 'pdf_source_too_large' when regexp_matches(m, '超过 512 mib|512 mib 本地预处理安全上限') and contains(m, 'pdf') then 'pdf_legacy_source_limit' when regexp_matches(m, '单页分片达到或超过 190 mb|单页分片仍超过 190 mb|单页分片超过安全大小') then 'pdf_page_too_large'
+ when regexp_matches(m, '分片合并失败|不能合并旧 mineru 分片') then 'mineru_part_merge_failed' when regexp_matches(m, 'pdf 分片|拆分失败|无法安装隔离的 pdf 分片') then 'pdf_split_failed' when regexp_matches(m, 'pdf 已损坏|pdf 分片无法重新读取') then 'pdf_invalid'
+ when regexp_matches(m, 'mineru 分片解析失败|个 mineru 分片解析失败') then 'mineru_part_failed' when regexp_matches(m, 'encrypted|password|加密|密码') then 'document_encrypted' when regexp_matches(m, 'permission denied|access is denied|拒绝访问|权限不足|无法写入') then 'permission_denied'
+ when regexp_matches(m, 'being used|used by another process|被占用|共享冲突') then 'file_in_use' when regexp_matches(m, 'not found|找不到|不存在|no such file') then 'file_not_found' when regexp_matches(m, '不支持|unsupported') then 'unsupported_format'
+ when regexp_matches(m, '未产生 markdown|没有产生 markdown|内容为空|empty') then 'empty_output' when regexp_matches(m, 'yaml|frontmatter') then 'invalid_yaml'"""
 
 
 @query("error_classes", f"with e as (select event_id, case when event_id%50=49 then null else upper(event_type)||': '||[{_LIST}][event_id%{len(_WORDS)}+1] end as message from events), l as (select *, lower(message) as m from e) select coalesce(case when m is null then null {_CASES} else 'unexpected_error' end, 'none') as code, count(*) as n from l group by 1")
@@ -121,6 +150,13 @@ def error_classes(s, d):
     return view(s, d, "events").groupBy(F.coalesce(T.error_class(message), F.lit("none")).alias("code")).agg(F.count("*").alias("n"))
 
 
+@query("error_help", "with e as (select ['timed out','HTTP 503','encrypted file','no such file','bad yaml','odd'][event_id%6+1] as m from events), h as (select * from (values ('timed out', 'Network timeout', 'Check the connection, then retry.'), ('HTTP 503', 'Service unavailable', 'Retry when the service is up again.'), ('encrypted file', 'Encrypted document', 'Remove the password, then retry.'), ('no such file', 'File not found', 'Check that the source is still there.'), ('bad yaml', 'Invalid front matter', 'Mend the YAML at the top of the document.'), ('odd', 'Unexpected error', 'Retry; if it stays, look into the log.')) v(m, title, suggestion)) select title, suggestion, count(*) as n from e join h using (m) group by all")
+def error_help(s, d):
+    message = F.element_at(F.array(*[F.lit(x) for x in ("timed out", "HTTP 503", "encrypted file", "no such file", "bad yaml", "odd")]), (c("event_id") % 6 + 1).cast("int"))
+    help_ = T.error_help(T.error_class(message))
+    return view(s, d, "events").select(help_.alias("h")).groupBy("h.title", "h.suggestion").agg(F.count("*").alias("n"))
+
+
 @query("media_ext", ddb("src", "with m as (select rel_path, case doc_id%6 when 0 then 'image/png' when 1 then 'image/jpeg' when 2 then 'image/svg+xml' when 3 then 'image/x-wmf' when 4 then 'application/x' end as media from src) select rel_path, case media when 'image/png' then 'png' when 'image/jpeg' then 'jpg' when 'image/svg+xml' then 'svg' when 'image/x-wmf' then 'wmf' else coalesce(nullif(regexp_extract(rel_path, '\\.([A-Za-z0-9]{1,10})$', 1), ''), 'bin') end as ext from m"))
 def media_ext(s, d):
     media = F.expr("case doc_id%6 when 0 then 'image/png' when 1 then 'image/jpeg' when 2 then 'image/svg+xml' when 3 then 'image/x-wmf' when 4 then 'application/x' end")

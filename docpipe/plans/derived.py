@@ -15,7 +15,7 @@ VIEWS = {
     "tasks": "select o_orderkey as id, 'p'||(o_custkey%5) as profile_id, {pick_status} as status, {pick_engine} as engine, o_orderdate as updated_at from orders",
     "parts": "select l_orderkey as parent_task_id, cast(row_number() over(partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_shipdate,l_extendedprice) as bigint) as part_index, count(*) over(partition by l_orderkey) as part_count, cast(l_quantity as bigint) as pages, case when l_linestatus='F' then 'completed' when l_returnflag='R' then 'failed' else 'processing' end as status, l_returnflag<>'N' as artifact_ready, l_shipdate as updated_at from lineitem",
     "tag_jobs": "select d.doc_id as id, 'p'||(d.doc_id%5) as profile_id, case when quality=1 and toxic=0 then 'completed' when quality=1 then 'outdated' when toxic=1 then 'failed' else 'queued' end as status, case when d.doc_id%3=0 then 'old' else 'new' end as schema_hash, least({bytes}, 32768) as read_bytes, {bytes} as total_bytes from documents d join labels using(doc_id)",
-    "roots": "select 'r'||r_regionkey as id, '/'||r_name as root from region union all select 'n'||n_nationkey, '/'||r_name||'/'||n_name from nation join region on n_regionkey=r_regionkey where n_nationkey%2=0",
+    "roots": "select 'r'||r_regionkey as id, '/'||r_name as root from region union all select 'n'||n_nationkey, '/'||r_name||'/'||n_name from nation join region on n_regionkey=r_regionkey",
     "paths": "select c_custkey as id, '/'||r_name||'/'||n_name||'/'||c_name||'.md' as path from customer join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey",
     "answers": "select doc_id, 'label_0' as label_key, cast(case when quality=1 then 0.9 else 0.5 end as double) as noul from labels union all select doc_id, 'label_1', cast(case when toxic=1 then 0.51 else 0.2 end as double) from labels",
     "messages": "select conv_id as doc_id, turn+1 as part_index, text from conversations",

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docpipe.functions import paths as P
 from docpipe.operators import index as X
 from docpipe.operators import inventory as I
+from docpipe.operators.order import numbered
 from docpipe.plans.derived import ddb, view
 
 ENABLED = ("md", "html", "PDF", "docx", "csv", "png")
 c = F.col
 LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
-SUPPORTED = f"({LIST((*P.LOCAL_EXTENSIONS, *P.OCR_EXTENSIONS))})"
+# Values are written out here, not taken from the functions that the SQL checks.
+TEXTS = "'txt','html','htm','mhtml','mht'"
+LOCALS = f"'md','doc','docx','docm','xls','xlsx','xlsm','xlsb','ppt','pps','pot','pptx','pptm','ppsx','ppsm','odt','ods','odp','rtf','epub','pdf','csv',{TEXTS}"
+OCRS = "'png','jpg','jpeg','webp','bmp'"
+SUPPORTED = f"({LOCALS},{OCRS})"
+PENDING = "'waiting_stable','queued','waiting_mineru'"
+ACTIVE = "'converting','waiting_parts','uploading','processing','downloading'"
 EXT = "nullif(lower(regexp_extract(rel_path, '^.*/[^/]+\\.([^./]+)$', 1)), '')"
 PARENT = "regexp_extract(rel_path, '^(.*)/[^/]*$', 1)"
 NAME = "regexp_extract(rel_path, '([^/]*)$', 1)"
 STEM = "regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.[^.]+$', '')"
-E_ENGINE = f"case when {EXT}='md' then 'copy' when {EXT} in ({LIST(P.TEXT_EXTENSIONS)}) then 'text' when {EXT} in ({LIST(P.LOCAL_EXTENSIONS)}) then 'document' when {EXT} in ({LIST(P.OCR_EXTENSIONS)}) then 'ocr' end"
+E_ENGINE = f"case when {EXT}='md' then 'copy' when {EXT} in ({TEXTS}) then 'text' when {EXT} in ({LOCALS}) then 'document' when {EXT} in ({OCRS}) then 'ocr' end"
 DOCS = "md as (select rel_path, modified_ms, case when quality is null then []::varchar[] when quality=1 and toxic=1 then ['good','toxic'] when quality=1 then ['good'] when toxic=1 then ['toxic'] else ['other'] end as categories, string_split(rel_path, '/') as ps from md_docs)"
 FOLDERS = DOCS + ", folders as (select *, unnest(list_transform(range(0, len(ps)), lambda n: array_to_string(ps[1:n], '/'))) as folder from md)"
 
@@ -99,7 +105,7 @@ def path_safety(s, d):
 @query("natural_sort", ddb("src", f"with k as (select rel_path, {PARENT} as folder, array_to_string(list_transform(regexp_extract_all(lower({NAME}), '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]') then lpad(x, 20, '0') else x end), '') as key from src) select folder, rel_path, row_number() over (partition by folder order by key, rel_path)::int as place from k"))
 def natural_sort(s, d):
     f = view(s, d, "src").select("rel_path", P.parent(c("rel_path")).alias("folder"))
-    return f.select("folder", "rel_path", F.row_number().over(Window.partitionBy("folder").orderBy(P.natural_key(P.file_name(c("rel_path"))), "rel_path")).alias("place"))
+    return numbered(f.select("folder", "rel_path"), ["folder"], [P.natural_key(P.file_name(c("rel_path"))), c("rel_path")])
 
 
 @query("ext_normalize", f"select doc_id, array_to_string(list_filter(list_filter(xs, lambda x, i: list_position(xs, x) = i), lambda x: x in {SUPPORTED}), ',') as exts from (select doc_id, list_transform([' .'||upper(lang), 'MD', '..pdf ', source, 'md', 'html'], lambda x: lower(ltrim(trim(x), '.'))) as xs from documents)")
@@ -176,22 +182,22 @@ def prune_folders(s, d):
 @query("relative_link", ddb("md_docs", """with l as (select doc_id, rel_path, string_split(regexp_extract(rel_path, '^(.*)/[^/]*$', 1), '/') as a, string_split(lag(rel_path) over (order by doc_id), '/') as b from md_docs),
  k as (select *, list_max(list_filter(range(0, len(a)+1), lambda n: a[1:n]=b[1:n])) as m from l where b is not null) select doc_id, repeat('../', (len(a)-m)::bigint)||array_to_string(b[m+1:], '/') as link from k"""))
 def relative_link(s, d):
-    m = view(s, d, "md_docs")
-    # The document before it by id; ids are dense, so a join on the next id does without a global order.
-    before = m.select((c("doc_id") + 1).alias("doc_id"), c("rel_path").alias("target"))
-    return m.join(before, "doc_id").select("doc_id", P.relative_link(P.parent(c("rel_path")), c("target")).alias("link"))
+    """A link from each document's folder to the document before it by id."""
+    m = numbered(view(s, d, "md_docs").select("doc_id", "rel_path"), [], [c("doc_id")])
+    before = m.select((c("place") + 1).alias("place"), c("rel_path").alias("target"))
+    return m.join(before, "place").select("doc_id", P.relative_link(P.parent(c("rel_path")), c("target")).alias("link"))
 
 
-@query("link_encode", r"""with t as (select doc_id, replace(substr(text, 1, 24), chr(10), ' ') as name from documents) select doc_id,
- array_to_string(list_transform(regexp_extract_all(name, '.'), lambda x: case when regexp_matches(x, '[\p{L}\p{N}\-_.~/]') then x else regexp_replace(upper(hex(encode(x))), '(..)', '%\1', 'g') end), '') as link,
- array_to_string(list_transform(regexp_extract_all(name, '.'), lambda x: case when regexp_matches(x, '[A-Za-z0-9\-_.~/]') then x else regexp_replace(upper(hex(encode(x))), '(..)', '%\1', 'g') end), '') as encoded,
- regexp_replace(name, '([\\\[\]])', '\\\1', 'g') as link_text, regexp_replace(name, '([\\*_\[\]<>#`|])', '\\\1', 'g') as plain from t""")
+@query("link_encode", r"""with t as (select doc_id, replace(text, chr(10), ' ') as name from documents) select doc_id,
+ md5(array_to_string(list_transform(regexp_extract_all(name, '.'), lambda x: case when regexp_matches(x, '[\p{L}\p{N}\-_.~/]') then x else regexp_replace(upper(hex(encode(x))), '(..)', '%\1', 'g') end), '')) as link,
+ md5(array_to_string(list_transform(regexp_extract_all(name, '.'), lambda x: case when regexp_matches(x, '[A-Za-z0-9\-_.~/]') then x else regexp_replace(upper(hex(encode(x))), '(..)', '%\1', 'g') end), '')) as encoded,
+ md5(regexp_replace(name, '([\\\[\]])', '\\\1', 'g')) as link_text, md5(regexp_replace(name, '([\\*_\[\]<>#`|])', '\\\1', 'g')) as plain from t""")
 def link_encode(s, d):
-    name = F.replace(F.substring("text", 1, 24), F.lit("\n"), F.lit(" "))
-    return view(s, d, "documents").select("doc_id", P.link_encode(name).alias("link"), P.percent_encode(name).alias("encoded"), P.escape_link_text(name).alias("link_text"), P.escape_markdown(name).alias("plain"))
+    name = F.replace("text", F.lit("\n"), F.lit(" "))
+    return view(s, d, "documents").select("doc_id", F.md5(P.link_encode(name)).alias("link"), F.md5(P.percent_encode(name)).alias("encoded"), F.md5(P.escape_link_text(name)).alias("link_text"), F.md5(P.escape_markdown(name)).alias("plain"))
 
 
-FLIGHT = LIST(I.IN_FLIGHT)
+FLIGHT = f"'failed','waiting_mineru',{ACTIVE}"
 
 
 @query("queue_decision", ddb("src", f"""with {SNAP}, x as (select *, doc_id%17=0 as force, coalesce(task_output=rel_path||'.md', false) as same_out, status='completed' and output_ms is not null as done from snap)
@@ -202,9 +208,26 @@ def queue_decision(s, d):
     return snapshot(s, d).select("doc_id", I.queue_decision(c("doc_id") % 17 == 0, c("size_bytes"), c("modified_ms"), F.concat("rel_path", F.lit(".md")), c("task_size"), c("task_ms"), c("task_output"), c("status"), c("output_ms")).alias("action"))
 
 
-@query("prepare_decision", ddb("src", f"with {SNAP} select doc_id, case when doc_id%4<>0 and (status='completed' and output_ms is not null or status in ({LIST((*I.ACTIVE, 'waiting_mineru'))})) then 'refresh' else 'queue' end as action from snap"))
+@query("prepare_decision", ddb("src", f"with {SNAP} select doc_id, case when doc_id%4<>0 and task_output=rel_path||'.md' and (status='completed' and output_ms is not null or status in ({FLIGHT})) then 'refresh' else 'queue' end as action from snap"))
 def prepare_decision(s, d):
-    return snapshot(s, d).select("doc_id", I.prepare_decision(c("doc_id") % 4 != 0, c("status"), c("output_ms").isNotNull()).alias("action"))
+    same_output = c("task_output") == F.concat("rel_path", F.lit(".md"))
+    return snapshot(s, d).select("doc_id", I.prepare_decision(c("doc_id") % 4 != 0, c("status"), c("output_ms").isNotNull(), same_output).alias("action"))
+
+
+@query("ocr_required", ddb("src", f"select doc_id, doc_id%8=0 as ocr_required, case when doc_id%8=0 then 'ocr' else coalesce({E_ENGINE}, 'none') end as engine from src"))
+def ocr_required(s, d):
+    """Verdicts of every 4th document, half of them on a content that it no longer has."""
+    src = view(s, d, "src")
+    verdicts = src.where("doc_id % 4 = 0").select("rel_path", F.when(c("doc_id") % 8 == 0, c("content_hash")).otherwise("another content").alias("ocr_required_hash"))
+    out = I.with_ocr_verdicts(src, verdicts)
+    return out.select("doc_id", "ocr_required", F.when(c("ocr_required"), "ocr").otherwise(F.coalesce(P.engine(c("rel_path")), F.lit("none"))).alias("engine"))
+
+
+@query("remaining_parts", ddb("tasks parts", "select p.parent_task_id, p.part_index from parts p join tasks t on p.parent_task_id=t.id where t.id%3<>0 and t.id%11<>0 union all select parent_task_id, part_index from parts where parent_task_id not in (select id from tasks)"))
+def remaining_parts(s, d):
+    """Every 3rd task has another content now, every 11th is forced."""
+    t = view(s, d, "tasks").select("id", c("id").cast("string").alias("source_hash"), F.when(c("id") % 3 == 0, "other").otherwise(c("id").cast("string")).alias("content_hash"), (c("id") % 11 == 0).alias("force"))
+    return I.remaining_parts(view(s, d, "parts"), t).select("parent_task_id", "part_index")
 
 
 @query("source_changed", ddb("src", f"with {SNAP} select doc_id, coalesce(status='completed' and (coalesce(task_size<>size_bytes, false) or coalesce(task_ms<>modified_ms, false)), false) as changed, output_ms is not null as output_available from snap"))
@@ -221,7 +244,7 @@ def classify_eligible(s, d):
 
 
 @query("file_filter", ddb("src", f"""with {SNAP}, a as (select *, {EXT} as x from snap), b as (select *, case when doc_id%23=0 then 'unreadable' when x not in {SUPPORTED} or x is null then 'unsupported' when x not in ({LIST(x.lower() for x in ENABLED)}) then 'disabled' else 'eligible' end as av from a)
- select case when av='unreadable' then 'unreadable' when status is not null then case when status in ({LIST(I.PENDING)}) then 'pending' when status in ({LIST(I.ACTIVE)}) then 'active' else status end when av='eligible' then 'untracked' else av end as class, count(*) as n from b group by 1"""))
+ select case when av='unreadable' then 'unreadable' when status is not null then case when status in ({PENDING}) then 'pending' when status in ({ACTIVE}) then 'active' else status end when av='eligible' then 'untracked' else av end as class, count(*) as n from b group by 1"""))
 def file_filter(s, d):
     av = I.availability(c("rel_path"), ENABLED, F.when(c("doc_id") % 23 == 0, "unreadable"))
     return snapshot(s, d).groupBy(I.file_class(av, c("status")).alias("class")).agg(F.count("*").alias("n"))
@@ -252,7 +275,7 @@ def previous_output(s, d):
     return x.where((c("task_output") != F.concat("rel_path", F.lit(".md"))) & P.is_safe_relative(c("task_output"))).select("doc_id", c("task_output").alias("old_output"))
 
 
-@query("drop_disabled", ddb("src", f"with {SNAP} select doc_id from snap where status in ({LIST(I.PENDING)}) and coalesce({EXT} not in ({LIST(x.lower() for x in ENABLED)}), true)"))
+@query("drop_disabled", ddb("src", f"with {SNAP} select doc_id from snap where status in ({PENDING}) and coalesce({EXT} not in ({LIST(x.lower() for x in ENABLED)}), true)"))
 def drop_disabled(s, d):
     return snapshot(s, d).where(c("status").isin(*I.PENDING) & ~P.is_enabled(c("rel_path"), ENABLED)).select("doc_id")
 

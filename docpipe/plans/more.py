@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docpipe.functions import paths as P
@@ -12,6 +11,7 @@ from docpipe.operators import convert as V
 from docpipe.operators import inventory as I
 from docpipe.operators import parts as R
 from docpipe.operators import state as S
+from docpipe.operators.order import numbered
 from docpipe.plans import rules
 from docpipe.plans.derived import ddb, view
 
@@ -81,8 +81,7 @@ def times(s, d):
 def folder_depth(s, d):
     """Folders, the deepest first: the order in which they are pruned."""
     f = view(s, d, "md_docs").select(P.parent(c("rel_path")).alias("folder")).distinct().withColumn("depth", F.size(F.split("folder", "/")))
-    # A list of folders, far shorter than that of the documents.
-    return f.select("folder", "depth", F.row_number().over(W.orderBy(F.desc("depth"), "folder")).alias("place"))
+    return numbered(f.select("folder", "depth"), [], [-c("depth"), c("folder")])
 
 
 @query("failure_status", "with e as (select ['mineru','copy'][event_id%2+1] as engine, ['network_timeout','mineru_not_configured','file_in_use','service_unavailable','unexpected_error'][event_id%5+1] as code from events) select engine, code, case when engine='mineru' and code in ('network_timeout','service_unavailable','mineru_not_configured') then 'waiting_mineru' else 'failed' end as status, count(*) as n from e group by all")
@@ -97,9 +96,14 @@ def breadcrumbs(s, d):
     return view(s, d, "md_docs").select(P.parent(c("rel_path")).alias("folder")).distinct().select("folder", P.breadcrumbs(c("folder")).alias("line"))
 
 
-@query("single_question", ddb("cats", "select count(*) as n, null::varchar as options, 'too_many_options' as error from cats having count(*)>254 union all select count(*), '['||string_agg('{\"id\":\"label_'||pos||'\",\"name\":\"'||name||'\"}', ',' order by pos)||',{\"id\":\"unclassified\",\"name\":\"未分类\"}]', null from cats having count(*)<=254"))
+@query("single_question", ddb("cats", """with k as (select pos, name, (pos-1)//100 as set_id from cats where pos>50 union all select pos, name, -1 from cats), p as (select set_id, row_number() over (partition by set_id order by pos)-1 as pos, name from k)
+ select set_id, count(*) as n, case when count(*)<=254 then '['||string_agg('{"id":"label_'||pos||'","name":"'||name||'"}', ',' order by pos)||',{"id":"unclassified","name":"未分类"}]' end as options, case when count(*)>254 then 'too_many_options' end as error from p group by 1"""))
 def single_question(s, d):
-    return K.single_question(view(s, d, "cats"))
+    """Rule sets of a hundred labels, and one of all of them, which is too large."""
+    k = view(s, d, "cats")
+    sets = k.where("pos > 50").select("pos", "name", F.expr("(pos - 1) div 100").alias("set_id")).union(k.select("pos", "name", F.lit(-1).cast("long")))
+    placed = numbered(sets, ["set_id"], [c("pos")])
+    return K.single_question(placed.select("set_id", (c("place") - 1).alias("pos"), "name"), "set_id")
 
 
 @query("import_result", ddb("cats", f"with o0 as ({rules.OLD}), n as ({rules.NEW}), o as (select * from o0 qualify row_number() over (partition by {rules.KEY} order by pos)=1), p as (select case when o.pos is null then 'added' when o.description=n.description then 'identical' else 'conflict' end as outcome from n left join o on lower(trim(n.name))=lower(trim(o.name))) select count(*) filter (outcome='added') as added, count(*) filter (outcome='identical') as skipped, count(*) filter (outcome='conflict') as overwritten from p"))

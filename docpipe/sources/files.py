@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from docpipe.functions import paths as P
 from docpipe.functions import text as T
 from docpipe.operators import convert as V
+from docpipe.sources.tables import folders, removed, written
 
 
 def scan_files(spark: SparkSession, root: str, enabled: Sequence[str] | None = None) -> DataFrame:
@@ -93,10 +94,39 @@ def write_converted(docs: DataFrame, path: str) -> None:
     docs.select("profile_id", "rel_path", text.alias("markdown")).write.partitionBy("profile_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_assets(assets: DataFrame, path: str) -> None:
-    """Assets (doc_id, output_path, relative_path, bytes) of safe paths, replacing each document's earlier ones."""
+#: Parts of an asset table, by a hash of the document.
+ASSET_BUCKETS = 64
+
+
+def write_assets(assets: DataFrame, path: str, converted: DataFrame | None = None) -> None:
+    """Assets (doc_id, output_path, relative_path, bytes) of safe paths, replacing all earlier ones of the converted documents (doc_id).
+
+    A converted document without assets loses those that it had. The table has ASSET_BUCKETS parts, of which only those
+    that hold a converted document are written again, from a copy beside it. Readers take `read_assets`.
+    """
+    spark = assets.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ASSET_BUCKETS)).cast("int")
     safe = assets.where(P.is_safe_relative(F.col("relative_path")))
-    safe.withColumn("asset_path", F.concat_ws("/", P.asset_dir(F.col("output_path")), "relative_path")).write.partitionBy("doc_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    new = safe.withColumn("asset_path", F.concat_ws("/", P.asset_dir(F.col("output_path")), "relative_path"))
+    done = (assets if converted is None else converted).select("doc_id").distinct()
+    if folders(spark, path):
+        touched = [x["bucket"] for x in done.select(bucket.alias("bucket")).distinct().collect()]  # ASSET_BUCKETS at most
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+        new = old.join(done, "doc_id", "left_anti").unionByName(new)
+        # A part left without assets is written with an empty marker row, so that it replaces the one before.
+        empty = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in touched])).alias("bucket")) if touched else None
+        rows = new.withColumn("bucket", bucket)
+        rows = rows if empty is None else rows.unionByName(empty, allowMissingColumns=True)
+    else:
+        rows = new.withColumn("bucket", bucket)
+    held, place = written(rows, "assets")
+    held.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    removed(spark, place)
+
+
+def read_assets(spark: SparkSession, path: str) -> DataFrame:
+    """The assets of a table that write_assets wrote."""
+    return spark.read.parquet(path).where("relative_path is not null").drop("bucket")
 
 
 def write_changed_pages(changed: DataFrame, path: str, version: int) -> None:

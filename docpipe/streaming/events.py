@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,10 +12,15 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from docpipe.functions import paths as P
 from docpipe.operators.classify import compare_and_set
 from docpipe.operators.inventory import nearest_root
+from docpipe.sources.tables import folders
 
 FILES = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 #: Repeats that make a file stable, observations after which it is given up.
 REPEATS, MOST = 2, 60
+#: Time after which a path that is no longer observed is forgotten.
+FORGET_MS = 24 * 3600 * 1000
+#: Parts of a versioned table, by a hash of the key.
+BUCKETS = 64
 
 
 def arrivals(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -24,13 +29,18 @@ def arrivals(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
+def signature(seen: DataFrame):
+    """What must repeat: the size, and the time of change where it is observed too."""
+    return F.struct(*[c for c in ("size", "modified") if c in seen.columns])
+
+
 def stable_files(seen: DataFrame) -> DataFrame:
-    """Batch: rows (path, ts, size, stable) where a path's size repeats twice in a row, first such time; stable is false where given up.
+    """Batch: rows (path, ts, size, stable) where a path's signature repeats twice in a row, first such time; stable is false where given up.
 
-    seen: observations (path, ts, size).
+    seen: observations (path, ts, size) or (path, ts, size, modified).
     """
     order = Window.partitionBy("path").orderBy("ts", "size")
-    same = F.coalesce(F.col("size") == F.lag("size").over(order), F.lit(False))
+    same = F.coalesce(signature(seen).eqNullSafe(F.lag(signature(seen)).over(order)), F.lit(False))
     marked = seen.withColumn("n", F.row_number().over(order)).withColumn("same", same)
     marked = marked.withColumn("hit", F.col("same") & F.coalesce(F.lag("same").over(order), F.lit(False)))
     first = marked.where(F.col("hit") & (F.col("n") <= MOST)).groupBy("path").agg(F.min_by(F.struct("ts", "size"), F.struct("n")).alias("x"))
@@ -39,23 +49,36 @@ def stable_files(seen: DataFrame) -> DataFrame:
 
 
 def stable_stream(seen: DataFrame) -> DataFrame:
-    """Stream: the same, with the size, the run of repeats and the number of observations as each path's state."""
+    """Stream: the same, with the signature, the run of repeats and the number of observations as each path's state.
+
+    A path that was stable, or given up, is watched anew once its signature changes. FORGET_MS after its last
+    observation the state goes; then the path counts as never seen.
+    """
+    timed = "modified" in seen.columns
 
     def watch(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, run, n, done = state.get if state.exists else (None, 0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, changed, run, n, done = state.get if state.exists else (None, None, 0, 0, False)
         for x in batches:
-            for ts, size in x.sort_values(["ts", "size"])[["ts", "size"]].itertuples(index=False):
+            for row in x.sort_values(["ts", "size"]).itertuples(index=False):
+                size, at = int(row.size), (row.modified.value if timed and row.modified is not pd.NaT else None)
+                same = last is not None and (size, at) == (last, changed)
+                if done and same:
+                    continue
                 if done:
-                    break
+                    n, run, done = 0, 0, False
                 n += 1
-                run = run + 1 if last is not None and size == last else 0
-                last = int(size)
+                run = run + 1 if same else 0
+                last, changed = size, at
                 if run >= REPEATS or n >= MOST:
                     done = True
-                    yield pd.DataFrame({"path": [key[0]], "ts": [ts if run >= REPEATS else pd.NaT], "size": [last], "stable": [run >= REPEATS]})
-        state.update((last, run, n, done))
+                    yield pd.DataFrame({"path": [key[0]], "ts": [row.ts if run >= REPEATS else pd.NaT], "size": [last], "stable": [run >= REPEATS]})
+        state.update((last, changed, run, n, done))
+        state.setTimeoutDuration(FORGET_MS)
 
-    return seen.groupBy("path").applyInPandasWithState(watch, "path string, ts timestamp, size long, stable boolean", "last long, run int, n int, done boolean", "append", "NoTimeout")
+    return seen.groupBy("path").applyInPandasWithState(watch, "path string, ts timestamp, size long, stable boolean", "last long, changed long, run int, n int, done boolean", "append", "ProcessingTimeTimeout")
 
 
 def debounced(changes: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
@@ -71,10 +94,85 @@ def coalesced(requests: DataFrame) -> DataFrame:
     return requests.groupBy("path").agg(F.max("strength").alias("strength"), F.count("*").alias("requests"))
 
 
+def coalesced_stream(events: DataFrame) -> DataFrame:
+    """Stream: rows (path, strength, ts) of the requests that start, from events (path, ts, strength); a null strength says that the path's work is done.
+
+    A request for a path without work starts at once; while it works, the strongest of the others waits, and starts
+    when the work is done. What works and what waits is each path's state, so it holds across batches.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        busy, waiting = state.get if state.exists else (False, None)
+        started = []
+        for x in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples(index=False):
+            strength = None if pd.isna(x.strength) else int(x.strength)
+            if strength is None:
+                busy, now, waiting = waiting is not None, waiting, None
+                if now is not None:
+                    started.append((key[0], now, x.ts))
+            elif busy:
+                waiting = strength if waiting is None else max(waiting, strength)
+            else:
+                busy = True
+                started.append((key[0], strength, x.ts))
+        if busy:
+            state.update((busy, waiting))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(started, columns=["path", "strength", "ts"])
+
+    return events.groupBy("path").applyInPandasWithState(run, "path string, strength int, ts timestamp", "busy boolean, waiting int", "append", "NoTimeout")
+
+
+def stage(source: DataFrame, step: Callable[[DataFrame], DataFrame], table: str, checkpoint: str):
+    """A writer of one stage of a chain: step's rows of a stream go to a table, which the next stage reads as a stream. Parquet's log makes each row once."""
+    return step(source).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def to_classify(converted: DataFrame) -> DataFrame:
+    """Converted documents (profile_id, path, content_hash, classify) whose profile classifies: rows (profile_id, path, read_hash) to be judged."""
+    return converted.where("classify").select("profile_id", "path", F.col("content_hash").alias("read_hash"))
+
+
+def to_index(written: DataFrame) -> DataFrame:
+    """Documents (profile_id, path) that were converted or classified: rows (profile_id, folder) of folders whose pages change, every ancestor once a document."""
+    return written.select("profile_id", F.explode(P.ancestors(F.col("path"))).alias("folder"))
+
+
+def bucketed_sink(base: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema: StructType, key: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: as upsert_sink, but a batch writes only those parts of the table, by a hash of the key, that its keys are in.
+
+    step may add and change rows of the batch's keys, not remove all rows of a part. Readers take `current`.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = latest(spark, base)
+        if last is not None and last >= batch_id:
+            return
+        touched = [x["bucket"] for x in batch.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
+        old = current(spark, base, schema, touched)
+        step(old, batch).withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/v={batch_id}")
+
+    return put
+
+
+def current(spark: SparkSession, base: str, schema: StructType, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The newest version of each part of a table that bucketed_sink wrote."""
+    newest: dict[int, str] = {}
+    for version in sorted(versions(spark, base)):
+        for name in folders(spark, f"{base}/v={version}"):
+            if name.startswith("bucket=") and (buckets is None or int(name[7:]) in buckets):
+                newest[int(name[7:])] = f"{base}/v={version}/{name}"
+    return spark.read.schema(schema).parquet(*newest.values()) if newest else spark.createDataFrame([], schema)
+
+
 def upsert_sink(base: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema: StructType) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch writes the next version of a table beside the last, named by the batch's number.
+    """For foreachBatch: each batch writes the next version of a whole small table beside the last, named by the batch's number.
 
     A batch that is run again finds its version and does nothing, so results are exactly once. Readers take the highest version.
+    A table that is large beside its batches is bucketed_sink's.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
@@ -88,15 +186,14 @@ def upsert_sink(base: str, step: Callable[[DataFrame, DataFrame], DataFrame], sc
     return put
 
 
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """The versions that were written whole."""
+    return [int(name[2:]) for name in folders(spark, base) if name.startswith("v=") and "_SUCCESS" in folders(spark, f"{base}/{name}")]
+
+
 def latest(spark: SparkSession, base: str) -> int | None:
     """The highest version that was written whole."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(base)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return None
-    found = [int(x.getPath().getName()[2:]) for x in fs.listStatus(place) if x.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    return max(found, default=None)
+    return max(versions(spark, base), default=None)
 
 
 def output_changes(files: DataFrame, roots: dict[str, str]) -> DataFrame:

@@ -54,7 +54,7 @@ def test_html():
 
 
 def test_csv_and_charsets():
-    assert V.csv_to_markdown("Name,Value\nAlpha,42\n") == "| Name | Value |\n| --- | --- |\n| Alpha | 42 |"
+    assert V.csv_to_markdown("city,rain mm\nBergen,2250\n") == "| city | rain mm |\n| --- | --- |\n| Bergen | 2250 |"
     assert V.decoded("中文".encode("gbk"), "gbk") == "中文"
     assert V.decoded(b"\xff\xfe" + "a".encode("utf-16-le"), bom_first=True) == "a"
     with pytest.raises(UnicodeDecodeError):
@@ -171,3 +171,40 @@ def test_pages_list_every_entry(spark):
     assert "### x (11)\n\n" in text and "### Pending classification (12)\n\n" in text and "## Recently updated" in text
     whole = {r.folder: r.page for r in D.rendered(docs, language="zh").collect()}
     assert "## 按标签浏览\n\n### x（11）\n\n- [doc-01](doc-01.md)\n" in whole["a/b"] and "- [**b/**](b/index.md)\n" in whole["a"]
+
+
+def test_numbered_groups(spark):
+    from docpipe.operators.order import numbered
+
+    rows = [(None if k % 7 == 0 else "hot" if k % 3 else f"g{k % 5}", k * 7919 % 1000) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = numbered(df, ["g"], [F.col("v")]).collect()
+    want = {}
+    for g, v in sorted(rows, key=lambda x: (str(x[0]), x[1])):
+        want.setdefault(g, []).append(v)
+    for g, vs in want.items():
+        assert [r.v for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)] == vs
+        assert sorted(r.place for r in got if r.g == g) == list(range(1, len(vs) + 1))
+    assert [r.place for r in sorted(numbered(df, [], [F.col("v"), F.col("g")]).collect(), key=lambda r: r.place)] == list(range(1, 3001))
+    assert numbered(df.where("v < 0"), ["g"], [F.col("v")]).count() == 0
+
+
+def test_assets_of_a_document_are_replaced_whole(spark, tmp_path):
+    from docpipe.sources import files as X
+
+    schema, path = "doc_id long, output_path string, relative_path string, bytes binary", str(tmp_path / "assets")
+    X.write_assets(spark.createDataFrame([(1, "o/a.md", "x.png", b"1"), (1, "o/a.md", "y.png", b"2"), (2, "o/b.md", "z.png", b"3"), (3, "o/c.md", "w.png", b"4")], schema), path)
+    converted = spark.createDataFrame([(1,), (2,), (4,)], "doc_id long")
+    X.write_assets(spark.createDataFrame([(1, "o/a.md", "new.png", b"5"), (4, "o/d.md", "q.png", b"6")], schema), path, converted)
+    got = sorted((r.doc_id, r.asset_path) for r in X.read_assets(spark, path).collect())
+    assert got == [(1, "o/a.assets/new.png"), (3, "o/c.assets/w.png"), (4, "o/d.assets/q.png")]
+
+
+def test_decision_input_and_category_forms(spark):
+    texts = ["---\ncategories: [a, 'b c']\nx: 1\n---\nbody", "---\n- no\n- mapping\n---\nbody", "  \n", None, "plain", "\ufeff---\ncategories:\n  - z\n---\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.i: r.x for r in df.select("i", V.decision_input(F.col("t"), 100).alias("x")).collect()}
+    assert got == {0: "---\nx: 1\n---\nbody", 1: None, 2: None, 3: None, 4: "plain", 5: "\ufeff---\n---\nb"}
+    yaml = ["categories: [on, 2020-01-01, 1, ~]", "categories: {a: 1}", "a: &x [p, q]\ncategories: *x", "categories: [a\n"]
+    df = spark.createDataFrame(list(enumerate(yaml)), "i long, t string")
+    assert {r.i: r.x for r in df.select("i", V.category_list(F.col("t")).alias("x")).collect()} == {0: ["on", "2020-01-01"], 1: [], 2: ["p", "q"], 3: []}

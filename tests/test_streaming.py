@@ -60,3 +60,55 @@ def test_output_changes_and_late_results(spark, tmp_path):
     q = E.current_results(results, lambda: current, lambda df, i: kept.extend(r.path for r in df.collect())).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert kept == ["/out/a/x.md"]
+
+
+def test_stability_by_time_of_change_and_again(spark, tmp_path):
+    rows = [("a", 1, 5, 1), ("a", 2, 5, 2), ("a", 3, 5, 2), ("a", 4, 5, 2), ("a", 5, 5, 2), ("a", 6, 9, 7), ("a", 7, 9, 7), ("a", 8, 9, 7), ("b", 1, 1, 1), ("b", 2, 1, 2), ("b", 3, 1, 3)]
+    df = spark.createDataFrame(rows, "path string, t long, size long, m long").select("path", F.timestamp_seconds("t").alias("ts"), "size", F.timestamp_seconds("m").alias("modified"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = drain(E.stable_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "stable_again").collect()
+    assert sorted((r.path, r.ts.second, r.size) for r in got) == [("a", 4, 5), ("a", 8, 9)]
+    batch = {r.path: (r.ts and r.ts.second, r.stable) for r in E.stable_files(df).collect()}
+    assert batch == {"a": (4, True), "b": (None, False)}
+
+
+def test_coalesced_stream_holds_across_batches(spark, tmp_path):
+    schema = "path string, ts timestamp, strength int"
+    batches = [[("a", 1, 0), ("b", 1, 2)], [("a", 2, 0), ("a", 3, 2), ("a", 4, 1)], [("a", 5, None), ("b", 5, None)], [("a", 6, None), ("b", 6, 1), ("a", 7, 0)]]
+    got = []
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "path string, t long, strength int").select("path", F.timestamp_seconds("t").alias("ts"), "strength")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = E.coalesced_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got.append(sorted((r.path, r.ts.second, r.strength) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got[0] == [("a", 1, 0), ("b", 1, 2)] == got[1]
+    assert got[2] == sorted([*got[0], ("a", 5, 2)])
+    assert got[3] == sorted([*got[2], ("a", 7, 0), ("b", 6, 1)])
+
+
+def test_chained_stages(spark, tmp_path):
+    schema = "profile_id string, path string, content_hash string, classify boolean"
+    at = lambda x: str(tmp_path / x)
+    run = lambda source, step, name: E.stage(source, step, at(name), at(name + "_at")).trigger(availableNow=True).start().awaitTermination(120)
+    for k in range(2):  # each stage reads what the one before wrote, once
+        rows = [("p", f"a/b/x{k}.md", f"h{k}", True), ("q", f"c/y{k}.md", f"g{k}", False)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at("converted"))
+        run(spark.readStream.schema(schema).parquet(at("converted")), E.to_classify, "queue")
+        run(spark.readStream.schema("profile_id string, path string, read_hash string").parquet(at("queue")), E.to_index, "dirty")
+    assert sorted((r.path, r.read_hash) for r in spark.read.parquet(at("queue")).collect()) == [("a/b/x0.md", "h0"), ("a/b/x1.md", "h1")]
+    assert sorted((r.profile_id, r.folder) for r in spark.read.parquet(at("dirty")).collect()) == sorted([("p", x) for x in ("", "a", "a/b")] * 2)
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    base = str(tmp_path / "state")
+    schema = spark.createDataFrame([], "k long, v string").schema
+    put = E.bucketed_sink(base, lambda old, new: old.join(new, "k", "left_anti").unionByName(new), schema, "k")
+    put(spark.range(200).selectExpr("id as k", "'a' as v"), 0)
+    put(spark.createDataFrame([(7, "b"), (500, "c")], schema), 1)
+    put(spark.createDataFrame([(7, "again")], schema), 1)
+    got = {r.k: r.v for r in E.current(spark, base, schema).collect()}
+    assert got == {**dict.fromkeys(range(200), "a"), 7: "b", 500: "c"}
+    assert len([x for x in E.folders(spark, f"{base}/v=1") if x.startswith("bucket=")]) <= 2
+    assert E.current(spark, str(tmp_path / "none"), schema).count() == 0
