@@ -179,7 +179,14 @@ def html_to_md(s, d):
     return V.converted(view(s, d, "pages"), lambda x: (V.html_to_markdown(x), []), "html", "page_id")
 
 
-@query("doc_chunks")
+# Where a piece from byte `at` of at most `most` bytes ends: at the last byte before which a character begins. x: the text in hexadecimal digits.
+_ENDS = "least({at} + {most}, n, 65536)"
+_CUT = f"case when {_ENDS} >= n then n else {_ENDS} - case when substr(x, 2*{_ENDS} + 1, 1) not in ('8','9','A','B') then 0 when substr(x, 2*{_ENDS} - 1, 1) not in ('8','9','A','B') then 1 when substr(x, 2*{_ENDS} - 3, 1) not in ('8','9','A','B') then 2 else 3 end end"
+
+
+@query("doc_chunks", f"""with recursive h as (select doc_id, hex(encode(text)) as x, octet_length(encode(text)) as n from documents where text <> ''),
+ c as (select doc_id, x, n, 0 as chunk, 0::bigint as b, ({_CUT.format(at="0", most="4096")})::bigint as e from h union all select doc_id, x, n, chunk + 1, e, ({_CUT.format(at="e", most="8192")})::bigint from c where e < least(n, 65536) and {_CUT.format(at="e", most="8192")} > e)
+ select doc_id, chunk, sha256(unhex(substr(x, 2*b + 1, 2*(e - b)))) as piece_sha256, e = max(e) over (partition by doc_id) as last, max(e) over (partition by doc_id) < n as truncated from c""")
 def doc_chunks(s, d):
     """Pieces of every document, with their digests."""
     return V.chunked(view(s, d, "documents")).select("doc_id", "chunk", F.sha2("piece", 256).alias("piece_sha256"), "last", "truncated")

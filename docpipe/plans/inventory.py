@@ -166,7 +166,31 @@ def index_stale(s, d):
     return X.stale_pages(have, docs)
 
 
-@query("index_render")
+_UP = "repeat('../', case when folder='' then 0 else len(string_split(folder, '/')) end::bigint)"
+# The way from a folder to a path: the part of it below the folder, or up to the root and down.
+_LINK = "case when folder='' then {p} when starts_with({p}, folder||'/') then substr({p}, length(folder)+2) else " + _UP + "||{p} end"
+_STEM = "regexp_replace(regexp_extract({p}, '([^/]*)$', 1), '\\.[^.]+$', '')"
+_ITEM = "'- ['||" + _STEM + "||']('||" + _LINK + "||')'||chr(10)"
+_MARK = "regexp_replace({p}, '([\\\\*_\\[\\]<>#`|])', '\\\\\\1', 'g')"
+
+
+@query("index_render", ddb("md_docs", f"""with {FOLDERS}, roll as (select folder, count(*) as n, count(*) filter (len(categories)>0) as done, max(modified_ms) as ms from folders group by 1),
+ entries as (select distinct regexp_extract(folder, '^(.*)/[^/]*$', 1) as folder, folder as entry, 0 as kind from folders where folder<>'' union all select regexp_extract(rel_path, '^(.*)/[^/]*$', 1), rel_path, 1 from md),
+ cats as (select folder, rel_path, category from (select folder, rel_path, unnest(categories) as category from folders) union all select folder, rel_path, null from folders where len(categories)=0),
+ sizes as (select folder, category, count(*) as n from cats group by all),
+ newest as (select folder, rel_path, row_number() over (partition by folder order by modified_ms desc, rel_path) as k from folders),
+ lines as (select folder, 1 as section, -1 as rank, '' as category, 0 as kind, '' as low, '' as entry, chr(10)||'## Browse by folder'||chr(10)||chr(10) as line from roll union all select folder, 2, -1, '', 0, '', '', chr(10)||'## Browse by category'||chr(10)||chr(10) from roll union all select folder, 3, -1, '', 0, '', '', chr(10)||'## Recently updated'||chr(10)||chr(10) from roll
+  union all select folder, 1, 0, '', kind, lower(entry), entry, case kind when 0 then '- [**'||regexp_extract(entry, '([^/]*)$', 1)||'/**]('||{_LINK.format(p="entry")}||'/index.md)'||chr(10) else {_ITEM.format(p="entry")} end from entries
+  union all select folder, 2, case when category is null then 1 else 0 end, coalesce(category, ''), 0, '', '', '### '||{_MARK.format(p="coalesce(category, 'Pending classification')")}||' ('||n||')'||chr(10)||chr(10) from sizes
+  union all select folder, 2, case when category is null then 1 else 0 end, coalesce(category, ''), 2, '', '', chr(10) from sizes
+  union all select folder, 2, case when category is null then 1 else 0 end, coalesce(category, ''), 1, lower(rel_path), rel_path, {_ITEM.format(p="rel_path")} from cats
+  union all select folder, 3, k::int, '', 0, '', '', {_ITEM.format(p="rel_path")} from newest where k<=10),
+ placed as (select folder, line, row_number() over (partition by folder order by section, rank, category, kind, low, entry) - 1 as place from lines),
+ parts as (select folder, (place//1000+1)::int as part, string_agg(line, '' order by place) as body from placed group by all),
+ k as (select *, max(part) over (partition by folder) as parts, case when folder='' then 'Knowledge index' else regexp_extract(folder, '([^/]*)$', 1) end as name, string_split(folder, '/') as ps from parts join roll using (folder))
+ select folder, part, parts, case when part=1 then '# '||{_MARK.format(p="name")}||chr(10)||chr(10)||'> Corpus · '||n||' documents · '||done||' classified · '||(n-done)||' pending'||chr(10)||'> Last document update: '||strftime(epoch_ms(ms), '%Y-%m-%d %H:%M')||chr(10)
+  ||case when folder='' then '' else chr(10)||'> [Knowledge library]('||{_UP}||'index.md) / '||case when len(ps)>1 then '['||ps[1]||'](../index.md) / ' else '' end||ps[-1]||chr(10) end else '# '||{_MARK.format(p="name")}||' · '||part||'/'||parts||chr(10)||chr(10) end
+  ||body||case when part<parts then chr(10)||'['||(part+1)||'/'||parts||'](index-'||(part+1)||'.md)'||chr(10) else '' end as page from k"""))
 def index_render(s, d):
     return X.rendered(classified(s, d), profile="Corpus")
 
