@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docpipe.sources import tables
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,31 +23,28 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="docpipe-")
-        sc.setCheckpointDir(where)
-    return where
+#: Scratch tables of this process that are still there.
+_held: list[str] = []
 
 
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and the table's place. Cuts the lineage; survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/docpipe/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    out, path = tables.written(df, what)
+    _held.append(path)
+    return out, path
 
 
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    tables.removed(spark, path)
+    if path in _held:
+        _held.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this process. Call it when results are written: what still reads them is lost."""
+    for path in [*_held]:
+        removed(spark, path)
 
 
 def text_batches(spark: SparkSession) -> None:

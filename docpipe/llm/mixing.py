@@ -3,9 +3,10 @@
 Sizes are summed per source, a target is set for each source, and each document is taken floor(rate) times plus one
 copy decided by a draw seeded with the document's id, with probability equal to the rate's fraction.
 
-Cases: null text counts 0 words; null source is a source of its own, last; a source without words has target 0 and its
-documents are taken 0 times; repeated rows of one id share their draw; an empty table gives an empty result; other
-columns, whatever their names, pass through `mix` untouched.
+Cases: null text counts 0 words; very long texts count whole, and weigh as much as their words; null source is a source of
+its own, last; a source without words has target 0 and its documents are taken 0 times; sources that reach their cap at the
+same level are capped in order of name; repeated rows of one id share their draw; an empty table gives an empty result; other
+columns, whatever their names, pass through `mix` untouched. Targets are found in one task over a row for each source.
 """
 
 from __future__ import annotations

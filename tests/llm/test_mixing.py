@@ -62,3 +62,9 @@ def test_sql(spark):
     c.execute(f"create view documents as select * from '{d}/documents.parquet'")
     want = {r[0]: r[1:] for r in c.execute(f"select doc_id, size, source_size, target, taken, copies from ({mixing.SQL})").fetchall()}
     assert {r.doc_id: tuple(r)[1:] for r in mixing.query(spark, d).collect()} == want
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 600_000, "a"), (2, "one two", "b")], "doc_id long, text string, source string")
+    got = {r.row.doc_id: (r.size, r.source_size) for r in mixing.copies(docs).collect()}
+    assert got == {1: (600_000, 600_000), 2: (2, 2)}

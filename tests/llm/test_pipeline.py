@@ -45,3 +45,21 @@ def test_clean_documents_stay(spark):
     clean = [r.doc_id for r in docs.collect() if labels.get(r.doc_id) == 1 and len(re.findall(r"\S+", r.text)) >= 10]
     assert len([i for i in clean if i in left]) >= 0.99 * len(clean)
     assert jaccard.THRESHOLD == 0.8 and P.PATTERN
+
+
+def test_an_id_with_different_texts_and_a_very_long_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars between 500 and 3000")
+    rows = docs.orderBy("doc_id").limit(40).collect()
+    schema = docs.schema
+    long = " ".join(f"{w}{k}" if k % 3 else w for k, w in enumerate(" ".join(r.text for r in rows).split() * 40))
+    again = [(rows[0].doc_id, rows[1].text + " so it goes", *rows[0][2:]), (rows[2].doc_id, rows[3].text, *rows[2][2:]), tuple(rows[5]), tuple(rows[5]), (10**6, long, "en", "src0", len(long))]
+    left = spark.createDataFrame([tuple(r) for r in rows] + again, schema)
+    seen = []
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, left, "").collect()
+        assert left.columns == docs.columns
+        seen.append(out)
+        left = spark.createDataFrame(out, schema)
+    assert len(C.STAGES[-1][1](spark, left, "").collect()) == len(seen[-1])
+    kept = {(r.doc_id, r.text) for r in seen[2]}
+    assert len(kept) == len(seen[2]) and len({r.text for r in seen[2]}) == len(seen[2])

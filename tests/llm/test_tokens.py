@@ -58,3 +58,8 @@ def test_decode_is_the_inverse(spark, documents):
     assert len(rows) == documents.count() and all(bytes(r.back).decode() == r.text for r in rows)
 
 
+
+
+def test_very_long_text(spark):
+    words = [f"w{k * k % 9973}é" for k in range(250_000)]
+    check(spark, spark.createDataFrame([(1, " ".join(words) + "\n" + "x" * 300_000), (2, "short")], "doc_id long, text string"))
