@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from docpipe.sources import tables
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch of texts.
-TEXT_ROWS = 2_000
+TEXT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +50,21 @@ def release(spark: SparkSession) -> None:
         removed(spark, path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Lets Arrow carry TEXT_ROWS rows at once at most: texts are long, and tasks and Python workers hold whole batches.
+def give_back() -> None:
+    """Returns memory that a batch no longer needs: Python workers live on from task to task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lets Arrow carry so many rows at once at most: texts are long, and tasks and Python workers hold whole batches.
 
     A setting of the session, read when a plan runs, so it stays set.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:

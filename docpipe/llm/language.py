@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import crc_mod, table, text_batches
+from docpipe.llm.common import crc_mod, give_back, table, text_batches
 
 #: Labelled texts to learn a language from, about (chosen by a hash of the id).
 SAMPLE = 6_000
@@ -191,6 +191,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for x in batches:
             for k in range(0, len(x), RUN):
                 yield scorer.score(x.iloc[k : k + RUN])
+            give_back()
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"))
     return rows.select("row", F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()("t").alias("p")).select("row", "p.*")

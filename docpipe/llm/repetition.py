@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import table, text_batches
+from docpipe.llm.common import give_back, table, text_batches
 
 #: Words of a batch of suffixes; a longer text is a batch of its own.
 BATCH_WORDS = 200_000
@@ -167,6 +167,7 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = 8, max_covered:
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield measures(x, 5, min_words)
+            give_back()
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"))

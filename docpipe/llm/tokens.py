@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import table, text_batches, written
+from docpipe.llm.common import give_back, table, text_batches, written
 
 #: Characters: a longer text is cut; the step from chunk to chunk; what a chunk shares with the next.
 LONG, STEP, OVERLAP = 65_536, 32_768, 512
@@ -146,6 +146,7 @@ class Bpe:
             for x in texts:
                 for k in range(0, len(x), RUN):
                     yield pd.Series([words.encode(t) if t else b"" for t in x.iloc[k : k + RUN]], dtype=object)
+                give_back()
 
         def decoded(ids: bytes) -> bytes:
             return b"".join(map(words_of(pattern, shared).vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -154,6 +155,7 @@ class Bpe:
             for x in ids:
                 for k in range(0, len(x), RUN):
                     yield pd.Series([decoded(b) for b in x.iloc[k : k + RUN]], dtype=object)
+                give_back()
 
         def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for ids in encode(texts):
