@@ -13,6 +13,8 @@ from docpipe.sources import tables
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: Rows of an Arrow batch of texts.
 TEXT_ROWS = 1_000
 
@@ -26,6 +28,11 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def lower_ascii(x: Column) -> Column:
+    """A-Z lower-cased, nothing else. Strings of ASCII alone take the faster way."""
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
+
+
 #: Scratch tables of this process that are still there.
 _held: list[str] = []
 

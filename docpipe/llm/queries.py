@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docpipe.llm import extraction, jaccard, language, maxent, mixing, quality, repetition, sharding, tokens, vectors
+from docpipe.llm import decontamination, extraction, jaccard, language, maxent, mixing, quality, repetition, search, sharding, spelling, tokens, vectors
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash_jaccard": jaccard.query,
     "op9_minimax_sharding": sharding.query,
     "op10_subspace_pigeonhole": vectors.query,
+    "op11_positional_index": decontamination.query,
+    "op12_bloom_neighbourhoods": spelling.query,
+    "op13_accumulator_search": search.query,
 }
 
 SQL = {
@@ -24,4 +27,7 @@ SQL = {
     "op8_minhash_jaccard": jaccard.SQL,
     "op9_minimax_sharding": sharding.SQL,
     "op10_subspace_pigeonhole": vectors.SQL,
+    "op11_positional_index": decontamination.SQL,
+    "op12_bloom_neighbourhoods": spelling.SQL,
+    "op13_accumulator_search": search.SQL,
 }
