@@ -83,17 +83,17 @@ class Lengths:
 
 def filters(words: DataFrame, lengths: Lengths) -> DataFrame:
     """Rows (length, part, bits) of the filters of words (word)."""
-    blocks = lengths.blocks
+    blocks, size = lengths.blocks, PART
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for n, w in x["word"].groupby(x["word"].str.len()):
                 block, mask = places((codes(w.tolist()) * powers(n)).sum(axis=1, dtype=np.uint64), blocks[n])
-                yield pd.DataFrame({"length": np.int32(n), "part": (block // PART).astype(np.int32), "slot": (block % PART).astype(np.int32), "mask": mask.view(np.int64)})
+                yield pd.DataFrame({"length": np.int32(n), "part": (block // size).astype(np.int32), "slot": (block % size).astype(np.int32), "mask": mask.view(np.int64)})
 
     def pack(key, x: pd.DataFrame) -> pd.DataFrame:
         n, part = key
-        held = np.zeros(min(PART, blocks[n] - part * PART), dtype=np.uint64)
+        held = np.zeros(min(size, blocks[n] - part * size), dtype=np.uint64)
         np.bitwise_or.at(held, x["slot"].to_numpy(), x["mask"].to_numpy().view(np.uint64))
         return pd.DataFrame({"length": [n], "part": [part], "bits": [held.tobytes()]})
 
@@ -102,17 +102,17 @@ def filters(words: DataFrame, lengths: Lengths) -> DataFrame:
 
 
 class Filter:
-    """The parts of a round."""
+    """The parts, of `part` blocks, of a round."""
 
-    def __init__(self, parts: dict[tuple[int, int], bytes], blocks: dict[int, int]):
+    def __init__(self, parts: dict[tuple[int, int], bytes], blocks: dict[int, int], part: int = PART):
         self.blocks, self.held, self.first = blocks, {}, {}
         for n in {n for n, _ in parts}:
             own = [p for m, p in parts if m == n]
-            first, last = min(own) * PART, min((max(own) + 1) * PART, blocks[n])
+            first, last = min(own) * part, min((max(own) + 1) * part, blocks[n])
             self.first[n], self.held[n] = first, np.zeros(last - first, dtype=np.uint64)
             for p in own:  # a part without words is not there
                 bits = np.frombuffer(parts[n, p], dtype=np.uint64)
-                self.held[n][p * PART - first : p * PART - first + len(bits)] = bits
+                self.held[n][p * part - first : p * part - first + len(bits)] = bits
 
     def may_hold(self, h: np.ndarray, n: int) -> np.ndarray:
         """For each hash of a string of length n whether a word may have it; False for those of other rounds."""
@@ -125,13 +125,16 @@ class Filter:
         return (held[block.astype(np.int64)] & mask) == mask
 
 
-def probed(words: list[str], n: int, alphabet: np.ndarray, known: Filter) -> Iterator[tuple[int, str]]:
-    """(index, edit) of the edits of words of length n that known may hold: each greater letter in each place, and each letter left out."""
+def probed(words: list[str], n: int, alphabet: np.ndarray, known: Filter, edits: int = EDITS) -> Iterator[tuple[int, str]]:
+    """(index, edit) of the edits of words of length n that known may hold: each greater letter in each place, and each letter left out.
+
+    edits: replacements made at once.
+    """
     c, p = codes(words), powers(n)
     terms = c * p
     h = terms.sum(axis=1, dtype=np.uint64)
     if n in known.held:
-        step = max(1, EDITS // (len(words) * len(alphabet)))
+        step = max(1, edits // (len(words) * len(alphabet)))
         for low in range(0, n, step):
             own = c[:, low : low + step, None]
             new = h[:, None, None] + (alphabet[None, None, :] - own) * p[None, low : low + step, None]
@@ -154,16 +157,16 @@ def candidates(words: DataFrame, letters: list[str], parts: dict[tuple[int, int]
     """Rows (word, n, edit) of words (word, n) for the parts of a round."""
     shared = words.sparkSession.sparkContext.broadcast((parts, blocks))  # ROUND parts at most
     lengths = sorted({n for n, _ in parts} | {n + 1 for n, _ in parts})
-    alphabet = np.array(sorted(map(ord, letters)), dtype=np.uint64)
+    alphabet, part, edits = np.array(sorted(map(ord, letters)), dtype=np.uint64), PART, EDITS
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Filter(*shared.value)
+        known = Filter(*shared.value, part)
         for x in batches:
             for n, own in x.groupby(x["word"].str.len()):
-                run = max(1, EDITS // (n * len(alphabet)))
+                run = max(1, edits // (n * len(alphabet)))
                 for k in range(0, len(own), run):
                     word, count = own["word"].iloc[k : k + run].tolist(), own["n"].iloc[k : k + run].to_numpy()
-                    found = list(probed(word, n, alphabet, known))
+                    found = list(probed(word, n, alphabet, known, edits))
                     at = [w for w, _ in found]
                     yield pd.DataFrame({"word": pd.Series([word[w] for w in at], dtype=object), "n": count[at], "edit": pd.Series([e for _, e in found], dtype=object)})
             give_back()
