@@ -57,7 +57,7 @@ def folder_listing(docs: DataFrame) -> DataFrame:
     return numbered(folder_entries(docs), ["folder"], [F.col("kind"), F.lower("entry"), F.col("entry")])
 
 
-#: Texts of pages by language.
+#: Texts of pages by language, which are compared byte for byte.
 WORDS = {
     "en": {
         "title": "Knowledge index", "home": "Knowledge library", "counts": " · %d documents · %d classified · %d pending\n", "updated": "> Last document update: ",
@@ -77,8 +77,12 @@ def rendered(docs: DataFrame, title: str | None = None, profile: str = "", max_e
 
     The first begins with title, counts and breadcrumbs; the others, index-2.md and so on, with the title and their number.
     """
+    return pages(folder_rollup(docs), folder_entries(docs), category_view(docs, rules), in_folders(docs), recent_documents(docs), title, profile, max_entries, rules, language)
+
+
+def pages(roll: DataFrame, entries: DataFrame, sizes: DataFrame, each: DataFrame, recent: DataFrame, title: str | None = None, profile: str = "", max_entries: int = 1000, rules: list[str] | None = None, language: str = "en") -> DataFrame:
+    """The same, of roll-ups, entries, (folder, category, documents), documents by folder and recent documents of some folders."""
     t = WORDS[language]
-    roll = folder_rollup(docs)
     name = F.when(F.col("folder") == "", title or t["title"]).otherwise(P.file_name(F.col("folder")))
     head = F.concat(
         F.lit("# "), P.escape_markdown(name), F.lit("\n\n> "), P.escape_markdown(F.lit(profile)), F.format_string(t["counts"], "documents", "classified", "pending"),
@@ -101,7 +105,7 @@ def rendered(docs: DataFrame, title: str | None = None, profile: str = "", max_e
         out = top if out is None else out.unionByName(top)
     label = P.escape_link_text(P.file_name(F.col("entry")))
     down = F.concat(F.lit("- [**"), label, F.lit("/**]("), P.link_encode(F.concat(P.relative_link(F.col("folder"), F.col("entry")), F.lit("/" + P.INDEX_NAME))), F.lit(")\n"))
-    out = out.unionByName(lines(folder_entries(docs), 1, zero, none, (F.col("kind") == "file"), F.lower("entry"), F.col("entry"), F.when(F.col("kind") == "directory", down).otherwise(link("entry"))))
+    out = out.unionByName(lines(entries, 1, zero, none, (F.col("kind") == "file"), F.lower("entry"), F.col("entry"), F.when(F.col("kind") == "directory", down).otherwise(link("entry"))))
 
     known = rules or []
     rank = F.when(F.col("category").isNull(), len(known) + 1)
@@ -109,12 +113,11 @@ def rendered(docs: DataFrame, title: str | None = None, profile: str = "", max_e
         rank = rank.when(F.col("category") == c, i)
     rank, category = rank.otherwise(len(known)), F.coalesce("category", none)
     shown = F.when(F.col("category").isNull(), t["pending"]).when(F.col("category") == FALLBACK, t["fallback"]).otherwise(F.col("category"))
-    sizes = category_view(docs, rules)
     out = out.unionByName(lines(sizes, 2, rank, category, zero, none, none, F.concat(F.lit("### "), P.escape_markdown(shown), F.format_string(t["count"], "documents"), F.lit("\n\n"))))
     out = out.unionByName(lines(sizes, 2, rank, category, F.lit(2), none, none, F.lit("\n")))
-    each = in_folders(docs).withColumn("category", F.explode_outer(F.array_distinct("categories")))
-    out = out.unionByName(lines(each, 2, rank, category, F.lit(1), F.lower("rel_path"), F.col("rel_path"), link("rel_path")))
-    out = out.unionByName(lines(recent_documents(docs), 3, F.col("rank"), none, zero, none, none, link("rel_path")))
+    named = each.withColumn("category", F.explode_outer(F.array_distinct("categories")))
+    out = out.unionByName(lines(named, 2, rank, category, F.lit(1), F.lower("rel_path"), F.col("rel_path"), link("rel_path")))
+    out = out.unionByName(lines(recent, 3, F.col("rank"), none, zero, none, none, link("rel_path")))
 
     placed = numbered(out, ["folder"], [F.col(x) for x in ("section", "rank", "category", "kind", "low", "entry")])
     parts = placed.groupBy("folder", (F.floor((F.col("place") - 1) / max_entries) + 1).cast("int").alias("part")).agg(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docpipe.functions import paths as P
 from docpipe.operators import index as X
 from docpipe.operators import inventory as I
+from docpipe.operators.increment import FolderIndex
 from docpipe.operators.order import numbered
 from docpipe.plans.derived import ddb, view
+from docpipe.sources.tables import scratch
 
 ENABLED = ("md", "html", "PDF", "docx", "csv", "png")
 c = F.col
@@ -166,6 +170,28 @@ def index_stale(s, d):
     return X.stale_pages(have, docs)
 
 
+_KINDS = "case when quality is null then []::varchar[] when quality=1 and toxic=1 then ['good','toxic'] when quality=1 then ['good'] when toxic=1 then ['toxic'] else ['other'] end"
+
+
+@query("index_increment", ddb("md_docs", f"""with now as (select rel_path, case when here then modified_ms when doc_id%13=0 then modified_ms-1000000000 else modified_ms end as modified_ms, case when not here and doc_id%5=0 then []::varchar[] else {_KINDS} end as categories
+  from (select *, split_part(rel_path, '/', 1) in ('de', 'fr') as here from md_docs) where case when here then doc_id%11<>0 else doc_id%7<>3 end),
+ folders as (select *, unnest(list_transform(range(0, len(string_split(rel_path, '/'))), lambda n: array_to_string(string_split(rel_path, '/')[1:n], '/'))) as folder from now),
+ newest as (select *, row_number() over (partition by folder order by modified_ms desc nulls last, rel_path) as k from folders)
+ select folder, count(*) as documents, count(*) filter (len(categories)>0) as classified, count(*) filter (len(categories)=0) as pending, max(modified_ms) as last_modified_ms, string_agg(rel_path, '|' order by k) filter (k<=10) as newest from newest group by folder"""))
+def index_increment(s, d):
+    """An index of what was, put up to date by what came, changed and went in two languages; its folders after that."""
+    docs, here = classified(s, d), F.split("rel_path", "/")[0].isin("de", "fr")
+    none = F.array().cast("array<string>")
+    was = docs.where(c("doc_id") % 7 != 3).select("rel_path", F.when(c("doc_id") % 5 == 0, none).otherwise(c("categories")).alias("categories"), (c("modified_ms") - F.when(c("doc_id") % 13 == 0, 1000000000).otherwise(0)).alias("modified_ms"), F.lit(False).alias("gone"), F.lit(0).cast("long").alias("seq"))
+    moved = (c("doc_id") % 7 == 3) | (c("doc_id") % 5 == 0) | (c("doc_id") % 11 == 0) | (c("doc_id") % 13 == 0)
+    changes = docs.where(here & moved).select("rel_path", "categories", "modified_ms", (c("doc_id") % 11 == 0).alias("gone"), c("doc_id").alias("seq"))
+    index = FolderIndex(s, f"{scratch(s)}/docpipe/index-{uuid.uuid4().hex}")
+    index.apply(was, 0)
+    index.apply(changes, 1)
+    newest = index.recent().groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rel_path"))), lambda x: x["rel_path"]), "|").alias("newest"))
+    return index.rollup().where("documents > 0").join(newest, "folder", "left")
+
+
 _UP = "repeat('../', case when folder='' then 0 else len(string_split(folder, '/')) end::bigint)"
 # The way from a folder to a path: the part of it below the folder, or up to the root and down.
 _LINK = "case when folder='' then {p} when starts_with({p}, folder||'/') then substr({p}, length(folder)+2) else " + _UP + "||{p} end"
