@@ -12,36 +12,33 @@ from pyspark.sql.types import StructType
 from docpipe.functions import paths as P
 from docpipe.functions import text as T
 from docpipe.operators import convert as V
+from docpipe.sources.listing import listed
 from docpipe.sources.tables import folders, removed, written
 
 
 def scan_files(spark: SparkSession, root: str, enabled: Sequence[str] | None = None) -> DataFrame:
     """Files below a root (path, rel_path, size, modified_ms, ext), of supported, and if given enabled, formats.
 
-    Only metadata is read. Names that begin with a dot or an underscore are not listed by Spark; empty folders are not seen.
+    Folders are listed in parallel, whatever their names begin with; links are not followed. See `sources.listing` for
+    empty folders and for folders that cannot be read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/")
-    rel = F.regexp_replace("path", f"^[a-z]+:/*(?=/)|^\\Q{base}\\E/+", "")
-    rel = F.regexp_replace(rel, f"^\\Q{base}\\E/+", "")
-    out = files.select("path", rel.alias("rel_path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"))
-    keep = P.is_supported(F.col("rel_path")) if enabled is None else P.is_enabled(F.col("rel_path"), enabled)
-    return out.where(keep).withColumn("ext", P.extension(F.col("rel_path")))
+    return scan_profiles(spark, [("", root)], enabled)[0].drop("profile_id")
 
 
 def scan_profiles(spark: SparkSession, profiles: Sequence[tuple[str, str]], enabled: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, roots): files of all profiles (id, root), and rows (profile_id, available, error); a failing root stops no other."""
-    files, roots = None, []
-    for profile, root in profiles:
-        try:
-            found = scan_files(spark, root, enabled).withColumn("profile_id", F.lit(profile))
-            files = found if files is None else files.unionByName(found)
-            roots.append((profile, True, None))
-        except Exception as e:  # this root only
-            roots.append((profile, False, str(e)[:500]))
-    if files is None:
-        files = spark.createDataFrame([], "path string, rel_path string, size long, modified_ms long, ext string, profile_id string")
-    return files, spark.createDataFrame(roots, "profile_id string, available boolean, error string")
+    """(files, roots): files of all profiles (id, root), and rows (profile_id, available, error); a failing root stops no other.
+
+    A root that cannot be read, or has a folder that cannot, is not available, with the first error. Both are lazy, so a file
+    that goes before its folder is listed is not seen, and fails nothing.
+    """
+    supported = [*P.LOCAL_EXTENSIONS, *P.OCR_EXTENSIONS]
+    wanted = supported if enabled is None else [x for x in supported if x in {e.lower() for e in enabled}]
+    every = listed(spark, profiles)
+    files = every.where(F.col("ext").isin(*wanted) & (F.col("kind") == "file")) if wanted else every.where("false")
+    failed = listed(spark, profiles).where("kind = 'error'").groupBy("profile_id").agg(F.min_by("error", "rel_path").alias("error"))
+    known = spark.createDataFrame([(p,) for p, _ in profiles], "profile_id string")
+    roots = known.join(failed, "profile_id", "left").select("profile_id", F.col("error").isNull().alias("available"), "error")
+    return files.select("path", "rel_path", "size", "modified_ms", "ext", "profile_id"), roots
 
 
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
