@@ -94,15 +94,28 @@ def coalesced(requests: DataFrame) -> DataFrame:
     return requests.groupBy("path").agg(F.max("strength").alias("strength"), F.count("*").alias("requests"))
 
 
-def coalesced_stream(events: DataFrame) -> DataFrame:
+#: Time after which work that never said it was done counts as lost.
+LOST_MS = 3600 * 1000
+
+
+def coalesced_stream(events: DataFrame, lost_ms: int = LOST_MS) -> DataFrame:
     """Stream: rows (path, strength, ts) of the requests that start, from events (path, ts, strength); a null strength says that the path's work is done.
 
     A request for a path without work starts at once; while it works, the strongest of the others waits, and starts
-    when the work is done. What works and what waits is each path's state, so it holds across batches.
+    when the work is done. What works and what waits is each path's state, so it holds across batches. Work of which
+    nothing is heard for lost_ms counts as done.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         busy, waiting = state.get if state.exists else (False, None)
+        if state.hasTimedOut:
+            if waiting is None:
+                state.remove()
+                return
+            state.update((True, None))
+            state.setTimeoutDuration(lost_ms)
+            yield pd.DataFrame({"path": [key[0]], "strength": [waiting], "ts": [pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms")]})
+            return
         started = []
         for x in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples(index=False):
             strength = None if pd.isna(x.strength) else int(x.strength)
@@ -117,11 +130,12 @@ def coalesced_stream(events: DataFrame) -> DataFrame:
                 started.append((key[0], strength, x.ts))
         if busy:
             state.update((busy, waiting))
+            state.setTimeoutDuration(lost_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(started, columns=["path", "strength", "ts"])
 
-    return events.groupBy("path").applyInPandasWithState(run, "path string, strength int, ts timestamp", "busy boolean, waiting int", "append", "NoTimeout")
+    return events.groupBy("path").applyInPandasWithState(run, "path string, strength int, ts timestamp", "busy boolean, waiting int", "append", "ProcessingTimeTimeout")
 
 
 def stage(source: DataFrame, step: Callable[[DataFrame], DataFrame], table: str, checkpoint: str):
