@@ -91,9 +91,17 @@ def excluded_from_changes(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key in which runs of digits compare by value; letters by lower-cased code points."""
+    """A sort key in which runs of digits, of any length, compare by value; letters by lower-cased code points.
+
+    A run becomes the number of its digits without leading zeros, in ten places, and these digits.
+    """
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+    def key(x: Column) -> Column:
+        plain = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain).cast("string"), 10, "0"), plain)).otherwise(x)
+
+    return F.array_join(F.transform(runs, key), "")
 
 
 def output_path(path: Column, collides: Column) -> Column:

@@ -78,6 +78,24 @@ def compare_and_set(results: DataFrame, current: DataFrame) -> DataFrame:
     return met.withColumn("outcome", F.when(F.col("now_hash").isNull(), "gone").when(F.col("now_hash") == F.col("read_hash"), "applied").otherwise("conflict"))
 
 
+def late_results(results: DataFrame, documents: DataFrame, profiles: DataFrame) -> DataFrame:
+    """results (path, profile_id, read_hash, read_rules, read_epoch, ...) with `outcome`: applied, or why a result comes too late.
+
+    A result holds for one version of its document, of its profile's rules and of the profile itself, which it names:
+    cancelled, where the profile is gone, off or was set up anew since (another epoch); gone, where the document is;
+    conflict, where its content changed; outdated, where the rules did. The first that is true is named. documents (path,
+    content_hash); profiles (profile_id, enabled, rules_hash, epoch), each a row a key.
+    """
+    held = profiles.select("profile_id", "enabled", F.col("rules_hash").alias("now_rules"), F.col("epoch").alias("now_epoch"))
+    met = results.join(documents.select("path", F.col("content_hash").alias("now_hash")), "path", "left").join(held, "profile_id", "left")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    outcome = (
+        F.when(~(F.coalesce("enabled", F.lit(False)) & same("read_epoch", "now_epoch")), "cancelled").when(F.col("now_hash").isNull(), "gone")
+        .when(~same("read_hash", "now_hash"), "conflict").when(~same("read_rules", "now_rules"), "outdated").otherwise("applied")
+    )
+    return met.withColumn("outcome", outcome).select(*results.columns, "outcome")
+
+
 def apply_rules(files: DataFrame, jobs: DataFrame, enabled: bool, existing: bool) -> DataFrame:
     """Rows (path, action) of files (path) and jobs (path, status) when rules change.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docpipe.functions import text as T
+from docpipe.sources.tables import written
 
 #: Pages of a part, bytes of a file that needs no cutting.
 PART_PAGES, DIRECT_BYTES = 200, 200 * 1000 * 1000
@@ -41,13 +42,37 @@ def progress(done: Column, total: Column) -> Column:
 def merged(parts: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """Rows (doc_id, n_parts, markdown) of parts (doc_id, part_index, text), in order, each without its front matter after its page comment.
 
-    A document whose parts are together larger than max_bytes has null text; its size is summed before its parts meet.
+    A document whose parts are together larger than max_bytes has null text here, and `too_large` says so; its text comes
+    from `merged_pieces`. Sizes are summed before parts meet.
     """
     body = F.concat(F.lit("<!-- part "), F.col("part_index").cast("string"), F.lit(" -->\n\n"), T.without_frontmatter(F.coalesce("text", F.lit(""))))
     sizes = parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.octet_length("text")).alias("bytes"))
-    small = parts.join(sizes.where(F.col("bytes") <= max_bytes).select("doc_id"), "doc_id", "left_semi")
+    small = parts.join(sizes.where(F.coalesce("bytes", F.lit(0)) <= max_bytes).select("doc_id"), "doc_id", "left_semi")
     text = small.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_index", body.alias("body")))), lambda x: x["body"]), "\n\n").alias("markdown"))
-    return sizes.join(text, "doc_id", "left").select("doc_id", "n_parts", "markdown")
+    return sizes.join(text, "doc_id", "left").select("doc_id", "n_parts", "markdown", (F.coalesce("bytes", F.lit(0)) > max_bytes).alias("too_large"))
+
+
+def merged_pieces(parts: DataFrame, max_chars: int = 16 << 20) -> DataFrame:
+    """Rows (doc_id, piece, pieces, text) of parts (doc_id, part_index, text): the merged document, cut into pieces of up to max_chars characters.
+
+    The pieces of a document, in order, are what `merged` gives it, of any size. Where each part begins is a prefix sum of
+    lengths alone; each part is then cut where pieces end, so no row or group is larger than a part or a piece.
+    """
+    body = F.concat(F.when(F.col("nth") > 1, "\n\n").otherwise(""), F.lit("<!-- part "), F.col("part_index").cast("string"), F.lit(" -->\n\n"), T.without_frontmatter(F.coalesce("text", F.lit(""))))
+    upto = Window.partitionBy("doc_id").orderBy("part_index", "uid")
+    rows, _ = written(parts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "part_index", "text"), "parts")
+    order = rows.select("uid", F.row_number().over(upto).alias("nth"))
+    held, _ = written(rows.join(order, "uid").select("uid", "doc_id", "part_index", body.alias("body")), "bodies")
+    sizes = held.select("uid", "doc_id", "part_index", F.length("body").cast("long").alias("n"))
+    places = sizes.select("uid", (F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("at"), F.ceil(F.sum("n").over(Window.partitionBy("doc_id")) / max_chars).alias("pieces"))
+    met = held.join(places, "uid")
+    first, last = F.expr(f"at div {max_chars}"), F.expr(f"(at + length(body) - 1) div {max_chars}")
+    cut = met.select("doc_id", "at", "body", "pieces", F.explode(F.sequence(first, last)).alias("piece"))
+    low = F.greatest(F.col("piece") * max_chars - F.col("at"), F.lit(0))
+    text = F.substring("body", (low + 1).cast("int"), (F.least((F.col("piece") + 1) * max_chars - F.col("at"), F.length("body")) - low).cast("int"))
+    out = cut.select("doc_id", "piece", "pieces", "at", text.alias("text")).groupBy("doc_id", "piece", "pieces")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    return out.agg(joined.alias("text")).select("doc_id", (F.col("piece") + 1).cast("int").alias("piece"), F.col("pieces").cast("int").alias("pieces"), "text")
 
 
 def ocr_verdict(chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docpipe.functions import paths as P
@@ -10,10 +12,12 @@ from docpipe.operators import classify as K
 from docpipe.operators import convert as V
 from docpipe.operators import inventory as I
 from docpipe.operators import parts as R
+from docpipe.operators import search_index as search
 from docpipe.operators import state as S
 from docpipe.operators.order import numbered
 from docpipe.plans import rules
 from docpipe.plans.derived import ddb, view
+from docpipe.sources.tables import scratch
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -116,3 +120,15 @@ def import_result(s, d):
 def missing_images(s, d):
     refs = view(s, d, "lineitem").select(c("l_orderkey").alias("doc_id"), (c("l_quantity") >= 10).alias("found"))
     return V.missing_image_warnings(refs)
+
+
+_NEEDLES = ("DOC-1", "doc-12", " .pdf ", "en/", "x", "s", "-1", "rc1/doc", "nothing like it", "c", "1", "")
+
+
+@query("search_index", ddb("src", f"with n as (select distinct lower(trim(x)) as needle from unnest([{', '.join(repr(x) for x in _NEEDLES)}]) as t(x)) select needle, doc_id from src, n where contains(lower(rel_path), needle)"))
+def search_index(s, d):
+    """All files whose path contains each of some texts, short ones and the empty one too, by an index of trigrams."""
+    texts = view(s, d, "src").select(c("doc_id").alias("id"), c("rel_path").alias("text"))
+    path = f"{scratch(s)}/docpipe/search-{uuid.uuid4().hex}"
+    search.build(texts, path)
+    return search.found(s, path, texts, _NEEDLES).select("needle", c("id").alias("doc_id"))

@@ -90,6 +90,19 @@ def stale_results(s, d):
     return K.compare_and_set(results, x.where("doc_id % 10 <> 0").select(c("rel_path").alias("path"), "content_hash")).select("doc_id", "outcome")
 
 
+@query("late_results", ddb("src", """select doc_id, case when doc_id%5=2 or doc_id%5=3 and doc_id%4=0 or doc_id%5=4 and doc_id%6=0 then 'cancelled' when doc_id%10=0 then 'gone' when doc_id%7=0 then 'conflict' when doc_id%9=0 then 'outdated' else 'applied' end as outcome from src"""))
+def late_results(s, d):
+    """Results of five profiles, one of them off, one gone for some results' ids, one set up anew; of older contents and of older rules."""
+    x = view(s, d, "src").withColumn("profile_id", F.when((c("doc_id") % 5 == 4) & (c("doc_id") % 6 == 0), "removed").otherwise(F.concat(F.lit("p"), (c("doc_id") % 5).cast("string"))))
+    results = x.select(
+        "doc_id", F.concat_ws("#", "rel_path", "doc_id").alias("path"), "profile_id", F.when(c("doc_id") % 7 == 0, "old").otherwise(c("content_hash")).alias("read_hash"),
+        F.when(c("doc_id") % 9 == 0, "rules-1").otherwise("rules-2").alias("read_rules"), F.when((c("doc_id") % 5 == 3) & (c("doc_id") % 4 == 0), 1).otherwise(2).alias("read_epoch"),
+    )
+    profiles = x.where("profile_id <> 'removed'").select("profile_id").distinct().select("profile_id", (c("profile_id") != "p2").alias("enabled"), F.lit("rules-2").alias("rules_hash"), F.lit(2).alias("epoch"))
+    documents = x.where("doc_id % 10 <> 0").select(F.concat_ws("#", "rel_path", "doc_id").alias("path"), "content_hash")
+    return K.late_results(results, documents, profiles).select("doc_id", "outcome")
+
+
 @query("result_categories", "select event_id, case event_id%5 when 0 then '' when 1 then 'a'||user_id when 2 then '' when 3 then 'b,'||event_type else '' end as categories from events")
 def result_categories(s, d):
     """Stored results read leniently: what is no array counts as empty, and only texts are kept."""

@@ -122,7 +122,14 @@ def pdf_parts(s, d):
 
 @query("multipart_merge", ddb("messages", "select doc_id, count(*) as n_parts, string_agg('<!-- part '||part_index||' -->'||chr(10)||chr(10)||coalesce(text, ''), chr(10)||chr(10) order by part_index) as markdown from messages group by 1"))
 def multipart_merge(s, d):
-    return R.merged(view(s, d, "messages"))
+    return R.merged(view(s, d, "messages")).drop("too_large")
+
+
+@query("merged_pieces", ddb("messages", """with m as (select doc_id, string_agg('<!-- part '||part_index||' -->'||chr(10)||chr(10)||coalesce(text, ''), chr(10)||chr(10) order by part_index) as body from messages group by 1)
+ select doc_id, k::int as piece, ((length(body)+199)//200)::int as pieces, substr(body, (k-1)*200+1, 200) as text from m, unnest(range(1, (length(body)+199)//200+1)) as t(k)"""))
+def merged_pieces(s, d):
+    """Merged documents in pieces of 200 characters."""
+    return R.merged_pieces(view(s, d, "messages"), 200)
 
 
 @query("ocr_verdict", ddb("parts", "with o as (select parent_task_id as doc_id, (part_index-1)*200 as o, pages%5=0 as need, pages, case when pages=49 then 'bad part '||part_index end as error from parts) select doc_id, bool_or(need) as needs_ocr, coalesce(array_to_string(list_sort(flatten(list(case when need then [o+1, o+pages] else [] end))), ','), '') as ocr_pages, coalesce(max(error), '') as error from o group by 1"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
 from docpipe.functions import paths as P
-from docpipe.operators.classify import compare_and_set
+from docpipe.operators.classify import compare_and_set, late_results
 from docpipe.operators.inventory import nearest_root
 from docpipe.sources.tables import folders
 
@@ -223,3 +223,20 @@ def current_results(results: DataFrame, current: Callable[[], DataFrame], sink:
         sink(compare_and_set(batch, current()).where("outcome = 'applied'").drop("outcome", "now_hash"), batch_id)
 
     return results.writeStream.foreachBatch(put)
+
+
+def settled_results(results: DataFrame, documents: Callable[[DataFrame], DataFrame], profiles: Callable[[], DataFrame], applied: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None] | None = None):
+    """A writer of a stream of results that applies those of current versions of their document, rules and profile; see `classify.late_results`.
+
+    documents(batch) gives the current documents of a batch's paths, such as the parts of a versioned table that they are
+    in; profiles() the current profiles. Both are asked for in each batch, so a profile cancelled between two batches, or
+    its rules changed, is known. late gets the others with their outcome.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        judged = late_results(batch, documents(batch), profiles())
+        applied(judged.where("outcome = 'applied'").drop("outcome"), batch_id)
+        if late is not None:
+            late(judged.where("outcome <> 'applied'"), batch_id)
+
+    return results.writeStream.foreachBatch(put)
