@@ -10,8 +10,8 @@ pair of parts gives each vector the number of its links there and a root of the
 vectors travel in single precision; the few pairs whose cosine that leaves open are verified in double precision.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of unlike
-lengths do not link; equal vectors, and repeated rows, are one class, linked with each other; rows whose id is null are
-linked within their class only; an id that occurs with different vectors is a row each time, as ids only label classes and
+lengths do not link; equal vectors, and repeated rows, are one class, linked with each other; rows whose id is null
+link as others do, and a group without any id has a null component; an id that occurs with different vectors is a row each time, as ids only label classes and
 their groups, the smallest of them; a cosine of exactly c links; very long vectors are rotated at random instead; an empty
 table gives an empty result; other columns are not read.
 """
@@ -194,9 +194,9 @@ def first_block(space: Space, block: int, x: np.ndarray, y: np.ndarray) -> np.nd
     return out
 
 
-def moments_of(named: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+def moments_of(every: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """Number, sum and sum of outer products of all unit vectors, by length; of AXES_KINDS lengths at most."""
-    lengths = [x["dim"] for x in named.where(F.col("dim") <= AXES_DIM).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(AXES_KINDS).collect()]
+    lengths = [x["dim"] for x in every.where(F.col("dim") <= AXES_DIM).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(AXES_KINDS).collect()]
     schema = "dim int, part int, n long, total binary, outer binary"
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +214,7 @@ def moments_of(named: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]
         total, outer = (sum(np.frombuffer(b) for b in x[c]).tobytes() for c in ("total", "outer"))
         return pd.DataFrame({"dim": x["dim"][:1], "part": x["part"][:1], "n": [x["n"].sum()], "total": [total], "outer": [outer]})
 
-    rows = named.where(F.col("dim").isin(lengths)).mapInPandas(add_up, schema).groupBy("dim", "part").applyInPandas(add, schema)
+    rows = every.where(F.col("dim").isin(lengths)).mapInPandas(add_up, schema).groupBy("dim", "part").applyInPandas(add, schema)
     out = {}
     for x in rows.collect():  # SUMS rows a length at most
         n, total, outer = out.get(x["dim"], (0, 0.0, 0.0))
@@ -237,10 +237,10 @@ class Join:
         by_key = signed.where("key is not null").groupBy("key")
         # A class is its key; cid is a number for it, label the smallest id.
         classes = by_key.agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
-        classes = classes.select("key", F.monotonically_increasing_id().alias("cid"), F.coalesce("low", F.xxhash64("key")).alias("label"), F.col("low").isNotNull().alias("named"), "copies", "vec", "dim")
+        classes = classes.select("key", F.monotonically_increasing_id().alias("cid"), F.col("low").alias("label"), "copies", "vec", "dim")
         self.classes, _ = written(classes, "classes")
-        named = self.classes.where("named").select("cid", "copies", "vec", "dim")
-        moments, spaces = rows.sparkSession.sparkContext.broadcast(moments_of(named)), {}
+        every = self.classes.select("cid", "copies", "vec", "dim")
+        moments, spaces = rows.sparkSession.sparkContext.broadcast(moments_of(every)), {}
 
         def space(dim: int) -> Space:
             if dim not in spaces:
@@ -260,7 +260,7 @@ class Join:
                 u, n = np.unique(c, return_counts=True)
                 yield pd.DataFrame({"dim": dim, "block": block, "cell": u, "home": n * home, "guests": n * (not home)})
 
-        sizes = named.mapInPandas(count, f"{CELL}, home long, guests long").groupBy("dim", "block", "cell").agg(F.sum("home").alias("home"), F.sum("guests").alias("guests"))
+        sizes = every.mapInPandas(count, f"{CELL}, home long, guests long").groupBy("dim", "block", "cell").agg(F.sum("home").alias("home"), F.sum("guests").alias("guests"))
         # Unit vectors have as many cells as the ranges fit in two: a number that does not grow with the rows.
         parts = {(x["dim"], x["block"], x["cell"]): (-(-x["home"] // PART), -(-x["guests"] // PART)) for x in sizes.collect()}
         shared = rows.sparkSession.sparkContext.broadcast(parts)
@@ -304,12 +304,12 @@ class Join:
             if rest:
                 yield from whole(pd.concat(rest))
 
-        dealt = named.mapInPandas(deal, f"{CELL}, kind int, i int, j int, side int, cid long, copies long, vec binary")
+        dealt = every.mapInPandas(deal, f"{CELL}, kind int, i int, j int, side int, cid long, copies long, vec binary")
         # A group is one run of rows: two parts, of about PART vectors each.
         found = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(range_join, "cid long, links long, root long, other long")
         found, _ = written(found, "found")
-        left = named.select(F.col("cid").alias("a"), F.col("vec").alias("va"), "dim")
-        right = named.select(F.col("cid").alias("b"), F.col("vec").alias("vb"))
+        left = every.select(F.col("cid").alias("a"), F.col("vec").alias("va"), "dim")
+        right = every.select(F.col("cid").alias("b"), F.col("vec").alias("vb"))
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
@@ -333,7 +333,7 @@ class Join:
         return out.select(
             "vec_id",
             (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-            F.coalesce("component", "label", "vec_id").alias("component_id"),
+            F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.coalesce("component", "label")).alias("component_id"),
             F.when(F.col("vec_id").isNotNull(), F.col("key").isNull() | ((F.col("vec_id") == F.col("label")) & (F.coalesce("head", "key") == F.col("key")))).alias("kept"),
         )
 
@@ -346,13 +346,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     return Join(table(spark, sf_dir, "embeddings")).linked()
 
 
-#: Exact, by all pairs.
+#: Exact, by all pairs of rows.
 SQL = """
-with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
-u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
-near as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and a.n > 0 and b.n > 0 and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
-links as (select a as vec_id, count(*) as n_links from near group by 1),
-reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, near.b from reach join near on reach.b = near.a),
-comp as (select a as vec_id, min(b) as component_id from reach group by 1)
-select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from comp left join links using (vec_id)
+with recursive r as (select row_number() over () as rid, vec_id, embedding from embeddings),
+v as (select rid, list_transform(embedding, lambda x: x::double) as e from r where embedding is not null),
+u as (select rid, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
+near as (select a.rid as a, b.rid as b from u a join u b on a.rid <> b.rid and a.n > 0 and b.n > 0 and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+links as (select a as rid, count(*) as n_links from near group by 1),
+reach as (select rid as a, rid as b from r union select reach.a, near.b from reach join near on reach.b = near.a),
+comp as (select a as rid, min(r.vec_id) as component_id from reach join r on reach.b = r.rid group by 1)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from r join comp using (rid) left join links using (rid)
 """

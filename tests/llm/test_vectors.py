@@ -81,3 +81,15 @@ def test_long_vectors(spark):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, x + 0.1 * r.normal(size=x.shape)]))]
     got = V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).rows().collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+def test_rows_without_an_id_link(spark):
+    two = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.01, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.n_links, r.component_id) for r in V.Join(two).rows().collect()) == [(1, 1)] * 2
+    vecs = points(120, 8, 2)
+    rows = [(None if k % 3 == 1 else k, v) for k, v in enumerate(vecs)] + [(None, [9.0] * 5), (None, [9.0] * 5), (None, None)]
+    got = V.Join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).linked().collect()
+    named = {10**9 + k: None for k in range(len(rows))}
+    want = [(named.get(i, i), n, named.get(c, c)) for i, n, c in brute([(10**9 + k if i is None else i, v) for k, (i, v) in enumerate(rows)])]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.kept is None for r in got if r.vec_id is None)
