@@ -15,8 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of an Arrow batch of texts.
-TEXT_ROWS = 1_000
+#: Rows and bytes of an Arrow batch of texts.
+TEXT_ROWS, TEXT_BYTES = 1_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +67,12 @@ def give_back() -> None:
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Lets Arrow carry so many rows at once at most: texts are long, and tasks and Python workers hold whole batches.
 
-    A setting of the session, read when a plan runs, so it stays set.
+    Settings of the session, read when a plan runs, so they stay set.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -109,11 +110,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def labelled_components(edges: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
     """Connected components of edges (a, b) of classes (cid, key, label): rows (cid, component, head).
 
-    component is the smallest label in it, head the key of the class that has it, the smallest where labels are equal.
-    Up to limit components are broadcast.
+    component is the smallest label in it, null if none has one; head the key of the class that has it, the smallest where
+    labels are equal. Up to limit components are broadcast.
     """
     roots, _ = written(components(edges).withColumnRenamed("id", "cid"), "roots")
-    low = roots.join(classes.select("cid", "key", "label"), "cid").groupBy(F.col("component").alias("root")).agg(F.min(F.struct("label", "key")).alias("low"))
+    least = F.struct(F.col("label").isNull().alias("none"), "label", "key")
+    low = roots.join(classes.select("cid", "key", "label"), "cid").groupBy(F.col("component").alias("root")).agg(F.min(least).alias("low"))
     low, _ = written(low, "low")
     met = roots.join(bounded_broadcast(low, low.count(), limit), F.col("component") == F.col("root"))
     return met.select("cid", F.col("low.label").alias("component"), F.col("low.key").alias("head"))

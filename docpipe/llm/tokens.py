@@ -29,9 +29,9 @@ LONG, STEP, OVERLAP = 65_536, 32_768, 512
 #: Unicode's white space, which regular expression libraries do not agree on.
 SPACE = "\t-\r \x85\xa0{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Entries of each half of a worker's memory of encoded words. Bytes of a pre-token that is merged without a heap.
-MEMORY, SHORT = 250_000, 48
-#: Texts or id lists whose results are held at once.
-RUN = 500
+MEMORY, SHORT = 200_000, 48
+#: Texts or id lists whose results are held at once, after which memory is given back; chunks of long texts.
+RUN, CHUNKS = 250, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -123,6 +123,21 @@ class Words(dict):
         return out
 
 
+def chunker(step: int, overlap: int, run: int):
+    """A function from batches of texts (uid, t) to their overlapping chunks (uid, at, last, piece), some at a time: a text is gone through once."""
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for uid, t in zip(x["uid"], x["t"], strict=True):
+                starts = range(0, len(t), step)
+                for k in range(0, len(starts), run):
+                    own = starts[k : k + run]
+                    yield pd.DataFrame({"uid": uid, "at": own, "last": [at + step >= len(t) for at in own], "piece": pd.Series([t[at : at + step + overlap] for at in own], dtype=object)})
+            give_back()
+
+    return chunked
+
+
 def words_of(pattern: str, shared) -> Words:
     """One memory for each worker and vocabulary. shared: the broadcast ranks."""
     ranks = shared.value
@@ -146,7 +161,7 @@ class Bpe:
             for x in texts:
                 for k in range(0, len(x), RUN):
                     yield pd.Series([words.encode(t) if t else b"" for t in x.iloc[k : k + RUN]], dtype=object)
-                give_back()
+                    give_back()
 
         def decoded(ids: bytes) -> bytes:
             return b"".join(map(words_of(pattern, shared).vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -155,7 +170,7 @@ class Bpe:
             for x in ids:
                 for k in range(0, len(x), RUN):
                     yield pd.Series([decoded(b) for b in x.iloc[k : k + RUN]], dtype=object)
-                give_back()
+                    give_back()
 
         def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for ids in encode(texts):
@@ -194,8 +209,7 @@ class Bpe:
         short = coded(rows.where(F.length("t") <= LONG))
         # A long text is rare; its chunks are dealt over all tasks, and its ids come together again by its own number.
         long_, _ = written(rows.where(F.length("t") > LONG).withColumn("uid", F.monotonically_increasing_id()), "long")
-        chunks = long_.select("uid", "t", F.explode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(STEP))).alias("at"))
-        chunks = chunks.select("uid", "at", (F.col("at") + STEP >= F.length("t")).alias("last"), F.col("t").substr(F.col("at") + 1, F.lit(STEP + OVERLAP)).alias("piece"))
+        chunks = long_.select("uid", "t").mapInPandas(chunker(STEP, OVERLAP, CHUNKS), "uid long, at int, last boolean, piece string")
         chunks = chunks.repartition("uid", "at").withColumn("e", self._ends(F.struct("piece")))
         by_text = Window.partitionBy("uid").orderBy("at")
         cuts = chunks.withColumn("start", F.when(F.col("at") == 0, 0).otherwise(F.array_min(F.array_intersect(F.col("e.head"), F.lag("e.tail").over(by_text)))))

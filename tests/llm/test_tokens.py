@@ -63,3 +63,20 @@ def test_decode_is_the_inverse(spark, documents):
 def test_very_long_text(spark):
     words = [f"w{k * k % 9973}é" for k in range(250_000)]
     check(spark, spark.createDataFrame([(1, " ".join(words) + "\n" + "x" * 300_000), (2, "short")], "doc_id long, text string"))
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    bpe = T.Bpe(spark, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+    def took(mb):
+        docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("some words, and a few more of them; 12 "), mb * (1 << 20) // 39).alias("text"))
+        docs, _ = T.written(docs, "long-text")
+        began = time.perf_counter()
+        n = bpe.encode(docs).select((F.octet_length("ids") / 4).cast("long").alias("n")).first()["n"]
+        return time.perf_counter() - began, n
+
+    took(2)  # starts workers and memories
+    (a, n), (b, m) = took(12), took(48)
+    assert b < 4 * a and abs(m - 4 * n) < 100
