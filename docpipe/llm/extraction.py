@@ -7,9 +7,12 @@ host begins as one page's stream, in which runs of the same shape are folded int
 after page: what only one side has becomes optional, what comes again becomes repeated, elements that differ in their classes
 alone become one of that tag. Wrappers of parts of a host's pages are aligned with each other in the same way, so the work
 is spread over all pages of all hosts. A wrapper names the element that holds the article, from its semantic tags or the
-mass of its slots on all pages. Extraction aligns a page with its host's wrapper, level by level along its repeated and
-optional items, and takes the slots of the elements that meet the wrapper's article; a page where none does is read by
-its own wrapper. Tags and classes that tell of boilerplate take out what slots cannot tell, as in hosts of few pages.
+mass of its slots on all pages; articles beside it that stand on every page with a good share of its text are parts of the
+same. Extraction aligns a page with its host's wrapper, level by level along its repeated and
+optional items, and takes the texts of the elements that meet the wrapper's article, but for blocks in it that are the
+template's as a whole, and for what is the template's at its end (a label in a table, or a line between others, stays); a page where none does is read by its own
+wrapper. Tags and classes that tell of boilerplate take out what slots cannot tell, as in hosts of few pages; in the article
+a compound name of which one word tells of boilerplate does so only with the template or with links for most of its text.
 
 Cases: null and empty pages, and pages without text outside of boilerplate, give the empty text; a null url is a host of
 its own; repeated rows are extracted each, and teach once; very long pages are read whole, deep ones in a flat way from
@@ -45,6 +48,16 @@ NOT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 #: Words of a class or id that mark what is no article; a word that begins with one of the second list counts too.
 NOT_WORDS = frozenset("ad ads adv banner header masthead topbar footer foot side menu nav navbar alert modal share sharing social related widget login search pager skip toolbar toc".split())
 NOT_STEMS = ("advert", "sponsor", "promo", "sidebar", "navigat", "breadcrumb", "comment", "disqus", "reply", "replies", "cookie", "consent", "notice", "popup", "newsletter", "subscri", "signup", "recommend", "paginat")
+#: Words beside a marking one that leave its meaning as it is; with any other word the name is a compound that may tell of the article.
+NEUTRAL = frozenset("area bar block bottom box button buttons center col column container content group holder icon icons inner item items js left link links list main outer panel position primary right row secondary section slot top unit wrap wrapper zone".split())
+#: Marks of readers' comments, which hold in any name.
+COMMENTS = ("comment", "reply", "replies", "disqus")
+#: Share of linked text from which a compound name takes an element out of the article.
+LINKED = 0.5
+#: Share of the largest article's text from which another one beside it, that stands on every page, is a part of the same.
+PART_OF = 0.2
+#: Elements that stand or go with those beside them.
+PIECES = frozenset("tr td th li dt dd tbody thead tfoot caption p pre".split()) | frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: First words of classes that tell of other elements.
 ABOUT_OTHERS = frozenset("has with without no is show hide".split())
 #: Elements that hold everything, which no class takes out; of an article only comments' classes do.
@@ -65,8 +78,8 @@ SURE_PAGES, NEARLY_ALL, NEARLY_ALL_FORMS = 5, 0.9, 0.8
 MOST_DEPTH = 100
 #: Constant texts of up to so many characters are shown in a wrapper's expression.
 SHOWN = 200
-#: Host wrappers that a task holds before it passes them on.
-HELD_HOSTS = 2_000
+#: Host wrappers that a task holds before it passes them on; groups in which a host's are met first.
+HELD_HOSTS, MEETINGS = 2_000, 256
 
 tokens_of = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^<]*\Z", re.S).finditer
 digits = re.compile(r"\d+")
@@ -74,28 +87,35 @@ attributes = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 
 
 class Node:
-    __slots__ = ("children", "key", "out", "tag")
+    __slots__ = ("children", "key", "out", "tag", "weak")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.children, self.key, self.out = tag, [], tag, tag in NOT_TEXT
+        self.tag, self.children, self.key, self.out, self.weak = tag, [], tag, tag in NOT_TEXT, False
         if attrs and "=" in attrs:
             a = {k.lower(): x or y or z for k, x, y, z in attributes(attrs)}
             names, role = a.get("class", ""), a.get("role", "").lower()
             hidden = a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            self.out = self.out or role in NOT_ROLES or hidden or tag not in NEVER_OUT and any(marked(x, tag) for x in [*names.split(), a.get("id", "")])
+            self.out = self.out or role in NOT_ROLES or hidden
+            if not self.out and tag not in NEVER_OUT:
+                marks = {marked(x, tag) for x in [*names.split(), a.get("id", "")]}
+                self.weak = "sure" not in marks and "compound" in marks
+                self.out = "sure" in marks or self.weak and tag in BLOCKS  # weak: only what else is known of it takes it out of an article
             if names or role:
                 self.key = ".".join([tag, *sorted(set(digits.sub("#", names.lower()).split())), *(["@" + role] if role else [])])
 
 
 @lru_cache(maxsize=65_536)
-def marked(name: str, tag: str) -> bool:
-    """Whether a class or an id marks what is no article."""
+def marked(name: str, tag: str) -> str:
+    """Whether a class or an id marks what is no article: sure, compound (with words that may tell of the article) or not at all."""
     found = [x.lower() for x in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name)]
     if not found or found[0] in ABOUT_OTHERS:
-        return False
-    if tag == "article":
-        return any(x.startswith(("comment", "reply", "replies")) for x in found)
-    return any(x in NOT_WORDS or x.startswith(NOT_STEMS) for x in found)
+        return ""
+    if any(x.startswith(COMMENTS) for x in found):
+        return "sure"
+    marks = [tag != "article" and (x in NOT_WORDS or x.startswith(NOT_STEMS)) for x in found]
+    if not any(marks):
+        return ""
+    return "sure" if all(m or x in NEUTRAL or x.isdigit() for m, x in zip(marks, found, strict=True)) else "compound"
 
 
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -403,6 +423,22 @@ def titled(item: list) -> bool:
     return not is_text(item[0]) and item[3] > 0 and (tag_of(item[0]) == "h1" or any(map(titled, item[2])))
 
 
+def siblings(items: list, item: list) -> list[list]:
+    """The items of the level that holds an item, groups opened."""
+    flat = []
+    for x in items:
+        flat += siblings(x[2], item) if x[0][0] == "(" else [x]
+    return flat
+
+
+def twins_of(items: list, path: list[list]) -> list[list]:
+    """Articles beside the one that a path ends at, which stand on every page with a good share of its text: parts of the same."""
+    if not path or tag_of(path[-1][0]) != "article" or path[-1][1] != "1":
+        return []
+    level = siblings(items if len(path) == 1 else path[-2][2], path[-1])
+    return [x for x in level if x is not path[-1] and tag_of(x[0]) == "article" and x[1] == "1" and x[3] >= PART_OF * path[-1][3]]
+
+
 def main_path(items: list) -> list[list]:
     """The items from the top to the element that holds the article."""
     found: list[tuple[int, list[list]]] = []
@@ -436,22 +472,22 @@ def main_path(items: list) -> list[list]:
 class Level:
     """One level of a wrapper, to align pages with: its keys in order, the stretches that may come again, and the way to the article."""
 
-    def __init__(self, items: list, path: list[list]):
+    def __init__(self, items: list, path: list[list], twins: list[list] | tuple = ()):
         self.keys, self.signs, self.inside, self.on_path, self.loops = [], [], [], [], []
-        self._add(items, path)
+        self._add(items, path, twins)
         self.where = {k: n for n, k in enumerate(self.keys)}
         self.ends = len(path) == 0  # the article itself, or beside the way
 
-    def _add(self, items: list, path: list[list]) -> None:
+    def _add(self, items: list, path: list[list], twins: list[list] | tuple) -> None:
         for item in items:
-            first, main = len(self.keys), bool(path) and item is path[0]
+            first, main = len(self.keys), bool(path) and (item is path[0] or len(path) == 1 and any(item is x for x in twins))
             if item[0][0] == "(":
-                self._add(item[2], path)
+                self._add(item[2], path, twins)
             else:
                 self.keys.append(item[0])
                 self.signs.append(sign(item))
                 self.on_path.append(main)
-                self.inside.append(Level(item[2], path[1:]) if main else None)
+                self.inside.append(Level(item[2], path[1:], twins) if main else None)
             if item[1] in "+*":
                 self.loops.append((first, len(self.keys)))
 
@@ -496,7 +532,8 @@ class Wrapper:
         self.items = align(self.items, other.items)
 
     def level(self) -> Level:
-        return Level(self.items, main_path(self.items))
+        path = main_path(self.items)
+        return Level(self.items, path, twins_of(self.items, path))
 
     def expression(self) -> str:
         """As a regular expression over tags; # is a slot."""
@@ -540,13 +577,57 @@ def has_heading(node: Node) -> bool:
     return any(not isinstance(c, str) and (c.tag in ("h1", "h2") or has_heading(c)) for c in node.children)
 
 
-def slots(node: Node, tags: tuple[str, ...], template: frozenset) -> Iterator[str]:
-    """The texts of an article's slots, and of its headings."""
+def linked_share(node: Node) -> float:
+    """The share of a node's characters that stand in links."""
+    all_ = links = 0
+
+    def walk(x: Node, inside: bool) -> None:
+        nonlocal all_, links
+        for c in x.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                all_, links = all_ + n, links + n * inside
+            else:
+                walk(c, inside or c.tag == "a")
+
+    walk(node, node.tag == "a")
+    return links / all_ if all_ else 0.0
+
+
+def fixed(node: Node, tags: tuple[str, ...], template: frozenset) -> tuple[int, bool]:
+    """(texts, whether all are the template's) of a node."""
+    n, all_ = 0, True
     for key, x in level_of(node, template, tags):
         if isinstance(x, str):
-            if key == "#" or tags and tags[-1] in HEADINGS:
-                yield x
-        elif not x.out or "header" in x.key and has_heading(x):
+            n, all_ = n + 1, all_ and key != "#"
+        elif not x.out or x.weak:
+            inner, same = fixed(x, (*tags, x.tag), template)
+            n, all_ = n + inner, all_ and same
+    return n, all_
+
+
+def excluded(x: Node, tags: tuple[str, ...], template: frozenset) -> bool:
+    """Whether an element of the article, with these tags around what is in it, is no part of its text."""
+    if x.out and not x.weak:
+        return not ("header" in x.key and has_heading(x))
+    if x.weak or template and x.tag not in PIECES:
+        n, same = fixed(x, tags, template)
+        if same and (x.weak or n > 1):  # a whole block of the template, with more than one text
+            return bool(template)
+        return x.weak and linked_share(x) >= LINKED
+    return False
+
+
+def slots(node: Node, tags: tuple[str, ...], template: frozenset, whole: bool = False) -> Iterator[str]:
+    """The texts of an article but for those of blocks that are the template's as a whole; and, of a whole article, for those at its end that are."""
+    kept = [(key, x) for key, x in level_of(node, template, tags) if isinstance(x, str) or not excluded(x, (*tags, x.tag), template)]
+    if whole and template:
+        own = [k for k, (key, x) in enumerate(kept) if (key == "#" if isinstance(x, str) else not fixed(x, (*tags, x.tag), template)[1])]
+        kept = kept[: own[-1] + 1] if own else kept
+    for _, x in kept:
+        if isinstance(x, str):
+            yield x
+        else:
             yield from slots(x, (*tags, x.tag), template)
 
 
@@ -557,7 +638,7 @@ def extract(page: str | None, packed: str | None, template: frozenset = frozense
     found = articles(root, level_from(packed), template) if packed else []
     if not found:
         found = articles(root, Wrapper(shape(root, False, template)[0]).level(), template)
-    return "\n\n".join(x for node, tags in found for x in slots(node, tags, template))
+    return "\n\n".join(x for node, tags in found for x in slots(node, tags, template, True))
 
 
 def host_of(url):
@@ -633,9 +714,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if one is not None:
             yield pd.DataFrame({"host": [host], "wrapper": [one.pack()]})
 
+    # A host has a small wrapper from each task. They are met in sorted order, one at a time: first in MEETINGS groups, then those.
     parts = pages.mapInPandas(learn, "host string, wrapper string")
-    # A host has a small wrapper from each task, met in sorted order, one at a time.
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(meet, "host string, wrapper string")
+    group = F.pmod(F.xxhash64("wrapper"), F.lit(MEETINGS))
+    some = parts.repartition("host", group).sortWithinPartitions("host", group, "wrapper").mapInPandas(meet, "host string, wrapper string")
+    return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(meet, "host string, wrapper string")
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -125,3 +125,34 @@ def test_repeated_and_optional_places():
 def test_very_long_page():
     body = "".join(f"<p>Paragraph {k} of the text</p>" for k in range(40_000))
     assert X.extract(f"<nav>n</nav><main>{body}</main>", None).count("\n\n") == 39_999
+
+
+def texts_of_pages(spark, htmls):
+    rows = [(k, f"https://one.example/{k}", h) for k, h in enumerate(htmls)]
+    return {r.row.page_id: r.text for r in X.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+WORDS = ["alpha", "bravo", "carbon", "delta", "ember", "forest", "garnet", "harbor", "indigo", "jasper"]
+
+
+def test_fixed_labels_of_an_article_stay(spark):
+    page = "<body><nav>Home</nav><article><h1>{w}</h1><p>All about {w}</p><table><tr><th>Colour<td>{w}x<tr><th>Weight<td>{w}y</table><p>Ingredients:</p><ul><li>Salt<li>{w}</ul><div><p>Printed with care.</p><p>Ask your doctor.</p></div></article></body>"
+    got = texts_of_pages(spark, [page.format(w=w) for w in WORDS])
+    for k, w in enumerate(WORDS):
+        assert got[k].split("\n\n") == [w, f"All about {w}", "Colour", f"{w}x", "Weight", f"{w}y", "Ingredients:", "Salt", w]  # the div is the template's as a whole
+
+
+def test_compound_names_in_an_article_stay(spark):
+    page = (
+        "<article><h1>{w}</h1><p class='side-effects'>effects of {w}</p><div class='social-history'>history of {w}</div><p class='ad-hoc'>hoc {w}</p><section id='notice-period'>period {w}</section>"
+        "<p class='lead promo-text'>lead {w}</p><div class='related-reading'><a href=x>read {w} too</a></div><div class='ad-slot'>buy {w}</div><div class='comment-text'>a reader of {w}</div></article>"
+    )
+    got = texts_of_pages(spark, [page.format(w=w) for w in WORDS])
+    for k, w in enumerate(WORDS):
+        assert got[k].split("\n\n") == [w, f"effects of {w}", f"history of {w}", f"hoc {w}", f"period {w}", f"lead {w}"]
+
+
+def test_two_articles_of_a_page_are_parts(spark):
+    page = "<main><article class=head><h1>{w}</h1><p>the first part of {w}</p></article><article class=facts><p>more of {w}, and as long as that</p><table><tr><td>t<td>{w}</table></article><article class=teaser><a>b</a></article></main>"
+    got = texts_of_pages(spark, [page.format(w=w) for w in WORDS])
+    assert all(x in got[0] for x in ("the first part of alpha", "more of alpha", "alpha"))
