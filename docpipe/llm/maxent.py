@@ -5,9 +5,10 @@ endings; two depend on the context: the words that came after the last two words
 
 The lasting classes: a softmax over them, then over slots: a class's most frequent words have slots of their own, all others
 share one, within which a word has its smoothed share of the class's counts. The softmaxes add the weights of hashed features
-of the context: for classes the word before, for both the commonest of the last eight, which skips the others. Weights are learned by
-distributed gradient updates: each task runs adaptive gradient steps over its own documents from the common weights, and each
-weight becomes the mean of the tasks' by the gradients that made it.
+of the context: for both the word before, and the commonest of the last eight, which skips the others; for classes the last two
+words together, too. Weights are learned by distributed gradient updates: each task runs adaptive gradient steps over its own
+documents from the common weights, and each weight becomes the mean of the tasks' by the gradients that made it, first over
+a part of the documents, then over all of them.
 
 The context's classes: all tokens are dealt by a hash of the words before, so that a shard holds all that came after its
 contexts, in numbers that grow with the corpus: how often each word did in training, of how many, and how many different
@@ -39,11 +40,11 @@ from docpipe.llm.common import crc_mod, table, text_batches, written
 
 CLASSES, SLOTS = 32, 16
 #: Features of the classes' softmax and of the slots'; rows of hashed features of each; words among which the commonest is sought.
-CLASS_FEATURES, SLOT_FEATURES, CLASS_ROWS, SLOT_ROWS, LAST = 2, 1, 4096, 16_384, 8
+CLASS_FEATURES, SLOT_FEATURES, CLASS_ROWS, SLOT_ROWS, LAST = 3, 2, 4096, 16_384, 8
 #: Words whose counts are broadcast, at most.
 FREQUENT = 300_000
-#: Tokens of a gradient step and of a scoring batch; the step's size.
-STEP_TOKENS, RATE = 32_768, 0.6
+#: Tokens of a gradient step and of a scoring batch; the step's size; one of so many documents is in the first round.
+STEP_TOKENS, RATE, FIRST = 32_768, 0.2, 8
 #: Texts split at once.
 CHUNK = 2_000
 #: Values of a block of weights on the way to the average.
@@ -158,11 +159,13 @@ def commonest(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def context(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Rows of the features of each token: for its class and for its slot."""
     skip = commonest(h, c, doc) + np.uint64(1 << 34)
-    one = np.zeros(len(h), dtype=np.uint64)
+    one, two = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=np.uint64)
     one[1:] = np.where(doc[1:] == doc[:-1], h[:-1], 0)
+    two[2:] = np.where(doc[2:] == doc[:-2], h[:-2], 0)
+    both = one * np.uint64(0xC2B2AE3D27D4EB4F) + two + np.uint64(1 << 35)
     mix = lambda x, rows: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % rows
     k = cls.astype(np.uint64) << np.uint64(36)
-    return [mix(one, CLASS_ROWS), mix(skip, CLASS_ROWS)], [mix(skip + k, SLOT_ROWS)]
+    return [mix(one, CLASS_ROWS), mix(skip, CLASS_ROWS), mix(both, CLASS_ROWS)], [mix(skip + k, SLOT_ROWS), mix(one + k, SLOT_ROWS)]
 
 
 def soft(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -383,6 +386,7 @@ class MaxEnt:
         w.cb[:] = np.log((n + 1) / (n.sum() + CLASSES))
         w.sb[:] = np.where((own > 0) | (np.arange(SLOTS) == 0), np.log((own + 1) / (own.sum(axis=1, keepdims=True) + SLOTS)), -30)
         self.weights = flat
+        self.weights = self._learned(train.where(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0))
         self.weights = self._learned(train)
 
     def _frequent(self) -> tuple[pa.Array, np.ndarray]:
