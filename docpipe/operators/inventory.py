@@ -136,10 +136,3 @@ def prunable_folders(outputs: DataFrame, sources: DataFrame, folders: DataFrame)
 def missing_requested(requested: DataFrame, files: DataFrame) -> DataFrame:
     """Requested paths (path), each once, that no file (rel_path) has."""
     return requested.select("path").distinct().join(files.select(F.col("rel_path").alias("path")), "path", "left_anti")
-
-
-def nearest_root(path: Column, roots: dict[str, str]) -> Column:
-    """The id of the deepest of a few roots {root: id} that contains a path; null if none. Without state, so it also runs on streams."""
-    table = F.create_map(*[F.lit(x) for pair in roots.items() for x in pair])
-    found = F.filter(F.transform(P.ancestor_paths(path), lambda p: F.try_element_at(table, p)), lambda x: x.isNotNull())
-    return F.try_element_at(found, F.lit(-1))

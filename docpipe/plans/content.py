@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docpipe.functions import paths as P
 from docpipe.functions import text as T
 from docpipe.operators import convert as V
+from docpipe.operators import roots
 from docpipe.plans.derived import ddb, view
 
 c = F.col
@@ -130,6 +131,24 @@ def redact_paths(s, d):
     return view(s, d, "paths").select("id", T.redact(x, [("/EUROPE", "<input:eu>"), ("key sk-", "key ***")]).alias("message"))
 
 
+@query("redact_roots", "select c_custkey as id, 'failed at <nation:'||n_name||'>/'||c_name||'.md, root <region:'||r_name||'>, not /nowhere' as message from customer join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey")
+def redact_roots(s, d):
+    """Messages in which regions' and nations' roots are masked, the longer one where both begin."""
+    region = view(s, d, "region")
+    nation = view(s, d, "nation").join(region, c("n_regionkey") == c("r_regionkey"))
+    masks = {f"/{x['r_name']}": f"<region:{x['r_name']}>" for x in region.collect()}  # as configured: some tens
+    masks |= {f"/{x['r_name']}/{x['n_name']}": f"<nation:{x['n_name']}>" for x in nation.collect()}
+    text = F.concat(F.lit("failed at "), c("path"), F.lit(", root /"), F.split("path", "/")[1], F.lit(", not /nowhere"))
+    return view(s, d, "paths").select("id", roots.redact(s, text, masks).alias("message"))
+
+
+@query("nearest_roots", ddb("roots paths", "select p.id, max_by(r.id, length(r.root)) as root_id from paths p left join roots r on starts_with(p.path, r.root||'/') group by p.id"))
+def nearest_roots(s, d):
+    """The deepest root of each path, by a trie of roots in tasks; the same as longest_prefix gives by joins."""
+    known = {x["root"]: x["id"] for x in view(s, d, "roots").collect()}  # as configured: some tens
+    return view(s, d, "paths").select("id", roots.nearest_root(s, c("path"), known).alias("root_id"))
+
+
 _WORDS = [w for _, ws in T.ERRORS for w in ws] + ["pdf 超过 512 mib", "all is well"]
 _LIST = ", ".join(f"'{w}'" for w in _WORDS)
 # The rules in order, written out: regular expressions over the lower-cased message.

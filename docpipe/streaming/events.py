@@ -11,8 +11,10 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from docpipe.functions import paths as P
 from docpipe.operators.classify import compare_and_set, late_results
-from docpipe.operators.inventory import nearest_root
+from docpipe.operators.increment import FolderIndex
+from docpipe.operators.roots import nearest_root
 from docpipe.sources.tables import folders
+from docpipe.sources.versioned import Versioned
 
 FILES = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 #: Repeats that make a file stable, observations after which it is given up.
@@ -156,30 +158,41 @@ def to_index(written: DataFrame) -> DataFrame:
 def bucketed_sink(base: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema: StructType, key: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: as upsert_sink, but a batch writes only those parts of the table, by a hash of the key, that its keys are in.
 
-    step may add and change rows of the batch's keys, not remove all rows of a part. Readers take `current`.
+    step gives the rows of the parts that a batch touches, of the old ones and the batch's; it may remove rows, all of a
+    part too. Readers take `current`. For removals that late changes must not undo see `versioned.put_changes`.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = latest(spark, base)
+        table = Versioned(batch.sparkSession, base, schema, key, BUCKETS)
+        last, _ = table.held()
         if last is not None and last >= batch_id:
             return
-        touched = [x["bucket"] for x in batch.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
-        old = current(spark, base, schema, touched)
-        step(old, batch).withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/v={batch_id}")
+        parts = table.touched(batch)
+        table.write(batch_id, step(table.read(parts), batch), parts)
 
     return put
 
 
-def current(spark: SparkSession, base: str, schema: StructType, buckets: Sequence[int] | None = None) -> DataFrame:
+def current(spark: SparkSession, base: str, schema: StructType, parts: Sequence[int] | None = None) -> DataFrame:
     """The newest version of each part of a table that bucketed_sink wrote."""
-    newest: dict[int, str] = {}
-    for version in sorted(versions(spark, base)):
-        for name in folders(spark, f"{base}/v={version}"):
-            if name.startswith("bucket=") and (buckets is None or int(name[7:]) in buckets):
-                newest[int(name[7:])] = f"{base}/v={version}/{name}"
-    return spark.read.schema(schema).parquet(*newest.values()) if newest else spark.createDataFrame([], schema)
+    return Versioned(spark, base, schema, F.lit(0)).read(parts)
+
+
+def index_sink(base: str, pages: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: puts a stream of document changes (see `increment.CHANGES`) into the folder index below base.
+
+    The end of a chain of stages: a batch changes the folders above its documents alone. pages gets their new pages.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        index = FolderIndex(batch.sparkSession, base)
+        if index.version() >= batch_id:
+            return
+        touched = index.apply(batch, batch_id)
+        if pages is not None:
+            pages(index.rendered(touched), batch_id)
+
+    return put
 
 
 def upsert_sink(base: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema: StructType) -> Callable[[DataFrame, int], None]:
@@ -213,7 +226,7 @@ def latest(spark: SparkSession, base: str) -> int | None:
 def output_changes(files: DataFrame, roots: dict[str, str]) -> DataFrame:
     """Changes (profile_id, path, ts) of an output tree that call for a new index, from a stream of files (path, modified)."""
     kept = files.where(~P.excluded_from_changes(F.col("path")))
-    return kept.select(nearest_root(F.col("path"), roots).alias("profile_id"), "path", F.col("modified").alias("ts")).where("profile_id is not null")
+    return kept.select(nearest_root(files.sparkSession, F.col("path"), roots).alias("profile_id"), "path", F.col("modified").alias("ts")).where("profile_id is not null")
 
 
 def current_results(results: DataFrame, current: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]):
