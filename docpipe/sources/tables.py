@@ -20,11 +20,16 @@ def scratch(spark: SparkSession) -> str:
     return where
 
 
+#: Scratch tables of this process that are still there.
+_held: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and the table's place. Cuts the lineage; survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/docpipe/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _held.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -33,6 +38,14 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _held:
+        _held.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this process. Call it when results are written: what still reads them is lost."""
+    for path in [*_held]:
+        removed(spark, path)
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:

@@ -10,6 +10,7 @@ that is kept names.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,12 +64,12 @@ class Versioned:
     def manifests(self) -> list[int]:
         return sorted(int(x[:-5]) for x in folders(self.spark, f"{self.base}/manifests") if x.endswith(".json"))
 
-    def held(self, version: int | None = None) -> tuple[int | None, dict[int, int]]:
-        """(version, its parts with the version that holds each), of the newest version or a given one."""
+    def held(self, version: int | None = None) -> tuple[int | None, dict[int, str]]:
+        """(version, its parts with the name of the version that holds each), of the newest version or a given one."""
         known = self.manifests() if version is None else [version]
         if not known:
             return None, {}
-        return known[-1], {int(p): v for p, v in json.loads(get_text(self.spark, f"{self.base}/manifests/{known[-1]:012d}.json")).items()}
+        return known[-1], {int(p): str(v) for p, v in json.loads(get_text(self.spark, f"{self.base}/manifests/{known[-1]:012d}.json")).items()}
 
     def read(self, parts: Iterable[int] | None = None, version: int | None = None) -> DataFrame:
         """The rows of some parts, or of all, in the newest version or a given one."""
@@ -81,17 +82,23 @@ class Versioned:
         """The parts that rows (with the columns of the key) are in."""
         return sorted(x["part"] for x in rows.select(self.part.alias("part")).distinct().collect())  # a row a part at most
 
-    def write(self, version: int, rows: DataFrame, parts: Sequence[int]) -> bool:
-        """Puts rows in place of all that is in these parts; False, and nothing is done, where the version is there or a later one."""
+    def write(self, version: int, rows: DataFrame, parts: Sequence[int], anew: bool = False) -> bool:
+        """Puts rows in place of all that is in these parts; False, and nothing is done, where the version is there or a later one.
+
+        anew: the newest version is written anew under its number, so that numbers stay those of a stream's batches. No
+        stream may write meanwhile.
+        """
         last, held = self.held()
-        if last is not None and last >= version:
+        if last is not None and (last > version or last == version and not anew):
             return False
+        name = f"{version}-{uuid.uuid4().hex[:8]}" if anew else str(version)
         names = [f.name for f in self.schema.fields]
-        rows.select(*names, self.part.alias("part")).write.partitionBy("part").mode("overwrite").parquet(f"{self.base}/v={version}")
-        new = {int(x[5:]) for x in folders(self.spark, f"{self.base}/v={version}") if x.startswith("part=")}
+        dealt = rows.select(*names, self.part.alias("part")).repartition("part")  # else each task would write a file of each part
+        dealt.write.partitionBy("part").mode("overwrite").parquet(f"{self.base}/v={name}")
+        new = {int(x[5:]) for x in folders(self.spark, f"{self.base}/v={name}") if x.startswith("part=")}
         if new - set(parts):
             raise ValueError(f"rows of parts that were not named: {sorted(new - set(parts))}")
-        held = {p: v for p, v in held.items() if p not in set(parts)} | dict.fromkeys(new, version)
+        held = {p: v for p, v in held.items() if p not in set(parts)} | dict.fromkeys(new, name)
         put_text(self.spark, f"{self.base}/manifests/{version:012d}.json", json.dumps(held))
         return True
 
@@ -102,13 +109,12 @@ class Versioned:
             removed(self.spark, f"{self.base}/manifests/{version:012d}.json")
         named = {(v, p) for version in known[-keep:] for p, v in self.held(version)[1].items()}
         for name in folders(self.spark, self.base):
-            if name.startswith("v=") and known and int(name[2:]) <= known[-1]:
-                version = int(name[2:])
-                if not any(v == version for v, _ in named):
+            if name.startswith("v=") and known and int(name[2:].split("-")[0]) <= known[-1]:
+                if not any(v == name[2:] for v, _ in named):
                     removed(self.spark, f"{self.base}/{name}")
                     continue
                 for part in folders(self.spark, f"{self.base}/{name}"):
-                    if part.startswith("part=") and (version, int(part[5:])) not in named:
+                    if part.startswith("part=") and (name[2:], int(part[5:])) not in named:
                         removed(self.spark, f"{self.base}/{name}/{part}")
 
 
@@ -130,9 +136,9 @@ def without_gone(rows: DataFrame, gone: str = "gone") -> DataFrame:
 
 
 def forget(table: Versioned, before: Column, gone: str = "gone") -> bool:
-    """Writes a version without the tombstones for which `before` holds; of the parts that have such alone."""
+    """Writes the newest version anew without the tombstones for which `before` holds; of the parts that have such alone. Not while a stream writes."""
     last, _ = table.held()
     if last is None:
         return False
     parts = table.touched(table.read().where(F.col(gone) & before))
-    return bool(parts) and table.write(last + 1, table.read(parts).where(~(F.coalesce(F.col(gone), F.lit(False)) & before)), parts)
+    return bool(parts) and table.write(last, table.read(parts).where(~(F.coalesce(F.col(gone), F.lit(False)) & before)), parts, anew=True)

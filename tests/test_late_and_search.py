@@ -55,8 +55,10 @@ def test_a_removed_key_stays_removed(spark, tmp_path):
     part = table.touched(spark.createDataFrame([("a",)], "k string"))[0]
     if part not in table.touched(spark.createDataFrame([("b",)], "k string")):
         assert part not in table.held()[1]  # an emptied part is in no manifest
-    put([("a", "anew", 12, False)], 4)
+    put([("a", "anew", 12, False)], 3)  # the stream's next batch
     assert now() == {"a": "anew", "b": "1"}
+    table.clean(1)
+    assert now() == {"a": "anew", "b": "1"} and table.manifests() == [3]
 
 
 def test_a_read_lists_once_however_many_versions(spark, tmp_path, monkeypatch):

@@ -208,3 +208,14 @@ def test_decision_input_and_category_forms(spark):
     yaml = ["categories: [on, 2020-01-01, 1, ~]", "categories: {a: 1}", "a: &x [p, q]\ncategories: *x", "categories: [a\n"]
     df = spark.createDataFrame(list(enumerate(yaml)), "i long, t string")
     assert {r.i: r.x for r in df.select("i", V.category_list(F.col("t")).alias("x")).collect()} == {0: ["on", "2020-01-01"], 1: [], 2: ["p", "q"], 3: []}
+
+
+def test_scratch_tables_are_released(spark):
+    from docpipe.operators.order import numbered
+    from docpipe.sources import tables
+
+    numbered(spark.range(20), [], [F.col("id")]).count()
+    held = [*tables._held]
+    assert any("/ranges-" in x for x in held)
+    tables.release(spark)
+    assert not tables._held and not any(tables.folders(spark, x) for x in held)
