@@ -3,10 +3,10 @@
 A softmax over classes gives a token's class, then the class gives the word. Some classes are the same everywhere, by words'
 endings; two depend on the context: the words that came after the last two words (trigram), and after the last one (bigram).
 
-The lasting classes: a softmax over them, then over slots: a class's most frequent words have slots of their own, all others
-share one, within which a word has its smoothed share of the class's counts. The softmaxes add the weights of hashed features
-of the context: for both the word before, and the commonest of the last eight, which skips the others; for classes the last two
-words together, too. Weights are learned by distributed gradient updates: each task runs adaptive gradient steps over its own
+The lasting classes: a softmax over them, then over a class's slots, then over a slot's members. A class's most frequent words,
+7,680 in all, are members of slots; all others share one slot, within which a word has its smoothed share of the class's counts.
+The softmaxes add the weights of hashed features of the context: for all three the word before, and the commonest of the last
+eight, which skips the others; for classes the last two words together, too. Weights are learned by distributed gradient updates: each task runs adaptive gradient steps over its own
 documents from the common weights, and each weight becomes the mean of the tasks' by the gradients that made it, first over
 a part of the documents, then over all of them.
 
@@ -38,13 +38,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docpipe.llm.common import crc_mod, table, text_batches, written
 
-CLASSES, SLOTS = 32, 16
-#: Features of the classes' softmax and of the slots'; rows of hashed features of each; words among which the commonest is sought.
-CLASS_FEATURES, SLOT_FEATURES, CLASS_ROWS, SLOT_ROWS, LAST = 3, 2, 4096, 16_384, 8
+CLASSES, SLOTS, MEMBERS = 32, 16, 16
+#: Features of the classes' softmax, of the slots' and of the members'; rows of hashed features of each; words among which the commonest is sought.
+CLASS_FEATURES, SLOT_FEATURES, CLASS_ROWS, SLOT_ROWS, MEMBER_ROWS, LAST = 3, 2, 32_768, 32_768, 32_768, 8
+#: A word's place: its slot and, in it, its member. Place 0 is that of all words without one of their own.
+PLACES = SLOTS * MEMBERS
 #: Words whose counts are broadcast, at most.
 FREQUENT = 300_000
 #: Tokens of a gradient step and of a scoring batch; the step's size; one of so many documents is in the first round.
-STEP_TOKENS, RATE, FIRST = 32_768, 0.2, 8
+STEP_TOKENS, RATE, FIRST = 32_768, 0.5, 8
+#: Tokens that a task learns from, about: it sends as many weights on whatever it has read.
+LEARN_TOKENS = 20_000_000
 #: Texts split at once.
 CHUNK = 2_000
 #: Values of a block of weights on the way to the average.
@@ -56,7 +60,11 @@ FINE = 512
 #: Ranges of a context's numbers; gradient steps of a shard's softmax; the prior of its classes, as so many tokens.
 RANGES, SHARD_STEPS, PRIOR, PRIOR_TOKENS = 24, 4, np.array([0.3, 0.3, 0.4], dtype=np.float32), 4.0
 END = b""
-COUNTS, SPLIT = "token binary, n long", np.cumsum([CLASS_FEATURES * CLASS_ROWS * CLASSES, CLASSES, SLOT_FEATURES * SLOT_ROWS * SLOTS])
+COUNTS = "token binary, n long"
+#: The weights: features and bias of classes, of slots and of members.
+SHAPES = [(CLASS_FEATURES, CLASS_ROWS, CLASSES), (CLASSES,), (SLOT_FEATURES, SLOT_ROWS, SLOTS), (CLASSES, SLOTS), (SLOT_FEATURES, MEMBER_ROWS, MEMBERS), (CLASSES * SLOTS, MEMBERS)]
+SPLIT = np.cumsum([np.prod(x) for x in SHAPES])
+SIZE = int(SPLIT[-1])
 
 
 def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -70,15 +78,11 @@ def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 class Weights:
-    """Views of one vector: class features and bias, slot features and bias."""
+    """Views of one vector: features and bias of classes, slots and members."""
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat
-        a, b, c, d = np.split(flat, SPLIT)
-        self.c, self.cb, self.s, self.sb = a.reshape(CLASS_FEATURES, CLASS_ROWS, CLASSES), b, c.reshape(SLOT_FEATURES, SLOT_ROWS, SLOTS), d.reshape(CLASSES, SLOTS)
-
-
-SIZE = int(SPLIT[-1]) + CLASSES * SLOTS
+        self.c, self.cb, self.s, self.sb, self.m, self.mb = (x.reshape(shape) for x, shape in zip(np.split(flat, SPLIT[:-1]), SHAPES, strict=True))
 
 
 @cache
@@ -108,13 +112,13 @@ def with_end(words: pa.Array) -> pa.Array:
 
 
 class Lexicon:
-    """What is known of words. head: (words, slots); frequent: (words, counts)."""
+    """What is known of words. head: (words, places); frequent: (words, counts)."""
 
     def __init__(self, head: tuple[pa.Array, np.ndarray], frequent: tuple[pa.Array, np.ndarray]):
         self.head, self.frequent = head, frequent
 
     def rows_of(self, words: pa.Array) -> np.ndarray:
-        """Rows hash, class, slot, count (-1: not among the frequent) of words and, last, of the end."""
+        """Rows hash, class, place, count (-1: not among the frequent) of words and, last, of the end."""
         out = np.empty((4, len(words) + 1), dtype=np.int64)
         if len(words):
             out[0, :-1], out[1, :-1] = numbers_of(words)
@@ -156,8 +160,8 @@ def commonest(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (out & 0xFFFFFFFF).astype(np.uint64)
 
 
-def context(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the features of each token: for its class and for its slot."""
+def context(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Rows of the features of each token: for its class, for its slot and for its member."""
     skip = commonest(h, c, doc) + np.uint64(1 << 34)
     one, two = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=np.uint64)
     one[1:] = np.where(doc[1:] == doc[:-1], h[:-1], 0)
@@ -165,36 +169,48 @@ def context(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray) -> t
     both = one * np.uint64(0xC2B2AE3D27D4EB4F) + two + np.uint64(1 << 35)
     mix = lambda x, rows: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % rows
     k = cls.astype(np.uint64) << np.uint64(36)
-    return [mix(one, CLASS_ROWS), mix(skip, CLASS_ROWS), mix(both, CLASS_ROWS)], [mix(skip + k, SLOT_ROWS), mix(one + k, SLOT_ROWS)]
+    m = (cls * SLOTS + place // MEMBERS).astype(np.uint64) << np.uint64(36)
+    return [mix(x, CLASS_ROWS) for x in (one, skip, both)], [mix(x + k, SLOT_ROWS) for x in (skip, one)], [mix(x + m, MEMBER_ROWS) for x in (skip, one)]
 
 
 def soft(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    x = bias + table[0][rows[0]]
+    x = bias + table[0].take(rows[0], axis=0)
     for k in range(1, len(rows)):
-        x += table[k][rows[k]]
+        x += table[k].take(rows[k], axis=0)
     np.minimum(x, 60, out=x)  # far above what weights reach
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
     return x
 
 
-def log_probability(w: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token's class and slot."""
-    a, b = context(h, c, doc, cls)
+def with_places(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[list, list, np.ndarray, list, np.ndarray]:
+    """Rows for classes and for slots; the tokens with a place of their own, their rows for members and their slots among all."""
+    a, b, m = context(h, c, doc, cls, place)
+    own = np.flatnonzero(place)
+    return a, b, own, [x[own] for x in m], cls[own] * SLOTS + place[own] // MEMBERS
+
+
+def log_probability(w: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token's class and place."""
+    a, b, own, m, slot = with_places(h, c, doc, cls, place)
     at = np.arange(len(h))
-    p = soft(w.c, w.cb, a)[at, cls] * soft(w.s, w.sb[cls], b)[at, slot]
-    return np.log10(np.maximum(p.astype(np.float64), 1e-30))
+    p = (soft(w.c, w.cb, a)[at, cls] * soft(w.s, w.sb[cls], b)[at, place // MEMBERS]).astype(np.float64)
+    p[own] *= soft(w.m, w.mb[slot], m)[np.arange(len(own)), place[own] % MEMBERS]
+    return np.log10(np.maximum(p, 1e-30))
 
 
-def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> None:
+def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> None:
     """One adaptive gradient step on a batch. seen: the sums of squared gradients."""
 
     def step(x: np.ndarray, total: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # short numbers are sorted by radix
-        r = rows[order]
-        head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        r = r[head]
-        s = np.add.reduceat(g[order], head, axis=0)
+        met = np.zeros(len(x), dtype=bool)
+        met[rows] = True
+        r = np.flatnonzero(met)
+        at = np.empty(len(x), dtype=np.intp)
+        at[r] = np.arange(len(r)) * x.shape[1]
+        s = np.zeros(len(r) * x.shape[1], dtype=np.float32)
+        np.add.at(s, (at[rows][:, None] + np.arange(x.shape[1])).ravel(), g.ravel())
+        s = s.reshape(len(r), -1)
         t = total[r] + s * s
         total[r] = t
         t += 1
@@ -203,18 +219,26 @@ def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.
         s *= RATE
         x[r] += s
 
-    a, b = context(h, c, doc, cls)
-    at = np.arange(len(h))
-    g = soft(w.c, w.cb, a)
-    np.negative(g, out=g)
-    g[at, cls] += 1
-    for k in range(CLASS_FEATURES):
-        step(w.c[k], seen.c[k], a[k], g)
-    g = soft(w.s, w.sb[cls], b)
-    np.negative(g, out=g)
-    g[at, slot] += 1
-    for k in range(SLOT_FEATURES):
-        step(w.s[k], seen.s[k], b[k], g)
+    def learn(x: np.ndarray, bias: np.ndarray, total: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
+        g = soft(x, bias, rows)
+        np.negative(g, out=g)
+        g[np.arange(len(g)), target] += 1
+        for k, r in enumerate(rows):
+            step(x[k], total[k], r, g)
+
+    a, b, own, m, slot = with_places(h, c, doc, cls, place)
+    learn(w.c, w.cb, seen.c, a, cls)
+    learn(w.s, w.sb[cls], seen.s, b, place // MEMBERS)
+    learn(w.m, w.mb[slot], seen.m, m, place[own] % MEMBERS)
+
+
+def short(x: np.ndarray) -> np.ndarray:
+    """Numbers not below 0 in 8 bits, exponent and three places: those of a 16-bit number without sign and last places."""
+    return (x.astype(np.float16).view(np.uint16) >> np.uint16(7)).astype(np.uint8)
+
+
+def long(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint16) << np.uint16(7)).view(np.float16).astype(np.float32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -357,13 +381,13 @@ class MaxEnt:
         self.counts, _ = written(counts(train), "counts")
         cls = (F.crc32(F.substring("token", -2, 2)) % CLASSES).cast("int")
         known = self.counts.withColumn("cls", cls)
-        # The classes' words with slots of their own.
+        # The classes' words with places of their own, the commonest first.
         rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("is_end"), F.desc("n"), "token"))
-        top = known.withColumn("is_end", F.octet_length("token") == 0).withColumn("slot", rank).where(F.col("slot") < SLOTS).collect()
-        self.head = pa.array([bytes(x["token"]) for x in top], pa.binary()), np.array([x["slot"] for x in top], dtype=np.int64)
-        own = np.zeros((CLASSES, SLOTS))
+        top = known.withColumn("is_end", F.octet_length("token") == 0).withColumn("place", rank + (MEMBERS - 1)).where(F.col("place") < PLACES).collect()
+        self.head = pa.array([bytes(x["token"]) for x in top], pa.binary()), np.array([x["place"] for x in top], dtype=np.int64)
+        own = np.zeros((CLASSES, PLACES))
         for x in top:
-            own[x["cls"], x["slot"]] = x["n"]
+            own[x["cls"], x["place"]] = x["n"]
         n, v = np.zeros(CLASSES), np.zeros(CLASSES)
         for x in known.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
             n[x["cls"]], v[x["cls"]] = x["n"], x["v"]
@@ -382,12 +406,16 @@ class MaxEnt:
         self.far = (far_n + far_v + 1) / (far_v + 1)
         flat = np.zeros(SIZE, dtype=np.float32)
         w = Weights(flat)
-        own[:, 0] = self.shared_n
+        slots = own.reshape(CLASSES, SLOTS, MEMBERS).sum(axis=2)
+        slots[:, 0] = self.shared_n
+        share = lambda x, some: np.where(some, np.log((x + 1) / (x.sum(axis=1, keepdims=True) + x.shape[1])), -30)
         w.cb[:] = np.log((n + 1) / (n.sum() + CLASSES))
-        w.sb[:] = np.where((own > 0) | (np.arange(SLOTS) == 0), np.log((own + 1) / (own.sum(axis=1, keepdims=True) + SLOTS)), -30)
+        w.sb[:] = share(slots, (slots > 0) | (np.arange(SLOTS) == 0))
+        own = own.reshape(CLASSES * SLOTS, MEMBERS)
+        w.mb[:] = share(own, own > 0)
         self.weights = flat
-        self.weights = self._learned(train.where(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0))
-        self.weights = self._learned(train)
+        self.weights = self._learned(train.where(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0), self.tokens // FIRST)
+        self.weights = self._learned(train, self.tokens)
 
     def _frequent(self) -> tuple[pa.Array, np.ndarray]:
         """The counts of the most frequent words: all above the least power of 2 ** 0.25 that FREQUENT or fewer reach."""
@@ -405,8 +433,9 @@ class MaxEnt:
         x = self.counts.where(step >= least).toArrow()
         return x["token"].combine_chunks().cast(pa.binary()), x["n"].to_numpy().astype(np.int64)
 
-    def _learned(self, docs: DataFrame) -> np.ndarray:
+    def _learned(self, docs: DataFrame, tokens: int) -> np.ndarray:
         sc = self.spark.sparkContext
+        tasks = max(sc.defaultParallelism, tokens // LEARN_TOKENS)
         shared = sc.broadcast((self.weights, self.head, self.frequent))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +446,7 @@ class MaxEnt:
                     learn_step(w, seen, h, c, doc, cls, slot)
                     n += len(h)
             if n:
-                change, by = (w.flat - start).astype(np.float16), np.sqrt(seen.flat).astype(np.float16)
+                change, by = (w.flat - start).astype(np.float16), short(np.sqrt(seen.flat))
                 for k in range(0, SIZE, BLOCK):
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array([change[k : k + BLOCK].tobytes()]), pa.array([by[k : k + BLOCK].tobytes()])], names=["block", "change", "by"])
 
@@ -433,12 +462,12 @@ class MaxEnt:
                     if block is not None and k != block:
                         yield finished()
                         total = weight = 0.0
-                    block, square = k, np.frombuffer(by, dtype=np.float16).astype(np.float32) ** 2
+                    block, square = k, long(np.frombuffer(by, dtype=np.uint8)) ** 2
                     total, weight = total + square * np.frombuffer(change, dtype=np.float16), weight + square
             if block is not None:
                 yield finished()
 
-        rows = docs.select("text").mapInArrow(learn, "block int, change binary, by binary").repartition("block").sortWithinPartitions("block")
+        rows = docs.select("text").coalesce(tasks).mapInArrow(learn, "block int, change binary, by binary").repartition("block").sortWithinPartitions("block")
         new = self.weights.copy()
         for x in rows.mapInArrow(mean, "block int, change binary").toLocalIterator():  # the weights: a vector of fixed size
             new[x["block"] : x["block"] + BLOCK] += np.frombuffer(x["change"], dtype=np.float32)

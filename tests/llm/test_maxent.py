@@ -156,8 +156,8 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     w = M.Weights(rng.normal(size=M.SIZE).astype(np.float32))
     h, n, doc = np.array([5, 6, 7]), np.array([9, -1, 4]), np.zeros(3, dtype=np.int64)
-    total = sum(10 ** M.log_probability(w, h, n, doc, np.full(3, c), np.full(3, s)) for c in range(M.CLASSES) for s in range(M.SLOTS))
-    a, _ = M.context(h, n, doc, np.zeros(3, dtype=np.int64))
+    total = sum(10 ** M.log_probability(w, h, n, doc, np.full(3, c), np.full(3, s)) for c in range(M.CLASSES) for s in (0, *range(M.MEMBERS, M.PLACES)))
+    a, _, _ = M.context(h, n, doc, np.zeros(3, dtype=np.int64), np.zeros(3, dtype=np.int64))
     assert total == pytest.approx(1, rel=1e-4) and np.allclose(M.soft(w.c, w.cb, a).sum(axis=1), 1, atol=1e-5)
 
 
