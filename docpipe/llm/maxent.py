@@ -179,7 +179,7 @@ def soft(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndar
         x += table[k].take(rows[k], axis=0)
     np.minimum(x, 60, out=x)  # far above what weights reach
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+    x /= np.einsum("ij->i", x)[:, None]  # no product of matrices: its threads wait for one another
     return x
 
 
@@ -284,7 +284,7 @@ class Gate:
     def shares(self, features: np.ndarray, has: np.ndarray) -> np.ndarray:
         x = np.exp(self.weights)[features]
         x *= has
-        x /= (x @ np.ones(3, dtype=x.dtype))[:, None]
+        x /= np.einsum("ij->i", x)[:, None]
         return x
 
     def learn(self, features: np.ndarray, has: np.ndarray, inside: np.ndarray) -> None:
@@ -293,7 +293,7 @@ class Gate:
         for _ in range(SHARD_STEPS):
             p = self.shares(features, has)
             q = p * inside
-            q /= (q @ np.ones(3, dtype=q.dtype))[:, None]
+            q /= np.einsum("ij->i", q)[:, None]
             now = np.exp(self.weights)
             now /= now.sum(axis=1, keepdims=True)
             expected = total(p)
