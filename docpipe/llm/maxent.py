@@ -47,12 +47,12 @@ PLACES = SLOTS * MEMBERS
 FREQUENT = 300_000
 #: Tokens of a gradient step and of a scoring batch; the step's size; one of so many documents is in the first round.
 STEP_TOKENS, RATE, FIRST = 32_768, 0.5, 8
-#: Tokens that a task learns from, about: it sends as many weights on whatever it has read.
-LEARN_TOKENS = 20_000_000
+#: Tokens that a task learns from, at least and at most, about: it sends as many weights on whatever it has read.
+LEARN_TOKENS = 1_000_000, 20_000_000
 #: Texts split at once.
 CHUNK = 2_000
 #: Values of a block of weights on the way to the average.
-BLOCK = 4096
+BLOCK = 16_384
 #: Tokens of a shard of contexts, about; tokens that a task holds before it deals them; shares of a shard above which a word's contexts are parted.
 SHARD_TOKENS, DEALT_TOKENS, PARTED = 1_000_000, 500_000, 4
 #: Steps of a log10 probability on its way to a shard.
@@ -233,12 +233,12 @@ def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.
 
 
 def short(x: np.ndarray) -> np.ndarray:
-    """Numbers not below 0 in 8 bits, exponent and three places: those of a 16-bit number without sign and last places."""
-    return (x.astype(np.float16).view(np.uint16) >> np.uint16(7)).astype(np.uint8)
+    """Numbers in 8 bits: sign, exponent and the first two places of a 16-bit number, rounded."""
+    return ((x.astype(np.float16).view(np.uint16) + np.uint16(128)) >> np.uint16(8)).astype(np.uint8)
 
 
 def long(x: np.ndarray) -> np.ndarray:
-    return (x.astype(np.uint16) << np.uint16(7)).view(np.float16).astype(np.float32)
+    return (x.astype(np.uint16) << np.uint16(8)).view(np.float16).astype(np.float32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -435,7 +435,8 @@ class MaxEnt:
 
     def _learned(self, docs: DataFrame, tokens: int) -> np.ndarray:
         sc = self.spark.sparkContext
-        tasks = max(sc.defaultParallelism, tokens // LEARN_TOKENS)
+        least, most = LEARN_TOKENS
+        tasks = max(1, min(sc.defaultParallelism, tokens // least), tokens // most)
         shared = sc.broadcast((self.weights, self.head, self.frequent))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,9 +447,10 @@ class MaxEnt:
                     learn_step(w, seen, h, c, doc, cls, slot)
                     n += len(h)
             if n:
-                change, by = (w.flat - start).astype(np.float16), short(np.sqrt(seen.flat))
+                change, by = short(w.flat - start), short(np.sqrt(seen.flat))
                 for k in range(0, SIZE, BLOCK):
-                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([change[k : k + BLOCK].tobytes()]), pa.array([by[k : k + BLOCK].tobytes()])], names=["block", "change", "by"])
+                    _, size, blob = pack(k, change[k : k + BLOCK], by[k : k + BLOCK])
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([size], pa.int64()), pa.array([blob])], names=["block", "size", "blob"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A weight's changes count by the squared gradients that made them: tasks that never met a context leave it to those that did."""
@@ -458,16 +460,17 @@ class MaxEnt:
                 return pa.record_batch([pa.array([block], pa.int32()), pa.array([(total / np.maximum(weight, 1e-6)).astype(np.float32).tobytes()])], names=["block", "change"])
 
             for x in batches:
-                for k, change, by in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
+                for k, size, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
                     if block is not None and k != block:
                         yield finished()
                         total = weight = 0.0
-                    block, square = k, long(np.frombuffer(by, dtype=np.uint8)) ** 2
-                    total, weight = total + square * np.frombuffer(change, dtype=np.float16), weight + square
+                    change, by = map(long, unpack(blob, size, np.uint8, np.uint8))
+                    block, square = k, by**2
+                    total, weight = total + square * change, weight + square
             if block is not None:
                 yield finished()
 
-        rows = docs.select("text").coalesce(tasks).mapInArrow(learn, "block int, change binary, by binary").repartition("block").sortWithinPartitions("block")
+        rows = docs.select("text").coalesce(tasks).mapInArrow(learn, "block int, size long, blob binary").repartition("block").sortWithinPartitions("block")
         new = self.weights.copy()
         for x in rows.mapInArrow(mean, "block int, change binary").toLocalIterator():  # the weights: a vector of fixed size
             new[x["block"] : x["block"] + BLOCK] += np.frombuffer(x["change"], dtype=np.float32)
