@@ -47,6 +47,8 @@ PLACES = SLOTS * MEMBERS
 FREQUENT = 300_000
 #: Tokens of a gradient step and of a scoring batch; the step's size; one of so many documents is in the first round.
 STEP_TOKENS, RATE, FIRST = 32_768, 0.5, 8
+#: Rows of weights, or tokens, that are worked on at once.
+SLICE = 2_048
 #: Tokens of a row of weights in a step that are added one after the other; more are added in runs.
 FEW = 8
 #: Tokens that a task learns from, at least and at most, about: it sends as many weights on whatever it has read.
@@ -175,14 +177,35 @@ def context(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, plac
     return [mix(x, CLASS_ROWS) for x in (one, skip, both)], [mix(x + k, SLOT_ROWS) for x in (skip, one)], [mix(x + m, MEMBER_ROWS) for x in (skip, one)]
 
 
+def exponentials(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+    """(tokens, the exponentials of their sums of weights), for so many tokens at once that they stay near."""
+    more = np.empty((min(SLICE, len(rows[0])), table.shape[2]), dtype=table.dtype)
+    for low in range(0, len(rows[0]), SLICE):
+        at = slice(low, low + SLICE)
+        x = (bias if bias.ndim == 1 else bias[at]) + table[0].take(rows[0][at], axis=0)
+        for k in range(1, len(rows)):
+            x += table[k].take(rows[k][at], axis=0, out=more[: len(x)], mode="clip")
+        np.minimum(x, 60, out=x)  # far above what weights reach
+        yield at, np.exp(x, out=x)
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij->i", x)  # no product of matrices: its threads wait for one another
+
+
 def soft(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    x = bias + table[0].take(rows[0], axis=0)
-    for k in range(1, len(rows)):
-        x += table[k].take(rows[k], axis=0)
-    np.minimum(x, 60, out=x)  # far above what weights reach
-    np.exp(x, out=x)
-    x /= np.einsum("ij->i", x)[:, None]  # no product of matrices: its threads wait for one another
-    return x
+    out = np.empty((len(rows[0]), table.shape[2]), dtype=table.dtype)
+    for at, x in exponentials(table, bias, rows):
+        np.divide(x, row_sums(x)[:, None], out=out[at])
+    return out
+
+
+def soft_of(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """The softmax of each token's target alone."""
+    out = np.empty(len(target), dtype=table.dtype)
+    for at, x in exponentials(table, bias, rows):
+        np.divide(x[np.arange(len(x)), target[at]], row_sums(x), out=out[at])
+    return out
 
 
 def with_places(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[list, list, np.ndarray, list, np.ndarray]:
@@ -195,9 +218,8 @@ def with_places(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray,
 def log_probability(w: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's class and place."""
     a, b, own, m, slot = with_places(h, c, doc, cls, place)
-    at = np.arange(len(h))
-    p = (soft(w.c, w.cb, a)[at, cls] * soft(w.s, w.sb[cls], b)[at, place // MEMBERS]).astype(np.float64)
-    p[own] *= soft(w.m, w.mb[slot], m)[np.arange(len(own)), place[own] % MEMBERS]
+    p = (soft_of(w.c, w.cb, a, cls) * soft_of(w.s, w.sb[cls], b, place // MEMBERS)).astype(np.float64)
+    p[own] *= soft_of(w.m, w.mb[slot], m, place[own] % MEMBERS)
     return np.log10(np.maximum(p, 1e-30))
 
 
@@ -224,19 +246,22 @@ def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.
     """One adaptive gradient step on a batch. seen: the sums of squared gradients."""
 
     def step(x: np.ndarray, total: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-        r, s = summed(rows, g)
-        t = total[r]
-        t += s * s
-        total[r] = t
-        t += 1
-        np.sqrt(t, out=t)
-        s /= t
-        s *= RATE
-        x[r] += s
+        met, sums = summed(rows, g)
+        for low in range(0, len(met), SLICE):
+            r, s = met[low : low + SLICE], sums[low : low + SLICE]
+            t = total.take(r, axis=0)
+            t += s * s
+            total[r] = t
+            t += 1
+            np.sqrt(t, out=t)
+            s /= t
+            s *= RATE
+            x[r] += s
 
     def learn(x: np.ndarray, bias: np.ndarray, total: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
-        g = soft(x, bias, rows)
-        np.negative(g, out=g)
+        g = np.empty((len(target), x.shape[2]), dtype=x.dtype)
+        for at, y in exponentials(x, bias, rows):
+            np.divide(y, -row_sums(y)[:, None], out=g[at])
         g[np.arange(len(g)), target] += 1
         for k, r in enumerate(rows):
             step(x[k], total[k], r, g)
@@ -288,31 +313,35 @@ class Gate:
     def __init__(self):
         self.weights = np.tile(np.log(PRIOR), (RANGES * RANGES, 1))
 
-    def inputs(self, two, one, lasting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's features, which classes it has, and its word's probability in each class."""
+    def inputs(self, two, one, lasting) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each token's features, and its word's probability in each class."""
         features = ranges(two[1], two[2]) * RANGES + ranges(one[1], one[2])
-        has, inside = np.ones((len(lasting), 3), dtype=bool), np.empty((len(lasting), 3), dtype=np.float32)
-        has[:, 0], has[:, 1] = two[1] > 0, one[1] > 0
-        inside[:, 0], inside[:, 1], inside[:, 2] = two[0] / np.maximum(two[1], 1), one[0] / np.maximum(one[1], 1), lasting
-        return features, has, inside
-
-    def shares(self, features: np.ndarray, has: np.ndarray) -> np.ndarray:
-        x = np.exp(self.weights)[features]
-        x *= has
-        x /= np.einsum("ij->i", x)[:, None]
-        return x
-
-    def learn(self, features: np.ndarray, has: np.ndarray, inside: np.ndarray) -> None:
+        return features, [(two[0] / np.maximum(two[1], 1)).astype(np.float32), (one[0] / np.maximum(one[1], 1)).astype(np.float32), lasting.astype(np.float32)]
+
+    def shares(self) -> np.ndarray:
+        """The classes' shares for all features; a context that was never met, whose range is one of the first four, has no class."""
+        x = np.exp(self.weights)
+        two, one = np.divmod(np.arange(len(x)), RANGES)
+        x[two < 4, 0] = 0
+        x[one < 4, 1] = 0
+        return x / x.sum(axis=1, keepdims=True)
+
+    def parts(self, features: np.ndarray, inside: list[np.ndarray]) -> list[np.ndarray]:
+        """Each token's probability by way of each class."""
+        return [p.take(features) * x for p, x in zip(np.ascontiguousarray(self.shares().T), inside, strict=True)]
+
+    def learn(self, features: np.ndarray, inside: list[np.ndarray]) -> None:
         """Gradient steps, each weight's as long as its class is rare: by the tokens that the softmax expects in it."""
-        total = lambda x: np.stack([np.bincount(features, x[:, k], len(self.weights)) for k in range(3)], axis=1)
+        n = np.bincount(features, minlength=len(self.weights))
         for _ in range(SHARD_STEPS):
-            p = self.shares(features, has)
-            q = p * inside
-            q /= np.einsum("ij->i", q)[:, None]
+            two, one, lasting = self.parts(features, inside)
+            lasting += two
+            lasting += one
+            found = [np.bincount(features, x / lasting, len(n)) for x in (two, one)]
             now = np.exp(self.weights)
             now /= now.sum(axis=1, keepdims=True)
-            expected = total(p)
-            up = total(q) - expected + PRIOR_TOKENS * (PRIOR - now)
+            expected = self.shares() * n[:, None]
+            up = np.stack([*found, n - found[0] - found[1]], axis=1) - expected + PRIOR_TOKENS * (PRIOR - now)
             self.weights = (self.weights + up / (expected + PRIOR_TOKENS * now)).astype(np.float32)
 
 
@@ -322,8 +351,8 @@ def in_context(two: np.ndarray, one: np.ndarray, word: np.ndarray, lasting: np.n
     if learn.any():
         without = [(n[learn] - 1, total[learn] - 1, kinds[learn] - (n[learn] == 1)) for n, total, kinds in seen]
         gate.learn(*gate.inputs(*without, lasting[learn]))
-    features, has, inside = gate.inputs(*seen, lasting)
-    return np.log10((gate.shares(features, has) * inside).sum(axis=1, dtype=np.float64))
+    two, one, lasting = gate.parts(*gate.inputs(*seen, lasting))
+    return np.log10(two.astype(np.float64) + one + lasting)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -376,6 +405,15 @@ def unpack(blob: bytes, size: int, *types: type) -> list[np.ndarray]:
     return out
 
 
+def by_frequency(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, the most frequent first, and each one's place there: these pack well."""
+    known, place = np.unique(x, return_inverse=True)
+    order = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
+    at = np.empty(len(order), dtype=np.uint32)
+    at[order] = np.arange(len(order), dtype=np.uint32)
+    return known[order], at[place]
+
+
 def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ends and bytes of words."""
     at = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
@@ -387,6 +425,12 @@ def binary(ends: np.ndarray, raw: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[np.int32(0), ends].astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
+def looked_up(asked: list[pa.Array], words: pa.Array, n: np.ndarray) -> list[np.ndarray]:
+    """The counts of each list's words, 0 if not among words; all lists at once, since a look-up goes through all of words first."""
+    at = pc.fill_null(pc.index_in(pa.concat_arrays(asked), value_set=words), len(words)).to_numpy()
+    return np.split(np.append(n, 0)[at], np.cumsum([len(x) for x in asked])[:-1])
+
+
 class MaxEnt:
     """A model of training documents (doc_id, text)."""
 
@@ -573,8 +617,10 @@ class MaxEnt:
             fine = np.clip(np.rint(-lp * FINE), 0, 65_535).astype(np.uint16)
             out = []
             for k, r in by_shard(shard, shards):
-                d, size = np.unique(doc[r], return_counts=True)
-                out.append(pack(k, uids[d], size.astype(np.uint32), learn[d].astype(np.uint8), planes(two[r], 3), one[r], planes(word[r], 3), planes(fine[r], 2)))
+                first = np.flatnonzero(np.r_[True, doc[r[1:]] != doc[r[:-1]]])
+                d, size = doc[r[first]], np.diff(np.r_[first, len(r)])
+                known, at = by_frequency(one[r])
+                out.append(pack(k, planes((uids[d] - uids[0]).astype(np.uint32), 4), planes(size.astype(np.uint32), 4), learn[d].astype(np.uint8), planes(two[r], 3), known, planes(at, 4), planes(word[r], 3), planes(fine[r], 2)))
             return out
 
         def word_blobs(others: list[tuple]) -> list[tuple[int, int, bytes]]:
@@ -593,24 +639,23 @@ class MaxEnt:
             def finished() -> Iterator[pa.RecordBatch]:
                 out = []
                 if CONTEXTS in held:
-                    parts = [unpack(blob, size, np.int64, np.uint32, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8) for _, blob, size in held[CONTEXTS]]
-                    one = np.concatenate([y[4] for y in parts])
-                    two, word, fine = (np.concatenate([whole(y[k], width) for y in parts]) for k, width in ((3, 3), (5, 3), (6, 2)))
+                    parts = [unpack(blob, size, np.uint8, np.uint8, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8, np.uint8) for _, blob, size in held[CONTEXTS]]
+                    sizes = [whole(y[1], 4).astype(np.int64) for y in parts]
+                    one = np.concatenate([y[4][whole(y[5], 4)] for y in parts])
+                    two, word, fine = (np.concatenate([whole(y[k], width) for y in parts]) for k, width in ((3, 3), (6, 3), (7, 2)))
                     two = (mixed((one.astype(np.uint64) << np.uint64(24)) | two) >> np.uint64(32)).astype(np.uint32)
-                    learn = np.concatenate([np.repeat(y[2].astype(bool), y[1]) for y in parts])
+                    learn = np.concatenate([np.repeat(y[2].astype(bool), size) for y, size in zip(parts, sizes, strict=True)])
                     lp, at = in_context(two, one, word, 10.0 ** (fine / -float(FINE)), learn), 0
-                    for (place, _, _), y in zip(held[CONTEXTS], parts, strict=True):
-                        size = y[1].astype(np.int64)
+                    for (place, _, _), y, size in zip(held[CONTEXTS], parts, sizes, strict=True):
                         sums = np.add.reduceat(lp[at : at + size.sum()], np.r_[0, size.cumsum()[:-1]])
                         at += size.sum()
-                        out.append((place, *pack(LP, y[0], sums.astype(np.float32))))
+                        out.append((place, *pack(LP, y[0], planes(sums.astype(np.float32).view(np.uint32), 4))))
                 if WORDS in held:
                     known = [unpack(blob, size, np.int64, np.int32, np.uint8) for _, blob, size in held.get(COUNTS_OF_OTHERS, [])]
-                    n = np.r_[np.concatenate([np.empty(0, dtype=np.int64), *[y[0] for y in known]]), 0]
+                    n = np.concatenate([np.empty(0, dtype=np.int64), *[y[0] for y in known]])
                     words = pa.concat_arrays([pa.array([], pa.binary()), *[binary(y[1], y[2]) for y in known]])
-                    for place, blob, size in held[WORDS]:
-                        uid, tf, ends, text = unpack(blob, size, np.int64, np.uint32, np.int32, np.uint8)
-                        c = n[pc.fill_null(pc.index_in(binary(ends, text), value_set=words), len(words)).to_numpy()]
+                    asked = [unpack(blob, size, np.int64, np.uint32, np.int32, np.uint8) for _, blob, size in held[WORDS]]
+                    for (place, _, _), (uid, tf, _, _), c in zip(held[WORDS], asked, looked_up([binary(y[2], y[3]) for y in asked], words, n), strict=True):
                         own, at = np.unique(uid, return_inverse=True)
                         out.append((place, *pack(SUMS, own, np.bincount(at, tf * np.log10(c + 1.0), len(own)), np.bincount(at, tf * (c > 0), len(own)).astype(np.int64))))
                 if out:
@@ -646,8 +691,11 @@ class MaxEnt:
                 uid = x["uid"].to_numpy()
                 lp, n_known, more = np.zeros(len(uid)), x["n_known"].to_numpy().copy(), x["base"].to_numpy().copy()
                 for what, blob, size in sums:
-                    kinds = (np.int64, np.float32) if what == LP else (np.int64, np.float64, np.int64)
-                    u, *values = unpack(blob, size, *kinds)
+                    if what == LP:
+                        u, sum_of = (whole(y, 4) for y in unpack(blob, size, np.uint8, np.uint8))
+                        u, values = now + u.astype(np.int64), [sum_of.view(np.float32)]
+                    else:
+                        u, *values = unpack(blob, size, np.int64, np.float64, np.int64)
                     at = np.minimum(np.searchsorted(uid, u), len(uid) - 1)
                     fits = uid[at] == u
                     for target, value in zip((lp,) if what == LP else (more, n_known), values, strict=True):

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from docpipe.llm import maxent as M
@@ -161,6 +162,38 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, rel=1e-4) and np.allclose(M.soft(w.c, w.cb, a).sum(axis=1), 1, atol=1e-5)
 
 
+def test_gradients_are_summed_by_row():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 9, 3_000):
+        rows = np.r_[np.minimum(r.zipf(1.5, n), 70_000), r.integers(0, 900, n)].astype(np.int64)
+        g = r.normal(size=(2 * n, 16)).astype(np.float32)
+        met, sums = M.summed(rows, g)
+        want = np.zeros((70_001, 16))
+        np.add.at(want, rows, g)
+        assert met.tolist() == np.unique(rows).tolist() and np.allclose(sums, want[met], atol=1e-3)
+
+
+def test_words_of_a_shard_are_looked_up_once(monkeypatch):
+    calls = []
+
+    class Counting:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(pc, name)
+
+    monkeypatch.setattr(M, "pc", Counting())
+    lists = [pa.array(x, pa.binary()) for x in ([b"a", b"z"], [], [b"b", b"", b"a"])]
+    got = M.looked_up(lists, pa.array([b"b", b"a", b""], pa.binary()), np.array([5, 7, 9]))
+    assert [x.tolist() for x in got] == [[7, 0], [], [5, 9, 7]] and calls.count("index_in") == 1
+
+
+def test_contexts_in_few_bytes():
+    x = np.array([7, 7, 1 << 31, 3, 7, 3], dtype=np.uint32)
+    known, at = M.by_frequency(x)
+    assert known.tolist() == [7, 3, 1 << 31] and known[at].tolist() == x.tolist()
+    assert M.whole(M.planes(x, 4), 4).tolist() == x.tolist()
+
+
 def test_split_matches_python():
     texts = ["", None, " A b\x0bC\x0c ", "É é\x1cx", "x  y\n"]
     full, sizes = M.split(pa.array(texts))
