@@ -13,16 +13,20 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docpipe.functions import text as T
+from docpipe.sources.tables import give_back, text_batches
 
 RESULT = "markdown string, warnings array<string>, status string, error string"
 SKIPPED = ("script", "style", "title", "noscript", "template")
 BLOCK = ("p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "body", "blockquote", "figure", "form", "dl", "dd", "dt")
 #: Limits of an archive: members, bytes of Markdown, of an asset, in all; parts of a web archive.
 MOST_MEMBERS, MOST_MARKDOWN, MOST_ASSET, MOST_TOTAL, MOST_PARTS = 20_000, 64 << 20, 128 << 20, 512 << 20, 10_000
+#: Rows that a task makes at once.
+ROWS = 250
 
 
 class Markdown(HTMLParser):
@@ -245,37 +249,58 @@ def chunks(text: str, first: int = 4096, rest: int = 8192, most: int = 65_536) -
     return out, at < len(raw)
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch], rows: Callable[[list], list[tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Of batches (key, content, ...): rows gives (place, values) of some contents, which come out with the key of their place. Memory is given back after each batch."""
+    for x in batches:
+        for low in range(0, x.num_rows, ROWS):
+            part = x.slice(low, ROWS)
+            out = rows([y.to_pylist() for y in part.columns[1:]])
+            if out:
+                columns = list(zip(*out, strict=True))
+                keys = part.column(0).take(pa.array(columns[0], pa.int32()))
+                yield pa.record_batch([keys, *[pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)]], names=names)
+        del x
+        give_back()
+
+
 def converted(docs: DataFrame, convert: Callable[[object], tuple[str, list[str]]], content: str, key: str = "doc_id") -> DataFrame:
     """Rows (key, markdown, warnings, status, error); blank Markdown is an error."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for k, raw in zip(x[key], x[content], strict=True):
-                try:
-                    text, warnings = convert(raw) if raw is not None else ("", [])
-                    error = None if text.strip() else "empty result"
-                    out.append((k, text if error is None else None, warnings, "converted" if error is None else "failed", error))
-                except Exception as e:  # a document, not the job
-                    out.append((k, None, [], "failed", str(e)[:500]))
-            yield pd.DataFrame(out, columns=[key, "markdown", "warnings", "status", "error"])
+    def rows(columns: list[list]) -> list[tuple]:
+        out = []
+        for k, raw in enumerate(columns[0]):
+            try:
+                text, warnings = convert(raw) if raw is not None else ("", [])
+                error = None if text.strip() else "empty result"
+                out.append((k, text if error is None else None, warnings, "converted" if error is None else "failed", error))
+            except Exception as e:  # a document, not the job
+                out.append((k, None, [], "failed", str(e)[:500]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from few_at_once(batches, rows, [key, "markdown", "warnings", "status", "error"], [pa.string(), pa.list_(pa.string()), pa.string(), pa.string()])
 
-    return docs.select(key, content).mapInPandas(run, f"{key} {kind}, {RESULT}")
+    text_batches(docs.sparkSession)
+    return docs.select(key, content).mapInArrow(run, f"{key} {kind}, {RESULT}")
 
 
 def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, chunk, piece, last, truncated) of docs."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for k, t in zip(x[key], x[text], strict=True):
-                pieces, more = chunks(t or "")
-                if pieces:
-                    yield pd.DataFrame({key: k, "chunk": range(len(pieces)), "piece": pieces, "last": [i == len(pieces) - 1 for i in range(len(pieces))], "truncated": more})
+    def rows(columns: list[list]) -> list[tuple]:
+        out = []
+        for k, t in enumerate(columns[0]):
+            pieces, more = chunks(t or "")
+            out += [(k, i, piece, i == len(pieces) - 1, more) for i, piece in enumerate(pieces)]
+        return out
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk int, piece string, last boolean, truncated boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from few_at_once(batches, rows, [key, "chunk", "piece", "last", "truncated"], [pa.int32(), pa.string(), pa.bool_(), pa.bool_()])
+
+    text_batches(docs.sparkSession)
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk int, piece string, last boolean, truncated boolean")
 
 
 def merge_categories(text: str, categories: list[str], key: str = "categories") -> str:
@@ -363,17 +388,20 @@ def categorized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs (key, text, categories array) with text carrying its categories; rows (key, markdown, error)."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for k, t, cs in zip(x[key], x["text"], x["categories"], strict=True):
-                try:
-                    out.append((k, merge_categories(t or "", list(cs)), None))
-                except Exception as e:  # a document, not the job
-                    out.append((k, None, str(e)[:500]))
-            yield pd.DataFrame(out, columns=[key, "markdown", "error"])
-
-    return docs.select(key, "text", "categories").mapInPandas(run, f"{key} {kind}, markdown string, error string")
+    def rows(columns: list[list]) -> list[tuple]:
+        out = []
+        for k, (t, cs) in enumerate(zip(*columns, strict=True)):
+            try:
+                out.append((k, merge_categories(t or "", list(cs)), None))
+            except Exception as e:  # a document, not the job
+                out.append((k, None, str(e)[:500]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from few_at_once(batches, rows, [key, "markdown", "error"], [pa.string(), pa.string()])
+
+    text_batches(docs.sparkSession)
+    return docs.select(key, "text", "categories").mapInArrow(run, f"{key} {kind}, markdown string, error string")
 
 
 def with_scores(docs: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

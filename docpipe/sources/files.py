@@ -13,7 +13,7 @@ from docpipe.functions import paths as P
 from docpipe.functions import text as T
 from docpipe.operators import convert as V
 from docpipe.sources.listing import listed
-from docpipe.sources.tables import folders, removed, written
+from docpipe.sources.tables import folders, removed, text_batches, written
 
 
 def scan_files(spark: SparkSession, root: str, enabled: Sequence[str] | None = None) -> DataFrame:
@@ -82,6 +82,7 @@ def unpack_result_archives(files: DataFrame) -> DataFrame:
                     rows = [(path, None, None, None, str(e)[:500])]
                 yield pd.DataFrame(rows, columns=["path", "member", "markdown", "bytes", "error"])
 
+    text_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, member string, markdown string, bytes binary, error string")
 
 

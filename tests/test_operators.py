@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,19 @@ def test_categories_keep_comments():
         V.merge_categories("---\n- a\n---\n", ["a"])
 
 
+def test_conversions_hold_few_rows(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(1, "<p>a</p>", ["x"])], "doc_id long, text string, categories array<string>")
+    for step in (V.chunked, V.categorized, lambda x: V.converted(x, lambda t: (t, []), "text")):
+        spark.conf.set(key, "10000")
+        assert step(df).count() == 1 and int(spark.conf.get(key)) <= 1_000
+    asked = []
+    monkeypatch.setattr(V, "ROWS", 3)
+    batch = pa.record_batch([pa.array(range(10, 18)), pa.array(["a", None, "b", "c", "", "d", "e", "f"])], names=["k", "t"])
+    out = list(V.few_at_once(iter([batch, batch.slice(0, 0)]), lambda x: asked.append(len(x[0])) or [(i, t) for i, t in enumerate(x[0]) if t for _ in range(2)], ["k", "t"], [pa.string()]))
+    assert asked == [3, 3, 2] and [(k, t) for x in out for k, t in zip(x["k"].to_pylist(), x["t"].to_pylist())] == [(k, t) for k, t in zip(range(10, 18), "a.bc.def") if t != "." for _ in range(2)]
+
+
 def test_chunks():
     pieces, more = V.chunks("é" * 3000)
     assert "".join(pieces) == "é" * 3000 and not more and len(pieces[0].encode()) == 4096
