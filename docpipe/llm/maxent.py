@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +49,20 @@ FREQUENT = 300_000
 STEP_TOKENS, RATE, FIRST = 32_768, 0.5, 8
 #: Rows of weights, or tokens, that are worked on at once.
 SLICE = 2_048
-#: Tokens of a row of weights in a step that are added one after the other; more are added in runs.
-FEW = 8
 #: Tokens that a task learns from, at least and at most, about: it sends as many weights on whatever it has read.
 LEARN_TOKENS = 1_000_000, 20_000_000
+#: Tokens of a row of weights in a step from which on they are added on their own.
+MANY = 64
+#: A feature's weight up to which the products of exponentials fit into 32 bits, whatever the bias: it is -30 at least.
+LARGE = 17
 #: Texts split at once.
 CHUNK = 2_000
 #: Values of a block of weights on the way to the average.
 BLOCK = 16_384
 #: Tokens of a shard of contexts, about; tokens that a task holds before it deals them; shares of a shard above which a word's contexts are parted.
 SHARD_TOKENS, DEALT_TOKENS, PARTED = 1_000_000, 500_000, 4
+#: Tokens that a task holds for each shard, about, if these are more: a shard's share of them is packed at a time, and takes as long however small. Tokens and texts held at most.
+SHARE_TOKENS, DEALT_MOST = 1_000, (4_000_000, 20_000)
 #: Steps of a log10 probability on its way to a shard.
 FINE = 512
 #: Ranges of a context's numbers; gradient steps of a shard's softmax; the prior of its classes, as so many tokens.
@@ -85,9 +89,30 @@ class Weights:
     """Views of one vector: features and bias of classes, slots and members."""
 
     def __init__(self, flat: np.ndarray):
-        self.flat = flat
+        self.flat, self.room = flat, Room()
         self.c, self.cb, self.s, self.sb, self.m, self.mb = (x.reshape(shape) for x, shape in zip(np.split(flat, SPLIT[:-1]), SHAPES, strict=True))
 
+    @cached_property
+    def factors(self) -> Weights | None:
+        """The exponentials of weights that learn no more, the classes' bias in those of the first feature; None if products of them may not fit."""
+        if max(np.abs(x).max() for x in (self.c, self.s, self.m)) > LARGE:
+            return None
+        out = Weights(np.exp(self.flat))
+        out.c[0] *= out.cb
+        return out
+
+
+class Room:
+    """Memory of a step that the next one takes again: fetching it from the system for each array costs as much as the sums in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, rows: int, columns: int) -> np.ndarray:
+        if name not in self.held or self.held[name].size < rows * columns:
+            self.held[name] = np.empty(rows * columns, dtype=np.float32)
+        return self.held[name][: rows * columns].reshape(rows, columns)
+
 
 @cache
 def class_table() -> np.ndarray:
@@ -171,21 +196,24 @@ def context(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, plac
     one[1:] = np.where(doc[1:] == doc[:-1], h[:-1], 0)
     two[2:] = np.where(doc[2:] == doc[:-2], h[:-2], 0)
     both = one * np.uint64(0xC2B2AE3D27D4EB4F) + two + np.uint64(1 << 35)
-    mix = lambda x, rows: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % rows
+    mix = lambda x, rows: (((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(rows - 1)).astype(np.int64)
     k = cls.astype(np.uint64) << np.uint64(36)
     m = (cls * SLOTS + place // MEMBERS).astype(np.uint64) << np.uint64(36)
     return [mix(x, CLASS_ROWS) for x in (one, skip, both)], [mix(x + k, SLOT_ROWS) for x in (skip, one)], [mix(x + m, MEMBER_ROWS) for x in (skip, one)]
 
 
-def exponentials(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
-    """(tokens, the exponentials of their sums of weights), for so many tokens at once that they stay near."""
-    more = np.empty((min(SLICE, len(rows[0])), table.shape[2]), dtype=table.dtype)
+def exponentials(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], bias_rows: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray]]:
+    """(tokens, the exponentials of their sums of weights), for so many tokens at once that they stay near. The next ones take the same memory."""
+    held = np.empty((2, min(SLICE, len(rows[0])), table.shape[2]), dtype=table.dtype)
     for low in range(0, len(rows[0]), SLICE):
         at = slice(low, low + SLICE)
-        x = (bias if bias.ndim == 1 else bias[at]) + table[0].take(rows[0][at], axis=0)
+        x, more = held[:, : len(rows[0][at])]
+        table[0].take(rows[0][at], axis=0, out=x, mode="clip")
+        x += bias if bias_rows is None else bias.take(bias_rows[at], axis=0, out=more, mode="clip")
         for k in range(1, len(rows)):
-            x += table[k].take(rows[k][at], axis=0, out=more[: len(x)], mode="clip")
-        np.minimum(x, 60, out=x)  # far above what weights reach
+            x += table[k].take(rows[k][at], axis=0, out=more, mode="clip")
+        if x.max() > 60:  # far above what weights reach
+            np.minimum(x, 60, out=x)
         yield at, np.exp(x, out=x)
 
 
@@ -200,14 +228,32 @@ def soft(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndar
     return out
 
 
-def soft_of(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+def soft_of(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray, bias_rows: np.ndarray | None = None) -> np.ndarray:
     """The softmax of each token's target alone."""
     out = np.empty(len(target), dtype=table.dtype)
-    for at, x in exponentials(table, bias, rows):
+    for at, x in exponentials(table, bias, rows, bias_rows):
         np.divide(x[np.arange(len(x)), target[at]], row_sums(x), out=out[at])
     return out
 
 
+def soft_by_factors(tables: list[np.ndarray], rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """The same from the exponentials of weights: of each table, two or more, one row is a factor."""
+    n = len(target)
+    out, each = np.empty(n, dtype=tables[0].dtype), np.arange(min(SLICE, n))
+    held = np.empty((2, len(each), tables[0].shape[1]), dtype=tables[0].dtype)
+    for low in range(0, n, SLICE):
+        t = target[low : low + SLICE]
+        at, (x, y) = slice(low, low + len(t)), held[:, : len(t)]
+        tables[0].take(rows[0][at], axis=0, out=x, mode="clip")
+        for k in range(1, len(rows)):
+            tables[k].take(rows[k][at], axis=0, out=y, mode="clip")
+            if k < len(rows) - 1:
+                x *= y
+        k = each[: len(t)]
+        np.divide(x[k, t] * y[k, t], np.einsum("ij,ij->i", x, y), out=out[at])
+    return out
+
+
 def with_places(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[list, list, np.ndarray, list, np.ndarray]:
     """Rows for classes and for slots; the tokens with a place of their own, their rows for members and their slots among all."""
     a, b, m = context(h, c, doc, cls, place)
@@ -218,49 +264,75 @@ def with_places(h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray,
 def log_probability(w: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's class and place."""
     a, b, own, m, slot = with_places(h, c, doc, cls, place)
-    p = (soft_of(w.c, w.cb, a, cls) * soft_of(w.s, w.sb[cls], b, place // MEMBERS)).astype(np.float64)
-    p[own] *= soft_of(w.m, w.mb[slot], m, place[own] % MEMBERS)
+    in_slot, member, e = place // MEMBERS, place[own] % MEMBERS, w.factors
+    if e is None:
+        p = (soft_of(w.c, w.cb, a, cls) * soft_of(w.s, w.sb, b, in_slot, cls)).astype(np.float64)
+        p[own] *= soft_of(w.m, w.mb, m, member, slot)
+    else:
+        p = (soft_by_factors([*e.c], a, cls) * soft_by_factors([*e.s, e.sb], [*b, cls], in_slot)).astype(np.float64)
+        p[own] *= soft_by_factors([*e.m, e.mb], [*m, slot], member)
     return np.log10(np.maximum(p, 1e-30))
 
 
-def summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, in order, and the sum of g's over each: rows with few by their first, their second and so on, the others in runs.
+def put(x: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """x[rows] = values, each row of x as one item."""
+    item = np.dtype((np.void, x.strides[0]))
+    np.put(x.reshape(-1).view(item), rows, np.ascontiguousarray(values).reshape(-1).view(item))
+
 
-    np.add.at adds the same one by one, and takes 3 or 30 ns for each as it happens.
+def summed(rows: np.ndarray, g: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, in order, and the sum of g's over each: of rows with many, each on its own; of the others the second g's, then the third ones.
+
+    np.add.at and np.add.reduceat add the same one by one, and take up to 30 or 100 ns for each. The sums are in room.
     """
-    order = np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 65_536 else rows, kind="stable")
+    room, d = room or Room(), g.shape[1]
+    if len(rows) and rows.max() < 65_536:
+        rows = rows.astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
     met = rows[order]
-    first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]][: len(met)])
-    size = np.diff(np.r_[first, len(met)])
-    out = g.take(order[first], axis=0)
-    for k in range(1, FEW):
-        at = np.flatnonzero((size > k) & (size <= FEW))
-        out[at] += g.take(order[first[at] + k], axis=0)
-    many = np.flatnonzero(size > FEW)
-    if len(many):
-        out[many] = np.add.reduceat(g.take(order[np.repeat(size > FEW, size)], axis=0), np.r_[0, size[many].cumsum()[:-1]], axis=0)
-    return met[first], out
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(met)), dtype=bool), met[1:] != met[:-1]]))
+    size = np.diff(first, append=len(met))
+    out = g.take(order[first], axis=0, out=room.of("sums", len(first), d), mode="clip")
+    more = np.flatnonzero(size > 1)
+    more = more[np.argsort(-np.minimum(size[more], MANY).astype(np.int16), kind="stable")]
+    start, ends = first[more], np.searchsorted(-size[more].clip(max=MANY), -np.arange(MANY + 1), side="right")  # how many rows have k g's or more
+    many = int(ends[MANY])
+    for k in range(many):
+        r = order[start[k] : start[k] + size[more[k]]]
+        np.add.reduce(g.take(r, axis=0, out=room.of("others", len(r), d), mode="clip"), axis=0, out=out[more[k]])
+    more, start = more[many:], start[many:]
+    x = out.take(more, axis=0, out=room.of("few", len(more), d), mode="clip")
+    for k in range(1, MANY - 1):
+        n = int(ends[k + 1]) - many
+        if not n:
+            break
+        x[:n] += g.take(order[start[:n] + k], axis=0, out=room.of("others", n, d), mode="clip")
+    put(out, more, x)
+    return met[first].astype(np.int64), out
 
 
 def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.ndarray, cls: np.ndarray, place: np.ndarray) -> None:
     """One adaptive gradient step on a batch. seen: the sums of squared gradients."""
+    room = seen.room
 
     def step(x: np.ndarray, total: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-        met, sums = summed(rows, g)
+        met, sums = summed(rows, g, room)
         for low in range(0, len(met), SLICE):
             r, s = met[low : low + SLICE], sums[low : low + SLICE]
-            t = total.take(r, axis=0)
-            t += s * s
-            total[r] = t
+            t, y = (room.of(name, *s.shape) for name in ("total", "other"))
+            total.take(r, axis=0, out=t, mode="clip")
+            t += np.multiply(s, s, out=y)
+            put(total, r, t)
             t += 1
             np.sqrt(t, out=t)
             s /= t
             s *= RATE
-            x[r] += s
+            s += x.take(r, axis=0, out=y, mode="clip")
+            put(x, r, s)
 
-    def learn(x: np.ndarray, bias: np.ndarray, total: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
-        g = np.empty((len(target), x.shape[2]), dtype=x.dtype)
-        for at, y in exponentials(x, bias, rows):
+    def learn(x: np.ndarray, bias: np.ndarray, total: np.ndarray, rows: list[np.ndarray], target: np.ndarray, bias_rows: np.ndarray | None = None) -> None:
+        g = room.of("gradients", len(target), x.shape[2])
+        for at, y in exponentials(x, bias, rows, bias_rows):
             np.divide(y, -row_sums(y)[:, None], out=g[at])
         g[np.arange(len(g)), target] += 1
         for k, r in enumerate(rows):
@@ -268,8 +340,8 @@ def learn_step(w: Weights, seen: Weights, h: np.ndarray, c: np.ndarray, doc: np.
 
     a, b, own, m, slot = with_places(h, c, doc, cls, place)
     learn(w.c, w.cb, seen.c, a, cls)
-    learn(w.s, w.sb[cls], seen.s, b, place // MEMBERS)
-    learn(w.m, w.mb[slot], seen.m, m, place[own] % MEMBERS)
+    learn(w.s, w.sb, seen.s, b, place // MEMBERS, cls)
+    learn(w.m, w.mb, seen.m, m, place[own] % MEMBERS, slot)
 
 
 def short(x: np.ndarray) -> np.ndarray:
@@ -286,25 +358,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def came_after(context: np.ndarray, word: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: how often its word came after its context in training, of how many, and how many different words did."""
+def ranges(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The range of a context's numbers: by powers of two up to 16, and by the share of different words."""
+    size = (total > 0).astype(np.int16) + (total > 1) + (total > 2) + (total > 4) + (total > 8)
+    return size * np.int16(4) + np.where(kinds <= 1, np.int16(0), np.int16(1) + (10 * kinds >= 3 * total) + (10 * kinds >= 8 * total))
+
+
+def came_after(context: np.ndarray, word: np.ndarray, learn: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The range of each token's context, and its word's share of what came after that in training; and both for each training token without itself.
+
+    The numbers are those of pairs of a context and a word, of which there are fewer than tokens: how often the word came after
+    the context in training, of how many, and how many different words did.
+    """
     key = (context.astype(np.uint64) << np.uint64(32)) | word
     order = np.argsort(key)
     key = key[order]
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    times = np.add.reduceat(learn[order].astype(np.int32), head)
+    n = np.add.reduceat(learn[order].astype(np.int32), head)
     ctx = key[head] >> np.uint64(32)
     top = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-    of = np.repeat(np.arange(len(top), dtype=np.int32), np.diff(np.r_[top, len(head)]))
-    pair = np.empty(len(key), dtype=np.int32)
-    pair[order] = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.r_[head, len(key)]))
-    return times[pair], np.add.reduceat(times, top)[of][pair], np.add.reduceat((times > 0).astype(np.int32), top)[of][pair]
-
+    words, tokens = np.diff(np.r_[top, len(head)]), np.diff(np.r_[head, len(key)])
+    total, kinds = np.add.reduceat(n, top), np.add.reduceat((n > 0).astype(np.int32), top)
+    each = lambda x: np.repeat(x, words)
+    all_of = each(total)
+
+    def back(x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), dtype=x.dtype)
+        out[order] = np.repeat(x, tokens)
+        return out
 
-def ranges(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """The range of a context's numbers: by powers of two up to 16, and by the share of different words."""
-    size = (total > 0).astype(np.int32) + (total > 1) + (total > 2) + (total > 4) + (total > 8)
-    return size * 4 + np.where(kinds <= 1, 0, 1 + (10 * kinds >= 3 * total) + (10 * kinds >= 8 * total))
+    share = lambda n, total: (n / np.maximum(total, 1)).astype(np.float32)
+    without = np.where(n == 1, each(ranges(total - 1, kinds - 1)), each(ranges(total - 1, kinds)))
+    return (back(each(ranges(total, kinds))), back(share(n, all_of))), (back(without)[learn], back(share(n - 1, all_of - 1))[learn])
 
 
 class Gate:
@@ -314,9 +399,8 @@ class Gate:
         self.weights = np.tile(np.log(PRIOR), (RANGES * RANGES, 1))
 
     def inputs(self, two, one, lasting) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each token's features, and its word's probability in each class."""
-        features = ranges(two[1], two[2]) * RANGES + ranges(one[1], one[2])
-        return features, [(two[0] / np.maximum(two[1], 1)).astype(np.float32), (one[0] / np.maximum(one[1], 1)).astype(np.float32), lasting.astype(np.float32)]
+        """Each token's features, and its word's probability in each class. two, one: ranges and shares after the contexts."""
+        return two[0].astype(np.int64) * RANGES + one[0], [two[1], one[1], lasting.astype(np.float32)]
 
     def shares(self) -> np.ndarray:
         """The classes' shares for all features; a context that was never met, whose range is one of the first four, has no class."""
@@ -347,9 +431,8 @@ class Gate:
 
 def in_context(two: np.ndarray, one: np.ndarray, word: np.ndarray, lasting: np.ndarray, learn: np.ndarray) -> np.ndarray:
     """log10 probabilities of a shard's tokens. two, one: hashes of the two words before and of the one; lasting: probabilities by the lasting classes."""
-    gate, seen = Gate(), [came_after(two, word, learn), came_after(one, word, learn)]
+    gate, (seen, without) = Gate(), zip(came_after(two, word, learn), came_after(one, word, learn), strict=True)
     if learn.any():
-        without = [(n[learn] - 1, total[learn] - 1, kinds[learn] - (n[learn] == 1)) for n, total, kinds in seen]
         gate.learn(*gate.inputs(*without, lasting[learn]))
     two, one, lasting = gate.parts(*gate.inputs(*seen, lasting))
     return np.log10(two.astype(np.float64) + one + lasting)
@@ -373,6 +456,11 @@ def counts(docs: DataFrame) -> DataFrame:
 OWN, CONTEXTS, WORDS, COUNTS_OF_OTHERS, LP, SUMS = range(6)
 
 
+def held_tokens(shards: int) -> int:
+    """Tokens that a task holds before it deals them to so many shards: so that each shard's share, and the time for a token, stays about the same."""
+    return max(DEALT_TOKENS, min(SHARE_TOKENS * shards, DEALT_MOST[0]))
+
+
 def by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """The places of each shard that has any, in order."""
     order = np.argsort(shard.astype(np.uint16) if shards <= 65_536 else shard, kind="stable")
@@ -563,44 +651,47 @@ class MaxEnt:
             w, lexicon = Weights(flat), Lexicon(head, frequent)
             place = pc.index_in(pa.array([END], pa.binary()), value_set=frequent[0])[0].as_py()
             starts = 0 if place is None else int(frequent[1][place])  # texts that begin without a word before
+            held: list[tuple] = []
+            others: list[tuple] = []
+            place, texts_held, most = None, 0, held_tokens(shards)
+
+            def packed() -> Iterator[pa.RecordBatch]:
+                for what, blobs in ((CONTEXTS, context_blobs(held)), (WORDS, word_blobs(others))):
+                    if blobs:
+                        n = len(blobs)
+                        yield rows_with(n, id_type, shard=[y[0] for y in blobs], kind=[what] * n, place=[place] * n, blob=[y[2] for y in blobs], size=[y[1] for y in blobs])
+                held.clear()
+                others.clear()
+
             for x in batches:
                 uids, id_type = x.column(0).to_numpy(), x.column(1).type
                 learn, score, mark = (x.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
-                held: list[tuple] = []
-                others: list[tuple] = []
-
-                def packed() -> Iterator[pa.RecordBatch]:
-                    for what, blobs in ((CONTEXTS, context_blobs(held, uids, learn, mark, starts)), (WORDS, word_blobs(others))):
-                        if blobs:
-                            n = len(blobs)
-                            yield rows_with(n, id_type, shard=[y[0] for y in blobs], kind=[what] * n, place=[int(uids[0])] * n, blob=[y[2] for y in blobs], size=[y[1] for y in blobs])
-                    held.clear()
-                    others.clear()
-
                 for (h, cls, slot, c), ids, doc, at, distinct in lexicon.batches(x.column(2)):
                     n = len(at)
+                    if not held:
+                        place, texts_held = int(uids[at[0]]), 0
+                    texts_held += n
+                    known = np.log10(np.maximum(c, 0) + 1.0)  # 0 if not among the frequent
                     lp = log_probability(w, h, c, doc, cls, slot)
-                    lp += np.where(slot == 0, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), far[cls]) - rest[cls], 0.0)
-                    held.append((h, c, at[doc], lp))
-                    known = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
+                    lp += np.where(slot == 0, np.where(c >= 0, known, far[cls]) - rest[cls], 0.0)
+                    held.append(contexts_of(h, c, doc, lp, (((uids[at] - place) << 1) | learn[at]).astype(np.uint32), mark[at], starts))
                     n_tokens = np.bincount(doc, minlength=n)
                     some = np.flatnonzero(score[at])
                     if len(some):
                         own, m = at[some], len(some)
-                        yield rows_with(m, id_type, shard=(uids[own] % shards).astype(np.int32), kind=[OWN] * m, place=[int(uids[0])] * m, uid=uids[own], doc_id=x.column(1).take(pa.array(own)),
+                        yield rows_with(m, id_type, shard=(uids[own] % shards).astype(np.int32), kind=[OWN] * m, place=[place] * m, uid=uids[own], doc_id=x.column(1).take(pa.array(own)),
                                         n_tokens=n_tokens[some], n_known=np.bincount(doc, c > 0, n).astype(np.int64)[some], base=(np.bincount(doc, known, n) - n_tokens * base)[some])
                         other = np.flatnonzero((c < 0) & score[at[doc]])
                         if len(other):
                             pair, first, tf = np.unique(doc[other] * np.int64(1 << 32) + ids[other], return_index=True, return_counts=True)
                             others.append((uids[at[pair >> 32]], tf, distinct.take(pa.array(pair & 0xFFFFFFFF)), h[other][first]))
-                    if sum(len(y[0]) for y in held) >= DEALT_TOKENS:
+                    if texts_held >= DEALT_MOST[1] or sum(len(y[0]) for y in held) >= most:
                         yield from packed()
-                if held:
-                    yield from packed()
+            if held:
+                yield from packed()
 
-        def context_blobs(held: list[tuple], uids: np.ndarray, learn: np.ndarray, mark: np.ndarray, starts: int) -> list[tuple[int, int, bytes]]:
-            """The tokens of some texts by shard of their contexts."""
-            h, c, doc, lp = map(np.concatenate, zip(*held, strict=True))
+        def contexts_of(h: np.ndarray, c: np.ndarray, doc: np.ndarray, lp: np.ndarray, text: np.ndarray, mark: np.ndarray, starts: int) -> tuple[np.ndarray, ...]:
+            """A run's tokens: the shard of each one's contexts, its text's number and whether to learn from it, its two contexts, its word, its probability."""
             h = h.astype(np.uint64)
             before, often = [], []
             for k in (1, 2):
@@ -611,16 +702,21 @@ class MaxEnt:
             u, v = (1 + (np.maximum(y, 0) * (PARTED * shards)) // tokens for y in often)
             part = mixed(before[1]) % u.astype(np.uint64) + (mark[doc].view(np.uint64) % np.minimum(u, v).astype(np.uint64) << np.uint64(32))
             one = mixed(mixed(before[0] + np.uint64(1)) + part)
-            shard = ((one >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+            shard = ((one >> np.uint64(40)) % np.uint64(shards)).astype(np.uint32)
             two = (mixed(before[1]) >> np.uint64(40)).astype(np.uint32)  # beside the word before, which it is met with
             one, word = (one & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h & np.uint64(0xFFFFFF)).astype(np.uint32)
-            fine = np.clip(np.rint(-lp * FINE), 0, 65_535).astype(np.uint16)
+            return shard, text[doc], one, two, word, np.clip(np.rint(-lp * FINE), 0, 65_535).astype(np.uint16)
+
+        def context_blobs(held: list[tuple]) -> list[tuple[int, int, bytes]]:
+            """The tokens of some texts by shard of their contexts."""
+            shard, text, one, two, word, fine = map(np.concatenate, zip(*held, strict=True))
             out = []
             for k, r in by_shard(shard, shards):
-                first = np.flatnonzero(np.r_[True, doc[r[1:]] != doc[r[:-1]]])
-                d, size = doc[r[first]], np.diff(np.r_[first, len(r)])
+                t = text[r]
+                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                size, t = np.diff(np.r_[first, len(r)]), t[first]
                 known, at = by_frequency(one[r])
-                out.append(pack(k, planes((uids[d] - uids[0]).astype(np.uint32), 4), planes(size.astype(np.uint32), 4), learn[d].astype(np.uint8), planes(two[r], 3), known, planes(at, 4), planes(word[r], 3), planes(fine[r], 2)))
+                out.append(pack(k, planes(t >> np.uint32(1), 4), planes(size.astype(np.uint32), 4), (t & np.uint32(1)).astype(np.uint8), planes(two[r], 3), known, planes(at, 4), planes(word[r], 3), planes(fine[r], 2)))
             return out
 
         def word_blobs(others: list[tuple]) -> list[tuple[int, int, bytes]]:

@@ -207,3 +207,50 @@ def test_odd_rows(spark, odd, none):
     assert M.MaxEnt(odd).scored(none.select("doc_id", "text")).count() == 0
     out = M.MaxEnt(none).scored(ids.select("doc_id", "text")).collect()
     assert len(out) == ids.count() and all(r.n_known == 0 and r.base_score == 0 for r in out)
+
+
+def test_factors_equal_sums_of_weights():
+    r = np.random.default_rng(5)
+    flat = r.normal(size=M.SIZE).astype(np.float32)
+    h, c, cls, place = r.integers(2, 50, 5_000), r.integers(-1, 9, 5_000), r.integers(0, M.CLASSES, 5_000), r.integers(M.MEMBERS, M.PLACES, 5_000) * r.integers(0, 2, 5_000)
+    by_sums = M.Weights(flat.copy())
+    by_sums.factors = None
+    args = h, c, np.repeat(np.arange(50), 100), cls, place
+    assert M.Weights(flat).factors is not None and np.allclose(M.log_probability(M.Weights(flat), *args), M.log_probability(by_sums, *args), atol=1e-5)
+    flat[7] = M.LARGE + 1  # products may not fit
+    assert M.Weights(flat).factors is None and np.isfinite(M.log_probability(M.Weights(flat), *args)).all()
+
+
+def test_rows_with_many_gradients():
+    r = np.random.default_rng(4)
+    size = np.r_[1, 2, 3, M.MANY - 1, M.MANY, M.MANY + 1, 3_000, np.ones(40)].astype(np.int64)
+    rows = r.permutation(np.repeat(np.arange(len(size)) * 3, size))
+    g = r.normal(size=(len(rows), 16)).astype(np.float32)
+    want, room = np.zeros((3 * len(size), 16)), M.Room()
+    np.add.at(want, rows, g)
+    for _ in range(2):  # the second time in the same memory
+        met, sums = M.summed(rows, g, room)
+        assert met.tolist() == np.unique(rows).tolist() and np.allclose(sums, want[met], atol=1e-3)
+
+
+def test_a_shards_share_of_what_is_dealt_does_not_shrink():
+    shares = [M.held_tokens(shards) / shards for shards in (1, 24, 116, 500, 1_000, 4_000)]
+    assert min(shares) >= M.SHARE_TOKENS and M.held_tokens(116) == M.DEALT_TOKENS and M.held_tokens(100_000) == M.DEALT_MOST[0]
+
+
+def test_texts_are_dealt_over_batches(documents, monkeypatch):
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", documents.sparkSession.conf
+    rows = conf.get(key)
+    monkeypatch.setattr(M, "SHARD_TOKENS", 2_000)
+    docs = documents.withColumn("learned", ~M.held_out(documents["doc_id"]))
+    model = M.MaxEnt(docs.where("learned"))
+    conf.set(key, "7")
+    out = []
+    for most in ((1, 1), (4_000_000, 20_000)):  # each run of texts on its own, or all together
+        monkeypatch.setattr(M, "DEALT_TOKENS", most[0])
+        monkeypatch.setattr(M, "DEALT_MOST", most)
+        got = model.scored(docs, "learned").collect()
+        check(got, brute(documents.collect()))
+        out.append({x.doc_id: x.score for x in got})
+    assert out[0].keys() == out[1].keys() and all(out[0][k] == pytest.approx(out[1][k], rel=1e-5) for k in out[0])
+    conf.set(key, rows)
