@@ -63,6 +63,8 @@ BLOCK = 16_384
 SHARD_TOKENS, DEALT_TOKENS, PARTED = 1_000_000, 500_000, 4
 #: Tokens that a task holds for each shard, about, if these are more: a shard's share of them is packed at a time, and takes as long however small. Tokens and texts held at most.
 SHARE_TOKENS, DEALT_MOST = 1_000, (4_000_000, 20_000)
+#: Bytes of words that a task holds at most, about, before it deals their counts.
+HELD_BYTES = 1 << 26
 #: Steps of a log10 probability on its way to a shard.
 FINE = 512
 #: Ranges of a context's numbers; gradient steps of a shard's softmax; the prior of its classes, as so many tokens.
@@ -817,18 +819,28 @@ class MaxEnt:
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Words that are not among the frequent, with their counts, by shard."""
+            held: list[tuple[pa.Array, np.ndarray]] = []
+
+            def rows_of(blobs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+                m = len(blobs)
+                return rows_with(m, doc_type, shard=[y[0] for y in blobs], kind=[COUNTS_OF_OTHERS] * m, blob=[y[2] for y in blobs], size=[y[1] for y in blobs])
+
+            def packed() -> pa.RecordBatch:
+                words, n = pa.concat_arrays([y[0] for y in held]), np.concatenate([y[1] for y in held])
+                held.clear()
+                return rows_of([pack(k, n[r], *bytes_of(words.take(pa.array(r)))) for k, r in by_shard(numbers_of(words)[0] % shards, shards)])
+
             for x in batches:
                 full = np.flatnonzero(pc.binary_length(x.column(0)).to_numpy(zero_copy_only=False) > 0)
-                blobs = []
                 if len(full):
-                    words, n = x.column(0).cast(pa.binary()).take(pa.array(full)), x.column(1).to_numpy()[full]
-                    blobs = [pack(k, n[r], *bytes_of(words.take(pa.array(r)))) for k, r in by_shard(numbers_of(words)[0] % shards, shards)]
+                    held.append((x.column(0).cast(pa.binary()).take(pa.array(full)), x.column(1).to_numpy()[full]))
                 if len(full) < x.num_rows:  # the end, whose number is 1
                     end = np.flatnonzero(pc.equal(pc.binary_length(x.column(0)), 0).to_numpy(zero_copy_only=False))
-                    blobs.append(pack(1 % shards, x.column(1).to_numpy()[end], *bytes_of(pa.array([END], pa.binary()))))
-                if blobs:
-                    m = len(blobs)
-                    yield rows_with(m, doc_type, shard=[y[0] for y in blobs], kind=[COUNTS_OF_OTHERS] * m, blob=[y[2] for y in blobs], size=[y[1] for y in blobs])
+                    yield rows_of([pack(1 % shards, x.column(1).to_numpy()[end], *bytes_of(pa.array([END], pa.binary())))])
+                if sum(len(y[1]) for y in held) >= held_tokens(shards) // 8 or sum(y[0].nbytes for y in held) >= HELD_BYTES:
+                    yield packed()
+            if held:
+                yield packed()
 
         self_tokens, doc_type = np.int64(self.tokens), to_arrow_type(docs.schema["doc_id"].dataType)
         rows = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "learn", "score", F.xxhash64("text").alias("mark")).mapInArrow(deal, schema)
